@@ -71,6 +71,7 @@ def workers_import_this(spark: SparkSession) -> None:
 
     On a cluster without one, ship the package with --py-files instead.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts: keep Arrow batches small
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(":")
     if ROOT not in have:
