@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgspark.llm import licenses, matroska, packing, quality, secret_scan
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,14 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kgspark.llm.packing import pack_documents
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.text_media(table(spark, sf_dir, "documents"))
+
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scans": op1_license_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_secret_scans": op4_secret_scans,
+    "op9_media_columns": op9_media_columns,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
