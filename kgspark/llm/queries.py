@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import licenses, matroska, packing, quality, secret_scan
+from kgspark.llm import licenses, matroska, packing, pii, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_scans": op1_license_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op5_pii": op5_pii,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
 }
