@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,35 +24,78 @@ from kgspark.session import materialise, workers_import_this
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory is emptied when it is full, so it stays bounded.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 #: Branch-and-bound nodes and undominated fillings tried at a node.
 NODES, WIDTH = 400, 4
 #: Within a length, ranks are counted in so many buckets.
 BUCKETS = 512
 
 
+#: Marks cut from a word's end: a run of them after a letter is a match of its own for the tokenizer.
+MARKS = ".,!#%&*$"
+
+
 @lru_cache(1)
 def _tokenizer(name: str):
+    """The tokenizer, a word of one id that can part others, the ids' type, and the words remembered."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name), {}
+    tok = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
+    size = tok.get_vocab_size()
+    part = None
+    for k in range(size - 1, 0, -1):
+        word = (tok.id_to_token(k) or "").removesuffix("</w>")
+        if word.isascii() and word.isalpha() and len(word) > 5 and tok.encode(word, add_special_tokens=False).ids == [k]:
+            part = (k, f" {word} ")
+            break
+    return tok, part, "<u2" if size < 1 << 16 else "<u4", {}
+
+
+def _learn(words: list[str], tok, part, kind: str, kept: dict[str, bytes]) -> None:
+    """Encode words in one call, parted by a word of one id; if that id turns up elsewhere too, one by one."""
+    if part:
+        ids = np.array(tok.encode(part[1].join(words), add_special_tokens=False).ids, kind)
+        cuts = [-1, *np.flatnonzero(ids == part[0]).tolist(), len(ids)]
+        if len(cuts) == len(words) + 1:
+            raw, width = ids.tobytes(), ids.itemsize
+            kept.update((w, raw[(a + 1) * width : b * width]) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
+            return
+    if len(words) > 64:
+        for at in range(0, len(words), -(-len(words) // 16)):
+            _learn(words[at : at + -(-len(words) // 16)], tok, part, kind, kept)
+        return
+    kept.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, kind).tobytes()) for w in words)
+
+
+def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
+    """Ids of each text.
+
+    The tokenizer's matches never cross a space or line feed, so each word's
+    ids stand alone and are remembered. New words lose the marks at their end,
+    which stand alone as well, and are encoded together.
+    """
+    tok, part, kind, kept = _tokenizer(name)
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    if len(kept) > WORDS_KEPT:
+        kept.clear()
+    new: dict[str, tuple[str, str]] = {}
+    for w in set(chain.from_iterable(split)).difference(kept):
+        core = w.rstrip(MARKS)
+        if len(core) < len(w) and core[-1:].lower().isalpha():
+            new[w] = core, w[len(core) :]
+        else:
+            new[w] = w, ""
+    bare = list({x for pair in new.values() for x in pair}.difference(kept))
+    for at in range(0, len(bare), 500):
+        _learn(bare[at : at + 500], tok, part, kind, kept)
+    kept.update([(w, kept[core] + kept[marks]) for w, (core, marks) in new.items() if marks])
+    for words in split:
+        yield np.frombuffer(b"".join(map(kept.__getitem__, words)), kind)
 
 
 def encode(text: str, name: str = TOKENIZER) -> list[int]:
-    """Ids of a text. The tokenizer's matches never cross a space or line feed, so words are encoded one by one and remembered."""
-    tok, kept = _tokenizer(name)
-    if len(kept) > WORDS_KEPT:
-        kept.clear()
-    words = text.replace("\n", " ").split(" ")
-    new = [w for w in dict.fromkeys(words) if w not in kept]
-    if new:
-        for w in new:
-            kept[w] = tok.encode(w, add_special_tokens=False).ids
-    out: list[int] = []
-    for w in words:
-        out += kept[w]
-    return out
+    return next(encode_all([text], name)).tolist()
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, tokenizer: str = TOKENIZER, emit_ids: bool = True) -> DataFrame:
@@ -65,8 +109,8 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, tokenizer:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*encode(text or "", tokenizer), end], "<u4")
+            for doc, ids in zip(b["doc_id"], encode_all([t or "" for t in b["text"]], tokenizer)):
+                ids = np.append(ids, end).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     row = (doc, k, at, len(part), zlib.crc32(part.tobytes()))
