@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import licenses, matroska, packing, pii, quality, secret_scan
+from kgspark.llm import decontaminate, licenses, matroska, packing, pii, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_scans": op1_license_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_pii": op5_pii,
     "op9_media_columns": op9_media_columns,
