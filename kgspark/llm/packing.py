@@ -10,6 +10,7 @@ length and its rank among pieces of that length; ranks come from counts per
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from kgspark.session import materialise, workers_import_this
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory is emptied when it is full, so it stays bounded.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 #: Branch-and-bound nodes and undominated fillings tried at a node.
 NODES, WIDTH = 400, 4
 #: Within a length, ranks are counted in so many buckets.
@@ -52,6 +53,30 @@ def _tokenizer(name: str):
     return tok, part, "<u2" if size < 1 << 16 else "<u4", {}
 
 
+#: A comma or stop at a word's end that follows another mark, and so belongs to a longer match.
+_RUN = re.compile(r"[^\w ][.,](?: |$)|_[.,]")
+
+
+def _words(text: str) -> list[str]:
+    """Words that the tokenizer would treat alike, in fewer forms: lower case, and commas and stops on their own.
+
+    Only Latin-1 texts without special tokens are changed: there lower-casing
+    is letter by letter and normalisation does nothing, as in the tokenizer.
+    """
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    if "<|" not in text:
+        text = text.lower()
+        if not _RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+            if text[-1:] in (".", ","):
+                text = f"{text[:-1]} {text[-1]}"
+    return text.split(" ")
+
+
 def _learn(words: list[str], tok, part, kind: str, kept: dict[str, bytes]) -> None:
     """Encode words in one call, parted by a word of one id; if that id turns up elsewhere too, one by one."""
     if part:
@@ -76,7 +101,8 @@ def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
     which stand alone as well, and are encoded together.
     """
     tok, part, kind, kept = _tokenizer(name)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+    fold = name == TOKENIZER
+    split = [_words(t) if fold else t.replace("\n", " ").split(" ") for t in texts]
     if len(kept) > WORDS_KEPT:
         kept.clear()
     new: dict[str, tuple[str, str]] = {}
