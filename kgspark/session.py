@@ -76,3 +76,9 @@ def workers_import_this(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "").split(":")
     if ROOT not in have:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, have)])
+
+
+def plain(batch):
+    """A pandas batch whose string columns are plain objects: chunked Arrow strings can't be handed back to Spark."""
+    strings = [c for c in batch.columns if str(batch[c].dtype).startswith(("str", "string"))]
+    return batch.astype({c: object for c in strings}) if strings else batch
