@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kgspark.llm import decontaminate, licenses, matroska, packing, pii, quality, secret_scan
+from kgspark.llm import decontaminate, html_text, licenses, matroska, packing, pii, quality, revisit, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = revisit.resolve(revisit.records_of_pages(table(spark, sf_dir, "pages")))
+    return got.withColumn("headers", revisit.written(F.col("headers")))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
@@ -50,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_pii": op5_pii,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op8_html_extraction": op8_html_extraction,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
 }
