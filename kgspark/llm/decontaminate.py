@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.session import workers_import_this
+from kgspark.session import plain, workers_import_this
 
 K1, B = 1.2, 0.75
 #: Words a passage holds, at least; longer items get passages of twice their length. Passages overlap by half.
@@ -233,14 +233,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: bool = False) -> DataFram
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
 
             def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-                for b in batches:
+                for b in map(plain, batches):
                     yield b.assign(kg_leaks=b["kg_leaks"] + [len(find(t, sent.value)) for t in b["text"]])
 
             out = out.mapInPandas(count, schema)
             continue
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in map(plain, batches):
                 rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) for x in find(t, sent.value)]
                 yield pd.DataFrame(rows, columns=["doc_id", *names])
 

@@ -20,12 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kgspark.session import materialise, workers_import_this
+from kgspark.session import materialise, plain, workers_import_this
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; the memory is emptied when it is full, so it stays bounded.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 #: Branch-and-bound nodes and undominated fillings tried at a node.
 NODES, WIDTH = 400, 4
 #: Within a length, ranks are counted in so many buckets.
@@ -50,7 +50,9 @@ def _tokenizer(name: str):
         if word.isascii() and word.isalpha() and len(word) > 5 and tok.encode(word, add_special_tokens=False).ids == [k]:
             part = (k, f" {word} ")
             break
-    return tok, part, "<u2" if size < 1 << 16 else "<u4", {}
+    suffix = getattr(tok.model, "end_of_word_suffix", None)
+    ends = np.array([bool(suffix) and (tok.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+    return tok, part, "<u2" if size < 1 << 16 else "<u4", {}, ends
 
 
 #: A comma or stop at a word's end that follows another mark, and so belongs to a longer match.
@@ -100,7 +102,7 @@ def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
     ids stand alone and are remembered. New words lose the marks at their end,
     which stand alone as well, and are encoded together.
     """
-    tok, part, kind, kept = _tokenizer(name)
+    tok, part, kind, kept, ends = _tokenizer(name)
     fold = name == TOKENIZER
     split = [_words(t) if fold else t.replace("\n", " ").split(" ") for t in texts]
     if len(kept) > WORDS_KEPT:
@@ -113,6 +115,16 @@ def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
         else:
             new[w] = w, ""
     bare = list({x for pair in new.values() for x in pair}.difference(kept))
+    letters = [w for w in bare if w.isalpha()] if ends.any() else []
+    parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
+    for words, got in zip(parts, tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+        # a word of letters is one match, whose last id is one of those that end a word
+        ids = np.array(got.ids, kind)
+        cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+        if len(cuts) == len(words) + 1 and cuts[-1] == len(ids):
+            raw, width = ids.tobytes(), ids.itemsize
+            kept.update((w, raw[a * width : b * width]) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
+    bare = [w for w in bare if w not in kept]
     for at in range(0, len(bare), 500):
         _learn(bare[at : at + 500], tok, part, kind, kept)
     kept.update([(w, kept[core] + kept[marks]) for w, (core, marks) in new.items() if marks])
@@ -343,7 +355,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, bucket
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(out).schema)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in map(plain, batches):
             n, r = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
             i = np.searchsorted(key, n * big + r, side="right") - 1
             k = r - first[i]

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.session import workers_import_this
+from kgspark.session import plain, workers_import_this
 
 #: Slots for units, dimensions of their vectors, and non-zero entries of an index vector.
 SLOTS, DIM, SPARSE = 4096, 48, 6
@@ -81,7 +81,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         beside = np.zeros(SLOTS * SLOTS, np.int32)
-        for b in batches:
+        for b in map(plain, batches):
             for text in b["text"]:
                 s = slots(text)
                 if len(s) > 1:
@@ -170,7 +170,7 @@ def features(docs: DataFrame, context: np.ndarray, keep: str = "") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = index_vectors()
-        for b in batches:
+        for b in map(plain, batches):
             x = [pooled(slots(t), context, index) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": x, **{n: b[n] for n in names}})
 
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = index_vectors()
-        for b in batches:
+        for b in map(plain, batches):
             x = np.stack([pooled(slots(t), model.context, index) for t in b["text"]]).astype(float) if len(b) else np.zeros((0, 3 * DIM + 4))
             yield b[names].assign(**{at: model.score(x)})
 
