@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kgspark.llm import decontaminate, html_text, licenses, matroska, packing, pii, quality, revisit, secret_scan
+from kgspark.llm import decontaminate, html_text, jaccard, licenses, matroska, packing, pii, quality, revisit, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("headers", revisit.written(F.col("headers")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scans": op4_secret_scans,
     "op5_pii": op5_pii,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
