@@ -14,25 +14,24 @@ Lengths and a parity bitmap (bits flip with each shingle of the difference, so
 set bits of the exclusive or bound it from below) are tested in the join as well.
 Only then are pairs verified, on their whole texts.
 
-A posting list is never expanded into pairs. In each round its members are
+A short posting list gives all its pairs. A long one is never expanded: in each round its members are
 paired with one pivot, and members that still belong to another component keep
 the pivot with which they share most lists. When rounds bring nothing new, the
-pairs of a list that lie in different components are joined, each at its first
-common shingle. So links of a group of copies cost about one pair a
+pairs of a list that lie in different components are joined under those tests. So links of a group of copies cost about one pair a
 member, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.session import drop_path, materialise, scratch, workers_import_this
 
@@ -43,34 +42,31 @@ BITS = 8  # words of 64 bits in the parity bitmap
 #: A word is common if this share of a task's documents hold it, in one task at least.
 COMMON = 0.002
 PIVOT_ROUNDS = 4
+#: A list of so many members, or fewer, has all its pairs tried.
+SMALL = 8
 WORDS_KEPT = 300_000
 
-_WORDS = re.compile(r"[^\x20\x09-\x0d]+")
-_SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-_UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def words(text: str | None) -> list[str]:
-    """Words parted by ASCII white space, with A-Z in lower case."""
-    text = (text or "").translate(_SPLIT)
-    text = text.lower() if text.isascii() else text.translate(_UPPER)
-    return [w for w in text.split(" ") if w]
+def words(text: str | None) -> list[bytes]:
+    """Words parted by ASCII white space, with A-Z in lower case: exactly what lower() and split() of bytes do."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 @lru_cache(1)
-def _kept() -> dict[str, int]:
+def _kept() -> dict[bytes, int]:
     return {}
 
 
-def word_hashes(w: list[str]) -> np.ndarray:
+def word_hashes(w: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers a bounded number."""
     kept = _kept()
     if len(kept) > WORDS_KEPT:
         kept.clear()
     digest = xxhash.xxh3_64_intdigest
     for x in set(w).difference(kept):
-        kept[x] = digest(x.encode("utf-8", "surrogatepass"))
+        kept[x] = digest(x)
     return np.fromiter(map(kept.__getitem__, w), np.uint64, len(w))
 
 
@@ -101,18 +97,16 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def signature(s: np.ndarray, common: np.ndarray, percent: int, orders: int = ORDERS) -> tuple:
-    """Class, size, prefix in the first order, prefixes in the others (32 bits), parity bitmap."""
+def carried(s: np.ndarray, percent: int, orders: int = ORDERS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Prefixes in the further orders (32 bits an element), and the parity bitmap."""
     p = prefix_size(len(s), percent)
-    first = s[np.lexsort((s, common))[:p]]
     others = []
     for k in range(orders):
         x = mixed(s * _M2 + np.uint64(k + 1))
-        others.append((np.sort(x)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        others.append((np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
     at = mixed(s + _M1) & np.uint64(64 * BITS - 1)
     parity = np.bincount(at.astype(np.int64), minlength=64 * BITS) & 1
-    bits = np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
-    return xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), first.view(np.int64), others, bits
+    return others, np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def common_words(docs: DataFrame, share: float = COMMON) -> np.ndarray:
@@ -121,35 +115,26 @@ def common_words(docs: DataFrame, share: float = COMMON) -> np.ndarray:
     A word that a share of all documents holds is held by that share in one task
     at least. A task reports at most (words a document) / share words; any set makes a valid order.
     """
+    workers_import_this(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, held, pending = 0, {}, []
-
-        def add() -> None:
-            if pending:
-                u, c = np.unique(np.concatenate(pending), return_counts=True)
-                for x, k in zip(u[c > 1].tolist(), c[c > 1].tolist()):
-                    held[x] = held.get(x, 0) + k
-                pending.clear()
-
+        n, held = 0, Counter()
         for b in batches:
             for text in b["text"]:
                 n += 1
-                pending.append(np.unique(word_hashes(words(text))))
-            add()
-            if len(held) > 2_000_000:  # bounded: rare ones go
-                for x in [x for x, k in held.items() if k < share * n]:
-                    del held[x]
-        found = [x for x, k in held.items() if k >= max(2, share * n)]
+                held.update(set(words(text)))
+            if len(held) > 1_000_000:  # bounded: what is rare so far goes
+                held = Counter({x: k for x, k in held.items() if k > share * n / 2})
+        found = [xxhash.xxh3_64_intdigest(x) for x, k in held.items() if k >= max(2, share * n)]
         yield pd.DataFrame({"word": np.array(found, np.uint64).view(np.int64)})
 
-    rows = docs.select(F.col("text").cast("string")).mapInPandas(run, "word long").groupBy("word").count()
-    top = rows.orderBy(F.desc("count"), "word").limit(200_000)  # only an order depends on these; the bound keeps what is sent small
+    rows = docs.select("text").mapInPandas(run, "word long").groupBy("word").count()
+    top = rows.orderBy(F.desc("count"), "word").limit(100_000)  # only an order depends on these; the bound keeps what is sent small
     return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
 
 
 def classes_of(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, class, n, first (prefix), others, bits: a row per row of docs; class is null for an empty set."""
+    """doc_id, class, n, first (prefix in the first order): a row per row of docs; class is null for an empty set."""
     workers_import_this(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,20 +142,35 @@ def classes_of(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
             rows = []
             for text in b["text"]:
                 h = word_hashes(words(text))
-                s = shingle_hashes(h, k)
-                if not len(s):
-                    rows.append((None, 0, None, None, None))
+                if not len(h):
+                    rows.append((None, 0, None))
                     continue
+                # a hash with its top bit set comes last in the order
                 at = np.searchsorted(common, h)
                 often = (common[np.minimum(at, len(common) - 1)] == h) if len(common) else np.zeros(len(h), bool)
                 w = min(k, len(h))
-                all_common = np.lib.stride_tricks.sliding_window_view(often, w).all(1)
-                s, where = np.unique(s, return_index=True)
-                rows.append(signature(s, all_common[where], percent))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "class": pd.Series([r[0] for r in rows], dtype=object), "n": [r[1] for r in rows], "first": pd.Series([r[2] for r in rows], dtype=object), "others": pd.Series([r[3] for r in rows], dtype=object), "bits": pd.Series([r[4] for r in rows], dtype=object)})
+                n = len(h) - w + 1
+                last = often[:n].copy()
+                for i in range(1, w):
+                    last &= often[i : i + n]
+                s = shingle_hashes(h, k)
+                s = np.unique(s >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63))
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), s[: prefix_size(len(s), percent)].view(np.int64)))
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("class", object), ("n", "int64"), ("first", object)))}})
+
+    return docs.mapInPandas(run, "doc_id long, class binary, n long, first array<long>")
+
+
+def with_sketches(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text, n, bits, others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [set_of(t, k) for t in b["text"]]
+            got = [carried(s, percent) for s in sets]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"].astype(object), "n": [len(s) for s in sets], "bits": pd.Series([g[1] for g in got], dtype=object), "others": pd.Series([g[0] for g in got], dtype=object)})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, class string, n long, first array<long>, others array<array<int>>, bits array<long>")
+    return texts.mapInPandas(run, "doc_id long, text string, n long, bits array<long>, others array<array<int>>")
 
 
 def near(n1: Column, n2: Column, b1: Column, b2: Column, percent: int) -> Column:
@@ -185,12 +185,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             ok = []
-            for b, ta, tb in zip(batch["b"], batch["ta"], batch["tb"]):
-                if last[0] != b:
-                    last = (b, set_of(tb, k))
+            for ta, tb in zip(batch["ta"], batch["tb"]):
+                if last[0] != tb:
+                    last = (tb, set_of(tb, k))
                 x, y = set_of(ta, k), last[1]
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -221,7 +221,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: int = PIVOT_ROUNDS, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links): a row per row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their
@@ -230,76 +230,81 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    workers_import_this(spark)
     rows = materialise(classes_of(docs, k, percent, common_words(docs)), "classes")
     members = rows.select("doc_id", "class", "n")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    # one row a class: the representative's (rows with its id and another class stay out)
-    meta = rows.join(reps, "class").where("doc_id = rep").dropDuplicates(["class"])
-    postings = meta.select("class", F.explode("first").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    lists = materialise(postings.join(shared, "key"), "postings")
-    active = lists.select("class").distinct()
-    meta = materialise(meta.join(active, "class", "left_semi").select("class", F.col("rep").alias("id"), "n", "others", "bits", "first"), "meta")
-    lists = materialise(lists.join(meta.select("class", "id"), "class").select("key", "id"), "lists")
-
-    # the texts of active representatives, stored by id: rounds read them without moving them again
+    firsts = rows.join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
+    postings = firsts.select(F.col("doc_id").alias("id"), F.explode("first").alias("key")).distinct()
+    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    lists = materialise(postings.join(shared, "key"), "lists")
+    active = materialise(lists.select("id").distinct(), "active")
+
+    # texts and sketches of active representatives, stored by id: rounds read them without moving them again
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"kgspark_texts_{uuid.uuid4().hex[:12]}", scratch(spark, "texts")
-    with_class = docs.join(meta.select(F.col("id").alias("doc_id"), "class"), "doc_id")
-    # where an id has several texts, the one of the class it stands for is told by its set
-    one = with_class.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if one.isEmpty():
-        texts = with_class.select("doc_id", "text")
-    else:
-        texts = with_class.mapInPandas(_own_text(k), "doc_id long, text string")
-    texts.repartition(buckets, "doc_id").write.option("path", path).bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
+    texts = with_sketches(docs.join(active, F.col("doc_id") == F.col("id"), "left_semi"), k, percent)
+    texts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name)
     stored = spark.table(name)
-    slim = meta.select("id", "n", "bits", "others")
-    edges = None
-    roots = meta.select("id", F.col("id").alias("root"))
+    edges: DataFrame | None = None
+    roots = active.select("id", F.col("id").alias("root"))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
+    def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) that pass sizes, bitmaps and the further orders."""
-        x = slim.select(*[F.col(c).alias(f"a_{c}") for c in slim.columns])
-        y = slim.select(*[F.col(c).alias(f"b_{c}") for c in slim.columns])
-        got = pairs.join(x, F.col("a") == F.col("a_id")).join(y, F.col("b") == F.col("b_id"))
+        side = lambda c: stored.select(*[F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "n", "bits", "others")])
+        got = pairs.join(side("a"), F.col("a") == F.col("a_doc_id")).join(side("b"), F.col("b") == F.col("b_doc_id"))
         got = got.where(near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent))
         for o in range(ORDERS):
             got = got.where(F.arrays_overlap(F.get("a_others", F.lit(o)), F.get("b_others", F.lit(o))))
         return got.select(*pairs.columns)
 
-    def settle(found: DataFrame) -> DataFrame:
-        nonlocal edges
-        edges = found if edges is None else materialise(edges.unionByName(found), "links")
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of a's pairs (a, b, lists), the one with most lists in common."""
+        return pairs.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", "m.b")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        return pairs.join(ra, "a").join(rb, "b").where("ra <> rb").drop("ra", "rb")
+
+    def settle(pairs: DataFrame) -> bool:
+        """Verify pairs and join the components of those that link; whether any did."""
+        nonlocal edges, roots
+        found = materialise(verified(materialise(pairs.select("a", "b"), "pairs"), stored, k, percent), "links")
+        if found.isEmpty():
+            return False
+        edges = found if edges is None else edges.unionByName(found)
         cc = components(edges)
-        return materialise(meta.select("id").join(cc, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+        roots = materialise(active.join(cc, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+        return True
+
+    def pivots(r: int) -> DataFrame:
+        """Members of large lists paired with the list's pivot of round r, where they are in different components."""
+        rooted = large.join(roots, "id")
+        pivot = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "root")).alias("p"))
+        return rooted.join(pivot, "key").where("root <> p.root").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("lists"))
 
     try:
-        for r in range(pivot_rounds):
-            rooted = lists.join(roots, "id")
-            pivot = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "root")).alias("p"))
-            cand = rooted.join(pivot, "key").where("root <> p.root").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("lists"))
-            best = candidates(cand).groupBy("a").agg(F.max(F.struct("lists", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-            found = materialise(verified(materialise(best, "cand"), stored, k, percent), "links")
-            if found.isEmpty():
-                break
-            roots = settle(found)
-        # what is left: pairs of a list in different components, each at its first common element
-        rooted = lists.join(roots, "id")
-        mixed_lists = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = rooted.join(mixed_lists, "key").join(meta.select("id", "n", "bits", "first", "others"), "id")
-        left = materialise(left, "left")
-        x, y = left.alias("x"), left.alias("y")
-        test = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-        test = test & near(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent)
-        for o in range(ORDERS):
-            test = test & F.arrays_overlap(F.get("x.others", F.lit(o)), F.get("y.others", F.lit(o)))
-        test = test & (F.array_min(F.array_intersect("x.first", "y.first")) == F.col("x.key"))
-        rest = x.join(y, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        found = materialise(verified(materialise(rest, "cand"), stored, k, percent), "links")
-        if not found.isEmpty():
-            roots = settle(found)
+        # a small list has few pairs, whatever the corpus size: all of them are candidates
+        few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
+        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")))
+        pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("lists"))
+        pairs = materialise(filtered(pairs), "candidates")
+        settle(best(pairs))
+        if not large.isEmpty():
+            for r in range(pivot_rounds):
+                if not settle(best(filtered(pivots(r)))):
+                    break
+        # what is left: candidates in different components, and such pairs of large lists
+        rest = apart(pairs).select("a", "b")
+        if not large.isEmpty():
+            rooted = large.join(roots, "id")
+            parted = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+            left = materialise(rooted.join(parted, "key").join(stored.select(F.col("doc_id").alias("id"), "n", "bits"), "id"), "left")
+            x, y = left.alias("x"), left.alias("y")
+            test = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+            test = test & near(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent)
+            more = x.join(y, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            rest = rest.unionByName(filtered(more)).distinct()
+        settle(rest)
     finally:
         spark.sql(f"drop table if exists {name}")
         drop_path(spark, path)
@@ -316,16 +321,6 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
     return out.join(cc, F.col("component_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 
-def _own_text(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [xxhash.xxh3_128_hexdigest(set_of(t, k).tobytes()) == c for t, c in zip(b["text"], b["class"])]
-            got = b.loc[np.array(ok, bool), ["doc_id", "text"]]
-            yield got.astype({"text": object})
-
-    return run
-
-
 def keep_one(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
     """One document of each group of links stays, the one with the least id; columns stay as they are."""
     linked = link(docs, k, percent)
