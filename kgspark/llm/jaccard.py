@@ -38,10 +38,10 @@ from kgspark.session import drop_path, materialise, scratch, workers_import_this
 K, THRESHOLD = 5, 80
 #: Orders beside the first, and elements of a carried prefix are 32-bit hashes (equal shingles have equal ones).
 ORDERS = 2
-BITS = 8  # words of 64 bits in the parity bitmap
+BITS = 32  # words of 64 bits in the parity bitmap
 #: A word is common if this share of a task's documents hold it, in one task at least.
 COMMON = 0.002
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 3
 #: A list of so many members, or fewer, has all its pairs tried.
 SMALL = 8
 WORDS_KEPT = 300_000
@@ -234,7 +234,7 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
     members = rows.select("doc_id", "class", "n")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     firsts = rows.join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
-    postings = firsts.select(F.col("doc_id").alias("id"), F.explode("first").alias("key")).distinct()
+    postings = firsts.select(F.col("doc_id").alias("id"), F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = materialise(postings.join(shared, "key"), "lists")
     active = materialise(lists.select("id").distinct(), "active")
