@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kgspark.functions.exprs import normalize_name, normalize_text, stable_hash
@@ -41,15 +43,19 @@ RISKS = (
 CANDIDATE = "struct<rule:int,kind:string,value:string,confidence:double,method:string>"
 
 
+def _candidate(rule: int, kind: str, confidence: float, method: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(rule), F.lit(kind), v, F.lit(confidence), F.lit(method)).cast(CANDIDATE)
+
+
 def rule_matches(text: Column) -> Column:
     """All rules' matches in a text, by rule, then place; a trigger class gives one row at most."""
     found = []
     for k, (kind, pattern, confidence, method) in enumerate(RULES):
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.transform(hits, lambda v, k=k, kind=kind, c=confidence, m=method: F.struct(F.lit(k), F.lit(kind), v, F.lit(c), F.lit(m)).cast(CANDIDATE)))
+        found.append(F.transform(hits, _candidate(k, kind, confidence, method)))
     for k, (name, pattern) in enumerate(TRIGGERS):
         hit = F.regexp_extract(text, f"({pattern})", 1)
-        row = F.struct(F.lit(len(RULES) + k), F.lit("relation"), hit, F.lit(0.6), F.lit(f"regex:trigger:{name}")).cast(CANDIDATE)
+        row = _candidate(len(RULES) + k, "relation", 0.6, f"regex:trigger:{name}")(hit)
         found.append(F.when(hit != "", F.array(row)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
     return F.flatten(F.array(*found))
 
@@ -121,7 +127,7 @@ def relations(found: DataFrame, allowed: list[str]) -> DataFrame:
 def risks(docs: DataFrame) -> DataFrame:
     """doc_id, warning_type, severity, matched, hits, action for each risk class with a marker in the text (any case)."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = [F.struct(F.lit(n).alias("warning_type"), F.lit(s).alias("severity"), F.filter(F.array(*[F.lit(m) for m in ms]), lambda m: F.instr(low, F.lower(m)) > 0 if False else F.contains(low, F.lower(m))).alias("matched")) for n, s, ms in RISKS]
+    rows = [F.struct(F.lit(n).alias("warning_type"), F.lit(s).alias("severity"), F.filter(F.array(*[F.lit(m) for m in ms]), lambda m: F.contains(low, F.lower(m))).alias("matched")) for n, s, ms in RISKS]
     out = docs.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*").where(F.size("matched") > 0)
     action = F.when(F.col("severity") >= 2, "review_before_publication").when(F.col("severity") == 1, "flag_for_disclosure").otherwise("note")
     return out.withColumn("hits", F.size("matched")).withColumn("action", action)
