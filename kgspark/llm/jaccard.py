@@ -234,10 +234,15 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
     members = rows.select("doc_id", "class", "n")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     firsts = rows.join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
-    postings = firsts.select(F.col("doc_id").alias("id"), F.explode("first").alias("key"))
+    postings = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = materialise(postings.join(shared, "key"), "lists")
-    active = materialise(lists.select("id").distinct(), "active")
+    few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
+    # a short list has few pairs, whatever the corpus size: all of them are candidates whose sizes allow it
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & sizes)
+    pairs = materialise(pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("lists")), "pairs")
+    active = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct(), "active")
 
     # texts and sketches of active representatives, stored by id: rounds read them without moving them again
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -278,15 +283,11 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
 
     def pivots(r: int) -> DataFrame:
         """Members of large lists paired with the list's pivot of round r, where they are in different components."""
-        rooted = large.join(roots, "id")
+        rooted = large.drop("n").join(roots, "id")
         pivot = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "root")).alias("p"))
         return rooted.join(pivot, "key").where("root <> p.root").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("lists"))
 
     try:
-        # a small list has few pairs, whatever the corpus size: all of them are candidates
-        few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
-        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")))
-        pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("lists"))
         pairs = materialise(filtered(pairs), "candidates")
         settle(best(pairs))
         if not large.isEmpty():
@@ -296,7 +297,7 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
         # what is left: candidates in different components, and such pairs of large lists
         rest = apart(pairs).select("a", "b")
         if not large.isEmpty():
-            rooted = large.join(roots, "id")
+            rooted = large.drop("n").join(roots, "id")
             parted = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             left = materialise(rooted.join(parted, "key").join(stored.select(F.col("doc_id").alias("id"), "n", "bits"), "id"), "left")
             x, y = left.alias("x"), left.alias("y")
