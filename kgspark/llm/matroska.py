@@ -48,8 +48,8 @@ def vint(data: bytes, at: int, marker: bool = False) -> tuple[int, int, bool]:
     return (raw if marker else raw & ones), width, raw & ones == ones
 
 
-def elements(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """(id, first byte of content, end of content) of each element in data[at:end]; a truncated one ends with the data.
+def elements(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset(), m: Media | None = None) -> Iterator[tuple[int, int, int]]:
+    """(id, first byte of content, end of content) of each element in data[at:end]; a truncated one ends with the data, and m is told so.
 
     An element of unknown size reaches to the next one in `stop`, or to the end.
     """
@@ -58,8 +58,12 @@ def elements(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset())
             ident, a, _ = vint(data, at, True)
             size, b, unknown = vint(data, at + a)
         except ValueError:
+            if m:
+                m.complete = False
             return
         body = at + a + b
+        if m and not unknown and body + size > end:
+            m.complete = False
         if unknown:
             at = next((p for p, i in _starts(data, body, end) if i in stop), end) if stop else end
         else:
@@ -142,7 +146,7 @@ def demux(data: bytes) -> Media:
     m = Media()
     try:
         seen = False
-        for ident, at, end in elements(data, 0, len(data)):
+        for ident, at, end in elements(data, 0, len(data), m=m):
             if ident == EBML:
                 seen = True
             elif ident == SEGMENT and seen:
@@ -155,7 +159,7 @@ def demux(data: bytes) -> Media:
 
 def _segment(m: Media, data: bytes, at: int, end: int) -> None:
     last = at
-    for ident, a, e in elements(data, at, end, frozenset(TOP_LEVEL)):
+    for ident, a, e in elements(data, at, end, frozenset(TOP_LEVEL), m):
         last = e
         if ident == INFO:
             for i, x, y in elements(data, a, e):
