@@ -299,10 +299,13 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: in
         if not large.isEmpty():
             rooted = large.drop("n").join(roots, "id")
             parted = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            left = materialise(rooted.join(parted, "key").join(stored.select(F.col("doc_id").alias("id"), "n", "bits"), "id"), "left")
+            rooted = rooted.join(parted, "key")
+            keys = rooted.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a prefix at most
+            left = materialise(rooted.join(stored.select(F.col("doc_id").alias("id"), "n", "bits"), "id").join(keys, "id"), "left")
             x, y = left.alias("x"), left.alias("y")
             test = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
             test = test & near(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent)
+            test = test & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))  # each pair in one list only
             more = x.join(y, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
             rest = rest.unionByName(filtered(more)).distinct()
         settle(rest)
