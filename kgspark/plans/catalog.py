@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kgspark.functions import exprs
-from kgspark.operators import extract, gates, graph, parse, retrieve
+from kgspark.operators import extract, gates, governance, graph, parse, retrieve, upsert
 from kgspark.sources.fixtures import ENTITIES, OUTBOX, RELATIONS, entities, outbox, relations, table
 from kgspark.streaming import outbox as stream
 
@@ -441,3 +441,114 @@ def window_tumbling(spark, d):
 @query("select user_id, min(ts) as session_start, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as new from events)) group by user_id, s", "")
 def session_windows(spark, d):
     return stream.sessions(table(spark, d, "events"), "30 minutes")
+
+
+# --- governance, versions and keyed writes ---
+
+
+@query("""recursive v as (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev from orders),
+ c as (select o_orderkey, o_orderkey as root, 0::bigint as depth from v where prev is null union all select v.o_orderkey, c.root, c.depth + 1 from v join c on v.prev = c.o_orderkey)
+ select o_orderkey, root, depth from c""", "with")
+def supersedes_chain(spark, d):
+    prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return governance.chains(table(spark, d, "orders").select("o_orderkey", prev.alias("prev")), "o_orderkey", "prev")
+
+
+@query("select doc_id, (row_number() over (partition by doc_id order by line_no) - 1)::int as order_index, char_start, char_start + length(raw) as char_end from lines", f"with {LINES}")
+def spans_offsets(spark, d):
+    return parse.spans(table(spark, d, "documents")).select("doc_id", F.col("order_index").cast("int").alias("order_index"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+@query("""select doc_id, case when regexp_matches(raw, '^#{1,6}\\s+[^#\\s]') then 'heading' when regexp_matches(raw, '^\\s*([-*+]|[0-9]+[.)])\\s+.') then 'list_item' else 'paragraph' end as span_type, count(*) as n from lines group by 1, 2""", f"with {LINES}")
+def spans_classified(spark, d):
+    return parse.spans(table(spark, d, "documents")).groupBy("doc_id", "span_type").agg(F.count("*").alias("n"))
+
+
+@query("""select a.l_partkey, a.l_suppkey, a.id as first_id, b.id as second_id from f a join f b on a.l_partkey = b.l_partkey and a.l_suppkey = b.l_suppkey and a.id < b.id
+ and a.l_quantity <> b.l_quantity and a.l_shipdate <= b.l_shipdate + interval 90 day and b.l_shipdate <= a.l_shipdate + interval 90 day""",
+ "with f as (select l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber as id, l_quantity, l_shipdate from lineitem)")
+def interval_overlap(spark, d):
+    facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_shipdate", (F.col("l_shipdate") + F.expr("interval 90 days")).alias("valid_to"))
+    return governance.overlaps(facts, ["l_partkey", "l_suppkey"], "id", "l_quantity", "l_shipdate", "valid_to")
+
+
+SCORES = {"authority": "s_suppkey % 5 + 1", "independence": "s_suppkey % 4 + 1", "methodology": "s_nationkey % 5 + 1", "timeliness": "s_nationkey % 3 + 1", "transparency": "s_suppkey % 3 + 2"}
+
+
+@query("select s_suppkey, score, score < 3 as needs_review from (select s_suppkey, (30 * (s_suppkey % 5 + 1) + 25 * (s_suppkey % 4 + 1) + 25 * (s_nationkey % 5 + 1) + 10 * (s_nationkey % 3 + 1) + 10 * (s_suppkey % 3 + 2)) / 100 as score from supplier)", "")
+def source_quality_score(spark, d):
+    return governance.source_quality(table(spark, d, "supplier").selectExpr("s_suppkey", *[f"{e} as {c}" for c, e in SCORES.items()])).select("s_suppkey", "score", "needs_review")
+
+
+KINDS = [k for k, _, _ in governance.SUFFICIENT]
+
+
+@query("select o_orderkey, kind, sources, high_sources, sources >= l and high_sources >= h as sufficient from g join (values " + ", ".join(f"('{k}', {n}, {h})" for k, n, h in governance.SUFFICIENT) + ") r(kind, l, h) using (kind)",
+ "with g as (select o_orderkey, (['" + "', '".join(KINDS) + "'])[(o_orderkey % 7 + 1)::int] as kind, count(distinct l_suppkey) as sources, count(distinct case when s_acctbal > 5000 then l_suppkey end) as high_sources from orders join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey group by 1, 2)")
+def evidence_sufficiency(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("kind")
+    refs = table(spark, d, "orders").select("o_orderkey", kind).join(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    refs = refs.join(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return governance.sufficiency(refs, "o_orderkey", "kind", "l_suppkey", F.col("s_acctbal") > 5000)
+
+
+@query("select l_partkey, l_suppkey, string_agg(distinct l_orderkey::varchar, ',' order by l_orderkey::varchar) as refs, min(l_shipdate) as created_at, max(l_shipdate) as updated_at from lineitem group by 1, 2", "")
+def same_fact_merge(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("ref", F.col("l_orderkey").cast("string"))
+    return governance.same_facts(rows, ["l_partkey", "l_suppkey"], "ref", "l_shipdate", "l_shipdate").withColumn("refs", F.array_join("refs", ","))
+
+
+@query("select c_nationkey, round(count(distinct o_custkey) / count(distinct c_custkey), 6) as penetration_rate from customer left join orders on c_custkey = o_custkey group by 1", "")
+def penetration_rate(spark, d):
+    buyers = table(spark, d, "orders").select("o_custkey").distinct()
+    g = table(spark, d, "customer").join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey")
+    return g.agg(F.round(F.count("o_custkey") / F.count("*"), 6).alias("penetration_rate"))
+
+
+@query("select count(*) filter (o.k is null) as added, count(*) filter (o.v <> n.v) as updated, count(*) filter (n.k is null) as deprecated, count(o.k) as before, count(n.k) as after from o full join n on o.k = n.k",
+ "with o as (select o_orderkey as k, o_totalprice as v from orders where o_orderkey % 10 <> 0), n as (select o_orderkey as k, case when o_orderkey % 7 = 0 then o_totalprice + 1 else o_totalprice end as v from orders where o_orderkey % 10 <> 1)")
+def snapshot_change_report(spark, d):
+    orders = table(spark, d, "orders").selectExpr("o_orderkey as k", "o_totalprice as v")
+    new = orders.where("k % 10 <> 1").withColumn("v", F.when(F.col("k") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return governance.changes(orders.where("k % 10 <> 0"), new, "k", F.col("o.v") != F.col("n.v"))
+
+
+@query("select c_nationkey, c_custkey, place from (select *, row_number() over (partition by c_nationkey order by authority, c_acctbal desc, valid_to nulls first, c_custkey)::int as place from a) where place <= 3",
+ "with a as (select c_nationkey, c_custkey, c_acctbal, length(c_mktsegment) as authority, nullif(c_custkey % 4, 0) as valid_to from customer)")
+def authority_ranking(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_nationkey", "c_custkey", "c_acctbal", "length(c_mktsegment) as authority", "nullif(c_custkey % 4, 0) as valid_to")
+    return governance.ranked(rows, "c_nationkey", "authority", "c_acctbal", "valid_to", "c_custkey", 3).select("c_nationkey", "c_custkey", "place")
+
+
+@query("select distinct l_orderkey, l_linenumber::varchar as marker, l_quantity > 10 as resolved from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by 1, 2)", "")
+def citation_markers(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("marker"), "l_quantity")
+    reports = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("as stated [S"), "marker", F.lit("]"))), "; ").alias("text"))
+    return governance.markers(reports, "l_orderkey", "text", lines.where("l_quantity > 10"))
+
+
+@query()
+def near_duplicate(spark, d):
+    parts = table(spark, d, "part").selectExpr("p_partkey", "p_name")
+    return governance.near_duplicates(parts, parts.where("p_partkey % 10 <> 0"), "p_partkey", "p_name", "p_partkey")
+
+
+@query("""select 'customer' as target_type, o.id as target_id, 'promotion' as review_type, o.tenant as tenant_id, case when o.status = 'pending' and n.id is not null then 8 else o.priority end as priority,
+ case when o.status = 'pending' and n.id is not null then n.reason else 'old' end as reason, o.status from o left join n on o.id = n.id
+ union all select 'customer', n.id, 'promotion', n.tenant, 8, n.reason, 'pending' from n where n.id not in (select id from o where status = 'pending')""",
+ "with o as (select c_custkey as id, c_nationkey as tenant, 3 as priority, case when c_custkey % 2 = 0 then 'pending' else 'done' end as status from customer where c_custkey % 3 = 0), n as (select c_custkey as id, c_nationkey as tenant, c_mktsegment as reason from customer where c_custkey % 4 = 0)")
+def review_queue_upsert(spark, d):
+    c = table(spark, d, "customer").withColumns({"target_type": F.lit("customer"), "review_type": F.lit("promotion"), "target_id": F.col("c_custkey"), "tenant_id": F.col("c_nationkey")})
+    old = c.where("c_custkey % 3 = 0").selectExpr("target_type", "target_id", "review_type", "tenant_id", "3 as priority", "'old' as reason", "if(c_custkey % 2 = 0, 'pending', 'done') as status")
+    new = c.where("c_custkey % 4 = 0").selectExpr("target_type", "target_id", "review_type", "tenant_id", "8 as priority", "c_mktsegment as reason", "c_custkey as ord")
+    return upsert.queue_reviews(old, new, "ord")
+
+
+@query("select doc_id, case when doc_id % 2 <> 0 then 'inserted' when doc_id % 3 = 0 then 'updated' else 'skipped' end as action from documents", "")
+def register_documents(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    known = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("source_id"), exprs.content_hash("text").alias("content_hash"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = docs.select("doc_id", F.col("doc_id").alias("source_id"), exprs.content_hash(changed).alias("content_hash"))
+    return upsert.registered(known, new).select("doc_id", "action")
