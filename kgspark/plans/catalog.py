@@ -454,7 +454,7 @@ def supersedes_chain(spark, d):
     return governance.chains(table(spark, d, "orders").select("o_orderkey", prev.alias("prev")), "o_orderkey", "prev")
 
 
-@query("select doc_id, (row_number() over (partition by doc_id order by line_no) - 1)::int as order_index, char_start, char_start + length(raw) as char_end from lines", f"with {LINES}")
+@query("select doc_id, (row_number() over (partition by doc_id order by line_no) - 1)::int as order_index, char_start::bigint as char_start, (char_start + length(raw))::bigint as char_end from lines", f"with {LINES}")
 def spans_offsets(spark, d):
     return parse.spans(table(spark, d, "documents")).select("doc_id", F.col("order_index").cast("int").alias("order_index"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
