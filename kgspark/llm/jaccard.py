@@ -5,74 +5,100 @@ are joined through it. In any one order of all shingles, two sets whose
 similarity reaches the threshold share one of their first shingles, so they do in
 each of several orders:
 
-* the first order puts shingles with a rare word before those of common words
-  only, then goes by hash; its prefixes are the postings;
+* the first order puts shingles that few documents hold first, by hash, and then
+  those that many hold, by their number of documents; its prefixes are the postings;
 * further orders go by other hashes; each class carries its prefixes in those
   orders as small hash arrays, and a pair must share an element in each.
 
 Lengths and a parity bitmap (bits flip with each shingle of the difference, so
-set bits of the exclusive or bound it from below) are tested in the join as well.
+set bits of the exclusive or bound it from below) are tested as well.
 Only then are pairs verified, on their whole texts.
 
-A short posting list gives all its pairs. A long one is never expanded: in each round its members are
-paired with one pivot, and members that still belong to another component keep
-the pivot with which they share most lists. When rounds bring nothing new, the
-pairs of a list that lie in different components are joined under those tests. So links of a group of copies cost about one pair a
-member, and no link that could join two components is left out.
+A short posting list gives all its pairs. A long one is first paired with a few
+pivots of its own, and each member's closest ones are verified. In what
+stays, two members of different components include one outside the list's
+largest component: only those are paired with the list. So links of a group
+of copies cost a few pairs a member, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.session import drop_path, materialise, scratch, workers_import_this
+from kgspark.session import materialise, workers_import_this
 
 K, THRESHOLD = 5, 80
 #: Orders beside the first, and elements of a carried prefix are 32-bit hashes (equal shingles have equal ones).
 ORDERS = 2
 BITS = 32  # words of 64 bits in the parity bitmap
-#: A word is common if this share of a task's documents hold it, in one task at least.
-COMMON = 0.002
-PIVOT_ROUNDS = 3
+#: A shingle is common if this share of a task's documents hold it, in one task at least.
+COMMON, COMMON_KEPT = 0.0005, 100_000
+#: Pivots of a long list, and how many of them a member is verified with.
+PIVOTS, CLOSEST = 8, 3
 #: A list of so many members, or fewer, has all its pairs tried.
 SMALL = 8
-WORDS_KEPT = 300_000
+#: Bytes of text hashed at once; a longer word is taken whole.
+CHUNK = 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+_BASE = 0xD6E8FEB86659FD93  # odd: it has an inverse modulo 2 ** 64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words parted by ASCII white space, with A-Z in lower case: exactly what lower() and split() of bytes do."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M3
+    return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(1)
-def _kept() -> dict[bytes, int]:
-    return {}
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, A-Z as a-z, and whether the byte is ASCII white space."""
+    value = mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
+    value[65:91] = value[97:123]
+    blank = np.zeros(256, np.int8)
+    blank[[32, 9, 10, 11, 12, 13]] = 1
+    return value, blank
 
 
-def word_hashes(w: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker remembers a bounded number."""
-    kept = _kept()
-    if len(kept) > WORDS_KEPT:
-        kept.clear()
-    digest = xxhash.xxh3_64_intdigest
-    for x in set(w).difference(kept):
-        kept[x] = digest(x)
-    return np.fromiter(map(kept.__getitem__, w), np.uint64, len(w))
+_VALUE, _BLANK = _tables()
+_powers: list[np.ndarray] = []
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M3
-    return h ^ (h >> np.uint64(29))
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        n = max(n, 1 << 16)
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _powers
+
+
+def _hashed(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    up, down = _powers_to(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
+    turns = np.flatnonzero(np.diff(np.r_[np.int8(1), _BLANK[b], np.int8(1)]))
+    start, end = turns[::2], turns[1::2]
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words, parted by ASCII white space, with A-Z in lower case: polynomials of their UTF-8 bytes."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= CHUNK:
+        return _hashed(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        stop = _SPACE.search(raw, at + CHUNK)
+        end = stop.end() if stop else len(raw)
+        parts.append(_hashed(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -88,8 +114,15 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once (np.unique goes through a hash table, which is slower here)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def set_of(text: str | None, k: int) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text)), k))
+    """Sorted 63-bit hashes of a text's shingles, each once."""
+    return distinct(shingle_hashes(word_hashes(text), k) >> np.uint64(1))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -109,78 +142,99 @@ def carried(s: np.ndarray, percent: int, orders: int = ORDERS) -> tuple[list[np.
     return others, np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def common_words(docs: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Sorted hashes of words that are common in some task's documents.
+def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal hashes once, with the sum of their counts."""
+    x, c = np.concatenate(parts), np.concatenate(counts)
+    o = np.argsort(x)
+    x, c = x[o], c[o]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.add.reduceat(c, first) if len(x) else c
+
+
+def common_shingles(docs: DataFrame, k: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in some task's documents, and their ranks by number of documents.
 
-    A word that a share of all documents holds is held by that share in one task
-    at least. A task reports at most (words a document) / share words; any set makes a valid order.
+    A shingle that a share of all documents holds is held by that share in one
+    task at least. Any such table makes a valid order: only the cost depends on it, so its
+    size may be bounded.
     """
     workers_import_this(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, held = 0, Counter()
+        n, size, parts, counts = 0, 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in batches:
+            n += len(b)
             for text in b["text"]:
-                n += 1
-                held.update(set(words(text)))
-            if len(held) > 1_000_000:  # bounded: what is rare so far goes
-                held = Counter({x: k for x, k in held.items() if k > share * n / 2})
-        found = [xxhash.xxh3_64_intdigest(x) for x, k in held.items() if k >= max(2, share * n)]
-        yield pd.DataFrame({"word": np.array(found, np.uint64).view(np.int64)})
-
-    rows = docs.select("text").mapInPandas(run, "word long").groupBy("word").count()
-    top = rows.orderBy(F.desc("count"), "word").limit(100_000)  # only an order depends on these; the bound keeps what is sent small
-    return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
-
-
-def classes_of(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, class, n, first (prefix in the first order): a row per row of docs; class is null for an empty set."""
+                s = set_of(text, k)
+                parts.append(s)
+                counts.append(np.ones(len(s), np.int64))
+                size += len(s)
+            if size > 4_000_000:  # bounded: what is rare so far goes
+                x, c = _merged(parts, counts)
+                stay = c >= max(2, share * n / 2) if len(x) > 1_000_000 else c > 0
+                parts, counts, size = [x[stay]], [c[stay]], 0
+        x, c = _merged(parts, counts)
+        found = c >= max(3, share * n)
+        yield pd.DataFrame({"shingle": x[found].view(np.int64), "held": c[found]})
+
+    rows = docs.select("text").mapInPandas(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    top = rows.orderBy(F.desc("held"), "shingle").limit(COMMON_KEPT).collect()
+    h = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    o = np.argsort(h)
+    return h[o], (len(h) - o).astype(np.int64)
+
+
+def classes_of(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, class, n, first (prefix in the first order), bits, others: a row per row of docs; class is null for an empty set."""
     workers_import_this(docs.sparkSession)
+    table, ranks = common
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        p = prefix_size(len(s), percent)
+        if not len(table):
+            return s[:p]
+        at = np.minimum(np.searchsorted(table, s), len(table) - 1)
+        often = table[at] == s
+        rare = s[~often][:p]
+        if len(rare) == p:
+            return rare
+        late = np.argsort(ranks[at[often]])[: p - len(rare)]
+        return np.concatenate([rare, s[often][late]])
+
+    def row(text: str | None) -> tuple:
+        s = set_of(text, k)
+        if not len(s):
+            return None, 0, None, None, None
+        others, bits = carried(s, percent)
+        return xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s).view(np.int64), bits, others
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                h = word_hashes(words(text))
-                if not len(h):
-                    rows.append((None, 0, None))
-                    continue
-                # a hash with its top bit set comes last in the order
-                at = np.searchsorted(common, h)
-                often = (common[np.minimum(at, len(common) - 1)] == h) if len(common) else np.zeros(len(h), bool)
-                w = min(k, len(h))
-                n = len(h) - w + 1
-                last = often[:n].copy()
-                for i in range(1, w):
-                    last &= often[i : i + n]
-                s = shingle_hashes(h, k)
-                s = np.unique(s >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63))
-                rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), s[: prefix_size(len(s), percent)].view(np.int64)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("class", object), ("n", "int64"), ("first", object)))}})
-
-    return docs.mapInPandas(run, "doc_id long, class binary, n long, first array<long>")
-
-
-def with_sketches(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text, n, bits, others."""
+            rows = [row(text) for text in b["text"]]
+            kinds = (("class", object), ("n", "int64"), ("first", object), ("bits", object), ("others", object))
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(kinds)}})
+
+    return docs.mapInPandas(run, "doc_id long, class binary, n long, first array<long>, bits array<long>, others array<array<int>>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [set_of(t, k) for t in b["text"]]
-            got = [carried(s, percent) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"].astype(object), "n": [len(s) for s in sets], "bits": pd.Series([g[1] for g in got], dtype=object), "others": pd.Series([g[0] for g in got], dtype=object)})
 
-    return texts.mapInPandas(run, "doc_id long, text string, n long, bits array<long>, others array<array<int>>")
+def sizes(n1: Column, n2: Column, percent: int) -> Column:
+    return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
 
 
-def near(n1: Column, n2: Column, b1: Column, b2: Column, percent: int) -> Column:
-    """Whether sizes and bitmaps allow the threshold: the difference is at most (100 - t) / (100 + t) of the sizes' sum."""
-    differ = sum((F.bit_count(F.get(b1, F.lit(i)).bitwiseXOR(F.get(b2, F.lit(i)))) for i in range(BITS)), F.lit(0))
-    return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent) & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
+def difference(b1: Column, b2: Column) -> Column:
+    """Bits in which two bitmaps differ: at most as many as shingles do."""
+    return sum((F.bit_count(F.get(b1, F.lit(i)).bitwiseXOR(F.get(b2, F.lit(i)))) for i in range(BITS)), F.lit(0))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b: ids of representatives) whose sets' similarity reaches the threshold."""
+def near(n1: Column, n2: Column, differ: Column, percent: int) -> Column:
+    """Whether bitmaps allow the threshold: the difference is at most (100 - t) / (100 + t) of the sizes' sum."""
+    return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, b: ids of representatives) whose sets' similarity reaches the threshold, by their whole texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialise(docs.join(ids, "doc_id", "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -192,131 +246,124 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 if last[0] != tb:
                     last = (tb, set_of(tb, k))
                 x, y = set_of(ta, k), last[1]
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's edges as stars: each node with the least node its own edges reach."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist()):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    got = [(x, root(x)) for x in up]
+    yield pd.DataFrame([g for g in got if g[0] != g[1]], columns=["u", "v"], dtype="int64")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root (the least node reachable) for every node of edges (a, b), by alternating large and small stars.
 
-    Each round is a few aggregates and joins with equal keys; the edges are written between rounds.
+    Tasks contract their own edges first. Each round is a few aggregates and joins with equal keys; the edges are written between rounds.
     """
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    workers_import_this(edges.sparkSession)
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInPandas(_stars, "u long, v long")
+    e, seen = materialise(e.distinct(), "cc"), None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = materialise(small.where("u <> v").distinct(), "cc")
-        same = new.count() == e.count() and new.exceptAll(e).isEmpty()
-        e = new
-        if same:
+        e = materialise(small.where("u <> v").distinct(), "cc")
+        # settled: every edge leads to a root, and each node has one
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, pivot_rounds: int = PIVOT_ROUNDS, small: int = SMALL) -> DataFrame:
+def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links): a row per row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their
     sets. Null, empty and blank texts have no shingles and no links. A text of fewer than k words is one
     shingle. Equal texts are one class; rows with one doc_id are joined by it. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(classes_of(docs, k, percent, common_words(docs)), "classes")
+    rows = materialise(classes_of(docs, k, percent, common_shingles(docs, k)), "classes")
     members = rows.select("doc_id", "class", "n")
-    reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    firsts = rows.join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
+    reps = materialise(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "reps")
+    firsts = rows.select("doc_id", "class", "n", "first").join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
     postings = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = materialise(postings.join(shared, "key"), "lists")
     few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
     # a short list has few pairs, whatever the corpus size: all of them are candidates whose sizes allow it
-    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & sizes)
-    pairs = materialise(pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("lists")), "pairs")
-    active = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct(), "active")
-
-    # texts and sketches of active representatives, stored by id: rounds read them without moving them again
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"kgspark_texts_{uuid.uuid4().hex[:12]}", scratch(spark, "texts")
-    texts = with_sketches(docs.join(active, F.col("doc_id") == F.col("id"), "left_semi"), k, percent)
-    texts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "doc_id").saveAsTable(name)
-    stored = spark.table(name)
-    edges: DataFrame | None = None
-    roots = active.select("id", F.col("id").alias("root"))
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & sizes(F.col("x.n"), F.col("y.n"), percent))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("pivot"))
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n")) for r in range(PIVOTS)]
+    pivots = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*chosen), lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n")))).alias("ps"))
+    paired = large.join(pivots, "key").select("id", "n", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & sizes(F.col("n"), F.col("p.n"), percent))
+    pairs = pairs.unionByName(paired.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.lit(1).alias("pivot")))
+    pairs = materialise(pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "pairs")
+
+    sketches = rows.select("doc_id", "class", "n", "bits", "others").join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").drop("class")
+    active = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
+    sketches = materialise(sketches.join(active, "doc_id", "left_semi"), "sketches")
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) that pass sizes, bitmaps and the further orders."""
-        side = lambda c: stored.select(*[F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "n", "bits", "others")])
-        got = pairs.join(side("a"), F.col("a") == F.col("a_doc_id")).join(side("b"), F.col("b") == F.col("b_doc_id"))
-        got = got.where(near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent))
+        """Pairs (a, b, ...) that pass bitmaps and the further orders, with their bitmaps' difference."""
+        side = lambda c: sketches.select(*[F.col(x).alias(f"{c}_{x}" if x != "doc_id" else c) for x in ("doc_id", "n", "bits", "others")])
+        got = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", difference(F.col("a_bits"), F.col("b_bits")))
+        got = got.where(sizes(F.col("a_n"), F.col("b_n"), percent) & near(F.col("a_n"), F.col("b_n"), F.col("differ"), percent))
         for o in range(ORDERS):
             got = got.where(F.arrays_overlap(F.get("a_others", F.lit(o)), F.get("b_others", F.lit(o))))
-        return got.select(*pairs.columns)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """Of a's pairs (a, b, lists), the one with most lists in common."""
-        return pairs.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", "m.b")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(ra, "a").join(rb, "b").where("ra <> rb").drop("ra", "rb")
-
-    def settle(pairs: DataFrame) -> bool:
-        """Verify pairs and join the components of those that link; whether any did."""
-        nonlocal edges, roots
-        found = materialise(verified(materialise(pairs.select("a", "b"), "pairs"), stored, k, percent), "links")
-        if found.isEmpty():
-            return False
-        edges = found if edges is None else edges.unionByName(found)
-        cc = components(edges)
-        roots = materialise(active.join(cc, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
-        return True
-
-    def pivots(r: int) -> DataFrame:
-        """Members of large lists paired with the list's pivot of round r, where they are in different components."""
-        rooted = large.drop("n").join(roots, "id")
-        pivot = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "root")).alias("p"))
-        return rooted.join(pivot, "key").where("root <> p.root").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("lists"))
-
-    try:
-        pairs = materialise(filtered(pairs), "candidates")
-        settle(best(pairs))
-        if not large.isEmpty():
-            for r in range(pivot_rounds):
-                if not settle(best(filtered(pivots(r)))):
-                    break
-        # what is left: candidates in different components, and such pairs of large lists
-        rest = apart(pairs).select("a", "b")
-        if not large.isEmpty():
-            rooted = large.drop("n").join(roots, "id")
-            parted = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            rooted = rooted.join(parted, "key")
-            keys = rooted.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a prefix at most
-            left = materialise(rooted.join(stored.select(F.col("doc_id").alias("id"), "n", "bits"), "id").join(keys, "id"), "left")
-            x, y = left.alias("x"), left.alias("y")
-            test = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-            test = test & near(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent)
-            test = test & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))  # each pair in one list only
-            more = x.join(y, test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            rest = rest.unionByName(filtered(more)).distinct()
-        settle(rest)
-    finally:
-        spark.sql(f"drop table if exists {name}")
-        drop_path(spark, path)
+        return got.select(*pairs.columns, "differ")
+
+    found = materialise(filtered(pairs), "candidates")
+    # of its pivots, as many as a prefix has lists at most, a member keeps the closest
+    closest = found.where("pivot = 1").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differ", "b"))), 1, CLOSEST).alias("m")).select("a", F.explode("m").alias("m"))
+    tried = materialise(found.where("pivot = 0").select("a", "b").unionByName(closest.select("a", "m.b")).distinct(), "tried")
+    links = materialise(verified(tried, docs, k, percent), "links")
+    roots = components(links)
+    if not large.isEmpty():
+        rooted = large.drop("n", "df").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        held = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts"))
+        rooted = rooted.join(held.where("parts > 1").select("key", F.col("m.root").alias("main")), "key")
+        left = materialise(rooted.join(sketches.select(F.col("doc_id").alias("id"), "n", "bits"), "id"), "left")
+        x, y = left.where("root <> main").alias("x"), left.alias("y")
+        # each pair of different components once: with the largest one from outside it, else from the greater id
+        test = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
+        test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), difference(F.col("x.bits"), F.col("y.bits")), percent)
+        more = x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+        more = materialise(filtered(more).select("a", "b").distinct(), "more")
+        if not more.isEmpty():
+            links = links.unionByName(materialise(verified(more, docs, k, percent), "links"))
+            roots = components(links)
 
     # back to the rows: ids of one class, and classes of one id, belong together
-    whole = reps.join(roots, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("root"))
+    whole = reps.join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = members.join(whole, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     # a row whose id also stands under another class: both classes are one component
+    of = F.coalesce("class", F.lit(b""))
+    if members.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").isEmpty():
+        return out
     split = out.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
     split = materialise(split, "split")
     if split.isEmpty():
