@@ -307,9 +307,10 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMA
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(classes_of(docs, k, percent, common_shingles(docs, k)), "classes")
     members = rows.select("doc_id", "class", "n")
-    reps = materialise(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "reps")
-    firsts = rows.select("doc_id", "class", "n", "first").join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
-    postings = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("first").alias("key"))
+    # the row of each class's least id stands for it; copies meet in partial aggregates
+    least = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "first")).alias("m"))
+    reps = materialise(least.select("class", F.col("m.doc_id").alias("rep"), "m.n", "m.first"), "reps")
+    postings = reps.select(F.col("rep").alias("id"), "n", F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = materialise(postings.join(shared, "key"), "lists")
     few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
@@ -323,9 +324,10 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMA
     pairs = pairs.unionByName(paired.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.lit(1).alias("pivot")))
     pairs = materialise(pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "pairs")
 
-    sketches = rows.select("doc_id", "class", "n", "bits", "others").join(reps.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").drop("class")
     active = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
-    sketches = materialise(sketches.join(active, "doc_id", "left_semi"), "sketches")
+    # an id with several texts stands for all of them: rows with one id are one component
+    sketches = rows.where("class is not null").select("doc_id", "n", "bits", "others").join(active, "doc_id", "left_semi").distinct()
+    sketches = materialise(sketches, "sketches")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) that pass bitmaps and the further orders, with their bitmaps' difference."""
@@ -358,7 +360,7 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMA
             roots = components(links)
 
     # back to the rows: ids of one class, and classes of one id, belong together
-    whole = reps.join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
+    whole = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = members.join(whole, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     # a row whose id also stands under another class: both classes are one component
     of = F.coalesce("class", F.lit(b""))
