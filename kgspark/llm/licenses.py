@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Every sentence below holds one of these, so sentences without any need no look-up.
-CRITICAL = r"licen[cs]|copyright|warrant|permi|redistribut|public domain|liab|provided|spdx|endorse|as is|sublicense|notice"
+#: Every sentence that a pattern below fits holds one of these, with its optional parts left out too, so sentences without any need no look-up.
+CRITICAL = r"licen[cs]|spdx|released|distribut|dedicated|placed|permission|copyright|\(c\)|©|warrant|liable|endorse|provided|reserved"
 
 #: Licence sentences after normalisation (lower case, no quotes, single spaces, no full stop), as
 #: (identifier, pattern of the whole sentence). The first that fits names the sentence.
@@ -111,9 +111,12 @@ END = r"(?=;|$)"
 BREAK = r"[.!?]+ +|[.!?]*\n+"
 
 
+QUOTES = "\"'`“”‘’"
+
+
 def normalised(sentence: Column) -> Column:
     s = F.lower(sentence)
-    s = F.regexp_replace(s, "[\"'`“”‘’]+", "")
+    s = F.regexp_replace(s, f"[{QUOTES}]+", "")
     s = F.regexp_replace(s, r"^[ \t*/#;>-]+|[ \t\r*/]+$", "")
     s = F.regexp_replace(s, r"[ \t\r]+", " ")
     return F.regexp_replace(s, r"[ .,;:!]+$", "")
@@ -132,9 +135,13 @@ def sentence_id(s: Column) -> Column:
     return out.otherwise(F.lit("?"))
 
 
+def needs_look_up(text: Column) -> Column:
+    return F.translate(F.lower(text), QUOTES, "").rlike(CRITICAL)
+
+
 def licenses(text: Column) -> Column:
     """struct(sequence, licenses): known identifiers in their order, and licences found, in the rules' order."""
-    candidates = F.filter(F.split(unwrapped(text), BREAK), lambda s: F.lower(s).rlike(CRITICAL))
+    candidates = F.filter(F.split(unwrapped(text), BREAK), needs_look_up)
     ids = F.filter(F.transform(candidates, lambda s: sentence_id(normalised(s))), lambda s: s != "?")
     sequence = F.coalesce(F.array_join(F.transform(ids, lambda s: F.concat(F.lit(";"), s)), ""), F.lit(""))
     rules = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(f"(?:{p}){END}").alias("pattern")) for n, p in RULES])
@@ -154,7 +161,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Null, empty and unlicensed texts give empty strings and 0; repeated rows stay; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hit = F.when(F.lower(text).rlike(CRITICAL), licenses(text))
+    hit = F.when(needs_look_up(text), licenses(text))
     return docs.select("doc_id", hit.alias("hit")).select(
         "doc_id",
         F.coalesce("hit.sequence", F.lit("")).alias("sequence"),

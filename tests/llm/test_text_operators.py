@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -29,6 +30,34 @@ def test_known_sentences_hold_a_critical_word():
         assert re.search(licenses.CRITICAL, pattern.replace("(c)", "copyright")), pattern
 
 
+def shortest(parsed):
+    """Sentences that a parsed pattern fits with its optional parts left out, one for each choice of branches."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            part = ["x" if str(arg[2][0][0]) == "ANY" else ""] if arg[0] == 0 else ["".join(x) for x in itertools.product(shortest(arg[2]), repeat=arg[0])]
+        else:
+            part = {"LITERAL": lambda: [chr(arg)], "ANY": lambda: ["x"], "SUBPATTERN": lambda: shortest(arg[-1]), "BRANCH": lambda: [x for b in arg[1] for x in shortest(b)], "IN": lambda: [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]}[name]()
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_shortest_known_sentences_are_looked_up(spark):
+    known = [s for _, pattern in licenses.SENTENCES for s in shortest(re._parser.parse(pattern))]
+    assert len(known) > 100 and all(re.search(licenses.CRITICAL, s) for s in known)
+    rows = list(enumerate([f"{s.capitalize()}." for s in known]))
+    got = {r.doc_id: r.sequence for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [known[i] for i in got if not got[i]] == []
+
+
+def test_licenses_of_short_statements(spark):
+    exp = {"All rights reserved.": "LicenseRef-all-rights-reserved", "Copyright 2020 Foo. All rights reserved.": "LicenseRef-all-rights-reserved", "Released under GPL v3.": "GPL-3.0", "Released under CC BY 4.0.": "CC-BY", "Dedicated under CC0 1.0.": "CC0-1.0"}
+    rows = list(enumerate(exp))
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i, _ in rows] == list(exp.values())
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
