@@ -8,6 +8,8 @@ Everything happens within a row, so there is no shuffle and no skew.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Every sentence that a pattern below fits holds one of these, with its optional parts left out too, so sentences without any need no look-up.
@@ -107,32 +109,47 @@ RULES = (
 END = r"(?=;|$)"
 
 
-#: Sentence ends: a stop before a space, a line feed after which a new sentence may begin, or a blank line.
-BREAK = r"[.!?]+ +|[.!?]*\n+"
-
-
+#: In a cut text: ends a sentence for sure; may end one or stand inside it (a wrapped line, `;`, an abbreviation); a found identifier stands between two of these.
+HARD, SOFT, MARK = "\n", "\x02", "\x01"
 QUOTES = "\"'`“”‘’"
+#: A stop after one of these, or after a single letter, need not end a sentence.
+ABBREVIATIONS = r"(?<![\p{L}0-9_.])((?:[vV]er|[vV]s|[nN]o|[iI]nc|[lL]td|[cC]o|[cC]orp|[eE]\.g|[iI]\.e|[cC]f|\p{L})\.)"
+#: Identifiers whose open parts (`.*`) stay within a line.
+ONE_LINE = ("spdxOther", "reserved", "copyright")
 
 
-def normalised(sentence: Column) -> Column:
-    s = F.lower(sentence)
-    s = F.regexp_replace(s, f"[{QUOTES}]+", "")
-    s = F.regexp_replace(s, r"^[ \t*/#;>-]+|[ \t\r*/]+$", "")
-    s = F.regexp_replace(s, r"[ \t\r]+", " ")
-    return F.regexp_replace(s, r"[ .,;:!]+$", "")
-
-
-def unwrapped(text: Column) -> Column:
-    """Line feeds inside a sentence (before a lower-case letter, after comment marks, with no stop before them) become spaces."""
-    return F.regexp_replace(text, r"(?<![.!?:\n])\r?\n[ \t*/#;>-]*(?=[a-z(])", " ")
+def cut(text: Column) -> Column:
+    """Normalised sentences (lower case, no quotes or comment marks, single spaces), with HARD and SOFT between them.
 
-
-def sentence_id(s: Column) -> Column:
-    out = None
-    for name, pattern in SENTENCES:
-        hit = s.rlike(f"^(?:{pattern})$")
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit("?"))
+    A line feed before a lower-case letter or `(` goes on with its sentence. One before anything else may end it or not,
+    so it is SOFT, and patterns may begin, end or go on there.
+    """
+    s = F.translate(text, QUOTES + MARK + SOFT, "")
+    s = F.regexp_replace(s, r"\r\n?", "\n")
+    s = F.regexp_replace(s, r"[ \t]+", " ")
+    s = F.regexp_replace(s, r"(?<![^\n])[ */#;>-]++", "")
+    s = F.regexp_replace(s, r"(?<![ */])[ */]++(?=\n|\z)", "")
+    s = F.regexp_replace(s, r"\n++(?=https?://)", SOFT)
+    s = F.regexp_replace(s, rf"{ABBREVIATIONS}(?: |\n(?!\n))", f"$1{SOFT}")
+    s = F.regexp_replace(s, r"(?<![.!?:;\n])\n(?=[a-z(])", " ")
+    s = F.regexp_replace(s, r"(?<![.!?:\n])\n(?!\n)|(?<=;) ", SOFT)
+    s = F.regexp_replace(s, r"(?<![.!?])[.!?]++ ", HARD)
+    return F.lower(F.regexp_replace(s, r"(?<=[\n\x02])[ */#;>-]++", ""))
+
+
+def within(name: str, pattern: str) -> str:
+    """A sentence's pattern over a cut text: from a sentence's possible start to its possible end."""
+    p = pattern.replace("[ -]", rf"[ {SOFT}-]")
+    p = re.sub(r" (?!\x02)", f"[ {SOFT}]", p)
+    p = re.sub(r"(?<!\\)\.(?=[*+])", f"[^{HARD}{MARK}{SOFT if name in ONE_LINE else ''}]", p)
+    return rf"(?<![^{HARD}{SOFT}])(?:{p})[ .,;:!?]*+(?=[{HARD}{SOFT}]|\z)"
+
+
+def known(sentences: Column) -> Column:
+    """The cut sentences with each known one replaced by its identifier between marks: fixed ones before those with open parts."""
+    for name, pattern in sorted(SENTENCES, key=lambda x: bool(re.search(r"(?<!\\)\.[*+]", x[1]))):
+        sentences = F.regexp_replace(sentences, within(name, pattern), f"{MARK}{name}{MARK}")
+    return sentences
 
 
 def needs_look_up(text: Column) -> Column:
@@ -141,9 +158,13 @@ def needs_look_up(text: Column) -> Column:
 
 def licenses(text: Column) -> Column:
     """struct(sequence, licenses): known identifiers in their order, and licences found, in the rules' order."""
-    candidates = F.filter(F.split(unwrapped(text), BREAK), needs_look_up)
-    ids = F.filter(F.transform(candidates, lambda s: sentence_id(normalised(s))), lambda s: s != "?")
-    sequence = F.coalesce(F.array_join(F.transform(ids, lambda s: F.concat(F.lit(";"), s)), ""), F.lit(""))
+    one = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731 (the value is worked out once)
+    candidates = F.array_join(F.filter(F.split(cut(text), HARD), lambda s: s.rlike(CRITICAL)), HARD)
+    ids = one(candidates, lambda s: F.regexp_extract_all(known(s), F.lit(f"{MARK}([^{MARK}]+){MARK}"), F.lit(1)))
+    return one(F.array_join(F.transform(ids, lambda s: F.concat(F.lit(";"), s)), ""), matched)
+
+
+def matched(sequence: Column) -> Column:
     rules = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(f"(?:{p}){END}").alias("pattern")) for n, p in RULES])
     zero = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.struct(

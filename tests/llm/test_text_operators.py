@@ -58,6 +58,110 @@ def test_licenses_of_short_statements(spark):
     assert [got[i] for i, _ in rows] == list(exp.values())
 
 
+APACHE = """Copyright 2020 The Foo Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)."""
+MIT = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY."""
+HEADERS = [
+    (APACHE, "Apache-2.0", ";copyright;apache2;apache2Not;apache2Copy;apache2Basis;apache2See"),
+    (GPL.format(":", ",", 3), "GPL-3.0-or-later", ";gplFree3;gplHope;gplSee;gplCopy"),
+    (GPL.format(";", ";", 2), "GPL-2.0-or-later", ";gplFree2;gplHope;gplSee;gplCopy"),
+    (BSD2 + BSD3 + BSD_END, "BSD-3-Clause", ";bsdPre;bsdSource;bsdBinary;bsdEndorse;bsdAsIs;bsdLiab"),
+    (BSD2 + BSD_END, "BSD-2-Clause", ";bsdPre;bsdSource;bsdBinary;bsdAsIs;bsdLiab"),
+    (MIT, "MIT", ";copyright;mitGrant;mitNotice;mitAsIs;mitLiab"),
+    (ISC, "ISC", ";iscGrant;iscAsIs"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0", ";mpl2"),
+    ("Licensed under the GNU Affero General Public\nLicense, Version 3", "AGPL-3.0", ";agplAny"),
+    ("Licensed under the GNU Lesser General Public\nLicense v2.1 or later", "LGPL", ";lgplAny"),
+    ("Licensed under the GNU General Public\nLicense, Version 3", "GPL-3.0", ";gpl3Any"),
+    ("Licensed under the GNU General Public License\nVersion 2", "GPL-2.0", ";gpl2Any"),
+    ("Licensed under the GNU General Public\nLicense", "GPL", ";gplNoVersion"),
+    *[(f"This work is licensed under a Creative\nCommons {n} 4.0\nInternational License.", s, f";{i}") for n, s, i in (("Attribution-NonCommercial-NoDerivatives", "CC-BY-NC-ND", "ccByNcNd"), ("Attribution-NonCommercial-ShareAlike", "CC-BY-NC-SA", "ccByNcSa"), ("Attribution-NonCommercial", "CC-BY-NC", "ccByNc"), ("Attribution-ShareAlike", "CC-BY-SA", "ccBySa"), ("Attribution-NoDerivatives", "CC-BY-ND", "ccByNd"), ("Attribution", "CC-BY", "ccBy"))],
+    ("Dedicated under Creative Commons\nZero 1.0\nUniversal", "CC0-1.0", ";cc0"),
+    ("Licensed under the 3-clause\nBSD License", "BSD", ";bsdAny"),
+    ("This is free and unencumbered software released into the\nPublic Domain.", "Unlicense", ";unlicense"),
+    ("Placed in the Public\nDomain", "LicenseRef-public-domain", ";publicDomain"),
+    ("Some Title\nCopyright 2020 Foo Inc. Licensed under the MIT License\nMore Text", "MIT", ";copyright;mit"),
+    ("Copyright 2020 Foo\nAll Rights\nReserved", "LicenseRef-all-rights-reserved", ";copyright;reserved"),
+    ("The other library is\nlicensed under the MIT License", "", ""),
+    *[(f"SPDX-License-Identifier: {i}\nImport x", n, f";{s}") for i, n, s in (("Apache-2.0", "Apache-2.0", "spdxApache2"), ("MIT", "MIT", "spdxMit"), ("GPL-3.0-only", "GPL-3.0", "spdxGpl3"), ("GPL-2.0+", "GPL-2.0", "spdxGpl2"), ("BSD-3-Clause", "BSD-3-Clause", "spdxBsd3"), ("BSD-2-Clause", "BSD-2-Clause", "spdxBsd2"), ("MPL-2.0", "MPL-2.0", "spdxMpl2"), ("Zlib", "LicenseRef-other", "spdxOther"))],
+]
+
+
+def test_licenses_of_stock_headers(spark):
+    for lead in ("", " * ", "// ", "# "):
+        rows = [(i, "".join(f"{lead}{x}".rstrip() + "\n" for x in h.split("\n"))) for i, (h, _, _) in enumerate(HEADERS)]
+        got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+        assert [(got[i].licenses, got[i].sequence) for i, _ in rows] == [(n, s) for _, n, s in HEADERS], lead
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
