@@ -182,7 +182,7 @@ def find(text: str | None, ix: Index, threshold: float = RETRIEVE) -> list[tuple
 
 def shards(benchmark: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The benchmark in shards of at most SHARD_CHARS characters (by a hash of the item), and its rows with a word."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(r"\w")).dropDuplicates()
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(r"(?U)[\w\p{N}]")).dropDuplicates()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-2 * chars // SHARD_CHARS)  # twice as many as would do, for uneven hashes
     return ([rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]) if chars else [], rows

@@ -62,6 +62,13 @@ def test_decontamination(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_items_in_other_scripts(spark):
+    items = [(1, "Сколько спутников обращается вокруг планеты Марс сегодня? Вокруг Марса обращаются два спутника."), (2, "法国的首都，是，哪一座，城市，呢？答案，是，巴黎，这座，城市。"), (3, "² ½ ³ ¼ ¹ ¾. ² ² ³ ³ ½ ½."), (4, "…")]
+    docs = [(i, f"Some words before. {t} Some words after.") for i, t in items] + [(9, "Some words before. Some words after.")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_revisits_against_a_loop(spark):
     rng = random.Random(9)
     rows = []
