@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -75,12 +76,17 @@ def merge_hits(hits: DataFrame, limit: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """query_id, vec_id, similarity: the k nearest vectors of each query by cosine.
 
-    The queries are counted first: up to max_queries they are broadcast and
-    the vectors are read once; more would need another way and are refused. Spark's
+    The queries are counted first and dealt by a hash of their ids into blocks of about half
+    max_queries; each block is broadcast and the vectors are read once for it. Spark's
     window group limit keeps each task's best k before the shuffle.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError("too many queries for one pass: run them in blocks")
+    n = queries.count()
+    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)  # twice as many as would do, for uneven hashes
+    best = [_nearest(vectors, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, best)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("qv")), 6).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

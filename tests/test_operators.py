@@ -100,3 +100,9 @@ def test_stream_batches(spark, tmp_path):
 def test_intent():
     i = retrieve.intent("这个 品牌 的产品有哪些？")
     assert i.brand and "product" in i.types and not i.overview
+
+
+def test_nearest_runs_more_queries_than_a_block_holds(spark):
+    v = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
+    got = lambda n: sorted(map(tuple, retrieve.nearest(v, v.where("vec_id % 2 = 0"), 3, n).collect()))
+    assert got(7) == got(29) == got(30) and len(got(7)) == 90
