@@ -303,8 +303,30 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMA
     Two documents link when 100 * intersection >= percent * union of their
     sets. Null, empty and blank texts have no shingles and no links. A text of fewer than k words is one
     shingle. Equal texts are one class; rows with one doc_id are joined by it. Other columns are ignored.
+    A row whose doc_id is null links as any other, with no row but by its text; a component of such rows only has a null component_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, least = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    out = linked(docs.drop("doc_id").withColumnRenamed("kg_id", "doc_id"), k, percent, small)
+    if least is None:
+        return out
+    real = lambda c: F.when(F.col(c) < least, F.col(c)).alias(c)
+    return out.select(real("doc_id"), "n_shingles", real("component_id"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with kg_id: the doc_id, or for a null one a number of its own above all ids; and the least of these numbers, None if no id is null."""
+    key = F.col("doc_id").cast("long")
+    top, nulls = docs.select(F.max(key), F.count_if(F.col("doc_id").isNull())).first()
+    if not nulls:
+        return docs.withColumn("kg_id", key), None
+    least = max(top or 0, 0) + 1
+    # written, so that a row keeps its number
+    own = F.lit(least).cast("long") + F.monotonically_increasing_id()
+    return materialise(docs.withColumn("kg_id", F.coalesce(key, own)), "numbered"), least
+
+
+def linked(docs: DataFrame, k: int, percent: int, small: int) -> DataFrame:
+    """link() for documents (doc_id, text) none of whose ids is null."""
     rows = materialise(classes_of(docs, k, percent, common_shingles(docs, k)), "classes")
     members = rows.select("doc_id", "class", "n")
     # the row of each class's least id stands for it; copies meet in partial aggregates
@@ -376,12 +398,14 @@ def link(docs: DataFrame, k: int = K, percent: int = THRESHOLD, small: int = SMA
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
     """One document of each group of links stays, the one with the least id; columns stay as they are."""
-    linked = link(docs, k, percent)
-    stay = linked.where("doc_id = component_id").select(F.col("doc_id").alias("kg_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == F.col("kg_id"), "left_semi")
+    rows, _ = numbered(docs)
+    groups = linked(rows.select(F.col("kg_id").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent, SMALL)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kg_id")).distinct()
+    kept = rows.join(stay, "kg_id", "left_semi")
     # rows that repeat an id are copies or one component: one of them stays
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
+    kept = kept.dropDuplicates(["kg_id"]) if _repeats(rows) else kept
+    return kept.select(*docs.columns)
 
 
 def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return not docs.groupBy("kg_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

@@ -103,7 +103,7 @@ def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     """Scan blobs of versions(path, text) whose (blob, version) pair the ledger lacks, append them, and return the ledger.
 
     Null texts count as empty. Any number of paths and repeated rows may share a
-    blob: one copy is scanned. ledger is a Parquet folder (blob, version, spans)
+    blob: one copy is scanned. Paths may be null. ledger is a Parquet folder (blob, version, spans)
     on the shared store; a scan that failed leaves no rows there, so it can be run again.
     """
     spark = versions.sparkSession
@@ -112,7 +112,11 @@ def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     unseen = rows.groupBy("blob").agg(F.min("path").alias("path"))
     if seen is not None:
         unseen = unseen.join(seen.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    fresh = rows.join(unseen, ["path", "blob"], "left_semi").select("blob", F.lit(version).alias("version"), all_spans(F.col("text"), rules).alias("spans"))
+    fresh = rows.join(unseen, ["path", "blob"], "left_semi").select("blob", "text")
+    if not versions.where("path is null").isEmpty():
+        bare = rows.where("path is null").join(unseen.where("path is null"), "blob", "left_semi")
+        fresh = fresh.unionByName(bare.select("blob", "text").dropDuplicates(["blob"]))
+    fresh = fresh.select("blob", F.lit(version).alias("version"), all_spans(F.col("text"), rules).alias("spans"))
     fresh.write.mode("append").parquet(ledger)
     return spark.read.schema(f"blob string, version string, spans array<{SPAN}>").parquet(ledger)
 

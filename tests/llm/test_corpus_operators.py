@@ -49,6 +49,22 @@ def test_bin_completion_beats_or_meets_best_fit():
         assert packing.lower_bound(dict(hist), 2048) <= sum(n for _, n in best) <= sum(n for _, n in packing.best_fit_decreasing(dict(hist), 2048))
 
 
+def test_links_of_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, lone = " ".join(base), " ".join([*base[:59], "x"]), " ".join(f"z{i}" for i in range(30))
+    rows = [(None, near), (7, near), (5, near), (9, other), (None, lone), (None, lone), (None, "third " + lone), (None, ""), (None, None), (12, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.link(docs, k=3, percent=80).collect())
+    assert got == collections.Counter([(None, 5), (7, 5), (5, 5), (9, 5), *[(None, None)] * 5, (12, 12)])
+    # a text held under null ids only joins the others' groups
+    bridge = spark.createDataFrame([(3, " ".join(base[:50])), (None, " ".join(base[:45])), (4, " ".join(base[:40]))], DOCS)
+    assert {(r.doc_id, r.component_id) for r in jaccard.link(bridge, k=3, percent=87).collect()} == {(3, 3), (None, 3), (4, 3)}
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs, k=3, percent=80).collect()]
+    assert sorted(x for x in kept if x[0]) == [(5, near), (12, "")]
+    bare = [t for i, t in kept if i is None]
+    assert len(bare) == 3 and "" in bare and None in bare and any(t and lone in t for t in bare)
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))

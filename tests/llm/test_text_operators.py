@@ -195,6 +195,15 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert secret_scan.scan_new(new, at, version="rules-2").count() == 6
 
 
+def test_secrets_under_null_ids(spark, tmp_path):
+    rows = [(None, "token = abcdef1"), (None, "token = abcdef1"), (1, "password=hunter22"), (None, "password=hunter22"), (None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = collections.Counter((r.doc_id, r.base_sha256) for r in secret_scan.digest(secret_scan.scan_documents(df)).collect())
+    assert got == collections.Counter((i, hashlib.sha256(brute_secrets(t or "").encode()).hexdigest()) for i, t in rows)
+    assert all("[SECRET]" in r.text for r in secret_scan.redact_documents(df).collect() if r.text)
+    assert secret_scan.scan_new(df.selectExpr("doc_id as path", "text"), str(tmp_path / "l"), first_run=True).count() == 3  # one copy of a text
+
+
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
