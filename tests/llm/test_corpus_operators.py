@@ -194,3 +194,18 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert 0 < len(ids) <= first and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_repeats_count_over_the_whole_host(spark):
+    notice = "please accept all of our many cookies before you go on reading"
+    page = lambda i: f"<body><p>{notice if i % 40 == 0 else ''}</p><p>" + " ".join(f"u{i}x{j}" for j in range(30)) + "</p></body>"
+    df = spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(400)], "page_id long, url string, html string")
+    got = {n: {r.page_id: r.text for r in html_text.extract(df, shard_pages=n).collect()} for n in (1000, 20)}
+    assert got[1000] == got[20] and len(got[20]) == 400
+    assert not any(notice in t for t in got[20].values()) and all(f"u{i}x29" in got[20][i] for i in range(400))
+    rng = random.Random(4)
+    for _ in range(200):
+        streams = [[rng.randint(0, 2) for _ in range(rng.randint(0, 25))] for _ in range(6)]
+        held = collections.Counter(h for s in streams for h in set(html_text.run_hashes(s).tolist()))
+        hot = np.array([h for h, c in held.items() if c >= html_text.MIN_PAGES], np.uint64)
+        assert all((a == html_text.covered(s, hot)).all() for s, a in zip(streams, html_text.repeated(streams)))
