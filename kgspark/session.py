@@ -52,11 +52,50 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kgspark-{name}-{uuid.uuid4().hex[:12]}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write df and read it back. What it shuffled is deleted once it is written: a later reader needs the files only."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, scratch(df.sparkSession, name))
+
+
+class Scratch:
+    """Intermediates under the shared folder, deleted one by one or all at the end of a `with` block."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.names = spark, scratch(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialise(), under this folder."""
+        self.names += 1
+        path = f"{self.path}/{self.names}-{name}"
+        out = _written(df, path)
+        out.kg_path = path
+        return out
+
+    def drop(self, *written: DataFrame) -> None:
+        """Delete what write() gave, which nothing may read again."""
+        for df in written:
+            drop_path(self.spark, df.kg_path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop_path(self.spark, self.path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
