@@ -6,24 +6,28 @@ similarity reaches the threshold share one of their first shingles, so they do i
 each of several orders:
 
 * the first order puts shingles that few documents hold first, by hash, and then
-  those that many hold, by their number of documents; its prefixes are the postings;
-* further orders go by other hashes; each class carries its prefixes in those
-  orders as small hash arrays, and a pair must share an element in each.
+  those that more hold, by their number of documents; its prefixes are the postings;
+* further orders go by other hashes; each class has its prefixes in those
+  orders as hash arrays, and a pair must share an element in each.
 
 Lengths and a parity bitmap (bits flip with each shingle of the difference, so
-set bits of the exclusive or bound it from below) are tested as well.
+set bits of the exclusive or bound it from below) are tested as well, the cheaper test first.
 Only then are pairs verified, on their whole texts.
 
 A short posting list gives all its pairs. A long one is first paired with a few
-pivots of its own, and each member's closest ones are verified. In what
-stays, two members of different components include one outside the list's
-largest component: only those are paired with the list. So links of a group
+pivots of its own, and each member's closest ones are verified. What then
+stays are members of long lists in different components. Their sets are cut
+into one part more than a linked pair can differ in shingles, so a linked pair has
+a part in common as a whole: the lists of equal parts split the long lists, and
+hold near copies only. In these, a pair of different components includes a member outside the list's
+largest one: only those are paired with the list. So links of a group
 of copies cost a few pairs a member, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +35,19 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.session import materialise, workers_import_this
+from kgspark.session import Scratch, materialise, workers_import_this
 
 K, THRESHOLD = 5, 80
 #: Orders beside the first, and elements of a carried prefix are 32-bit hashes (equal shingles have equal ones).
 ORDERS = 2
-BITS = 32  # words of 64 bits in the parity bitmap
-#: A shingle is common if this share of a task's documents hold it, in one task at least.
-COMMON, COMMON_KEPT = 0.0005, 100_000
+#: Bits of a parity bitmap, at least and at most: the power of two from the set's size on.
+LEAST_BITS, MOST_BITS = 64, 2048
+#: Shingles that the first order ranks by their number of documents, at most: the most held ones.
+COMMON_KEPT = 1_000_000
 #: Pivots of a long list, and how many of them a member is verified with.
 PIVOTS, CLOSEST = 8, 3
 #: A list of so many members, or fewer, has all its pairs tried.
-SMALL = 8
+SMALL = 32
 #: Bytes of text hashed at once; a longer word is taken whole.
 CHUNK = 1 << 20
 
@@ -130,16 +135,83 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def carried(s: np.ndarray, percent: int, orders: int = ORDERS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Prefixes in the further orders (32 bits an element), and the parity bitmap."""
+def prefix(s: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set's first shingles in the first order: those not in the table by hash, then the others by their rank."""
     p = prefix_size(len(s), percent)
-    others = []
+    table, ranks = common
+    if not len(table):
+        return s[:p]
+    at = np.minimum(np.searchsorted(table, s), len(table) - 1)
+    often = table[at] == s
+    rare = s[~often][:p]
+    if len(rare) == p:
+        return rare
+    late = np.argsort(ranks[at[often]])[: p - len(rare)]
+    return np.concatenate([rare, s[often][late]])
+
+
+def further(s: np.ndarray, percent: int, orders: int = ORDERS) -> list[np.ndarray]:
+    """Prefixes in the further orders, sorted, 32 bits an element."""
+    p = prefix_size(len(s), percent)
+    out = []
     for k in range(orders):
         x = mixed(s * _M2 + np.uint64(k + 1))
-        others.append((np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    at = mixed(s + _M1) & np.uint64(64 * BITS - 1)
-    parity = np.bincount(at.astype(np.int64), minlength=64 * BITS) & 1
-    return others, np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+        out.append(np.sort((np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32)))
+    return out
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap, as bytes; a wider one folds onto a narrower one, half on half."""
+    bits = min(max(1 << (len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    at = (mixed(s + _M1) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def difference(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ: at most as many as shingles do."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def meet(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays have an element in common."""
+    at = np.searchsorted(y, x)
+    return bool((y[np.minimum(at, len(y) - 1)] == x).any())
+
+
+def levels(percent: int, most: int = 1 << 40) -> list[int]:
+    """Least sizes of levels: sets that link lie in one level or in neighbouring ones."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def parts_of(s: np.ndarray, percent: int, first: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Hashes of the set's parts, in its level and the next: two sets that link have one in common.
+
+    In a level of sizes up to `most`, linked sets differ in at most 2 * most * (100 - t) / (100 + t) shingles; cut into one part more, they agree in one.
+    A part without shingles says little, so it is written once for each shingle of the prefix in the first order, of which they share one.
+    """
+    out = []
+    i = bisect_right(bounds, len(s)) - 1
+    for level in (i, i + 1):
+        most = bounds[level] * 100 // percent
+        m = 2 * most * (100 - percent) // (100 + percent) + 1
+        seed = mixed(np.array([level + 1], np.uint64) * _M2)[0]
+        h = mixed(s * _M3 + seed)
+        part = ((h >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+        total = np.zeros(m, np.uint64)
+        np.add.at(total, part, mixed(h + _M1))
+        name = mixed(np.arange(1, m + 1, dtype=np.uint64) * _M1 + seed)
+        held = np.bincount(part, minlength=m) > 0
+        out.append(mixed(total[held] + name[held]))
+        out.append(mixed(name[~held][:, None] + mixed(first + _M2)[None, :]).ravel())
+    return np.concatenate(out)
 
 
 def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,62 +223,60 @@ def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return x[first], np.add.reduceat(c, first) if len(x) else c
 
 
-def common_shingles(docs: DataFrame, k: int, share: float = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that are common in some task's documents, and their ranks by number of documents.
+def common_shingles(docs: DataFrame, k: int, s: Scratch, kept: int = COMMON_KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that most documents hold, and their ranks by number of documents.
 
-    A shingle that a share of all documents holds is held by that share in one
-    task at least. Any such table makes a valid order: only the cost depends on it, so its
-    size may be bounded.
+    Counted are shingles that two documents of a task hold. Any such table makes a valid order: only the
+    cost depends on it, so its size is bounded. Shingles held equally often are all in it or none.
     """
     workers_import_this(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, size, parts, counts = 0, 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        size, parts, counts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in batches:
-            n += len(b)
             for text in b["text"]:
-                s = set_of(text, k)
-                parts.append(s)
-                counts.append(np.ones(len(s), np.int64))
-                size += len(s)
-            if size > 4_000_000:  # bounded: what is rare so far goes
+                x = set_of(text, k)
+                parts.append(x)
+                counts.append(np.ones(len(x), np.int64))
+                size += len(x)
+            if size > 4_000_000:  # bounded: what one document holds so far goes, then what two do, and so on
                 x, c = _merged(parts, counts)
-                stay = c >= max(2, share * n / 2) if len(x) > 1_000_000 else c > 0
-                parts, counts, size = [x[stay]], [c[stay]], 0
+                least = 1
+                while (c >= least).sum() > 2_000_000:
+                    least += 1
+                parts, counts, size = [x[c >= least]], [c[c >= least]], 0
         x, c = _merged(parts, counts)
-        found = c >= max(3, share * n)
-        yield pd.DataFrame({"shingle": x[found].view(np.int64), "held": c[found]})
+        yield pd.DataFrame({"shingle": x[c > 1].view(np.int64), "held": c[c > 1]})
 
     rows = docs.select("text").mapInPandas(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
-    top = rows.orderBy(F.desc("held"), "shingle").limit(COMMON_KEPT).collect()
-    h = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    rows = s.write(rows, "common")
+    level = F.least("held", F.lit(100_000))
+    left, least = kept, None
+    for r in rows.groupBy(level.alias("held")).count().orderBy(F.desc("held")).collect():  # 100 000 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["held"]
+    top = rows.where(level >= least).toPandas() if least else pd.DataFrame({"shingle": [], "held": []}, dtype="int64")
+    s.drop(rows)
+    h, held = top["shingle"].to_numpy(np.int64).view(np.uint64), top["held"].to_numpy(np.int64)
+    o = np.lexsort((h, -held))
+    rank = np.empty(len(h), np.int32)
+    rank[o] = np.arange(len(h), 0, -1)
     o = np.argsort(h)
-    return h[o], (len(h) - o).astype(np.int64)
+    return h[o], rank[o]
 
 
 def classes_of(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, class, n, first (prefix in the first order), bits, others: a row per row of docs; class is null for an empty set."""
     workers_import_this(docs.sparkSession)
-    table, ranks = common
-
-    def prefix(s: np.ndarray) -> np.ndarray:
-        p = prefix_size(len(s), percent)
-        if not len(table):
-            return s[:p]
-        at = np.minimum(np.searchsorted(table, s), len(table) - 1)
-        often = table[at] == s
-        rare = s[~often][:p]
-        if len(rare) == p:
-            return rare
-        late = np.argsort(ranks[at[often]])[: p - len(rare)]
-        return np.concatenate([rare, s[often][late]])
 
     def row(text: str | None) -> tuple:
         s = set_of(text, k)
         if not len(s):
             return None, 0, None, None, None
-        others, bits = carried(s, percent)
-        return xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s).view(np.int64), bits, others
+        others = [x.tobytes() for x in further(s, percent)]
+        return xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, percent, common).view(np.int64), parity(s).tobytes(), others
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,35 +284,60 @@ def classes_of(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray,
             kinds = (("class", object), ("n", "int64"), ("first", object), ("bits", object), ("others", object))
             yield pd.DataFrame({"doc_id": b["doc_id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(kinds)}})
 
-    return docs.mapInPandas(run, "doc_id long, class binary, n long, first array<long>, bits array<long>, others array<array<int>>")
+    return docs.mapInPandas(run, "doc_id long, class binary, n long, first array<long>, bits binary, others array<binary>")
 
 
 def sizes(n1: Column, n2: Column, percent: int) -> Column:
     return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
 
 
-def difference(b1: Column, b2: Column) -> Column:
-    """Bits in which two bitmaps differ: at most as many as shingles do."""
-    return sum((F.bit_count(F.get(b1, F.lit(i)).bitwiseXOR(F.get(b2, F.lit(i)))) for i in range(BITS)), F.lit(0))
-
-
 def near(n1: Column, n2: Column, differ: Column, percent: int) -> Column:
     """Whether bitmaps allow the threshold: the difference is at most (100 - t) / (100 + t) of the sizes' sum."""
     return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def of_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b, ...) with columns of rows (doc_id, ...) for both sides: a_<column>, b_<column>."""
+    for c in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns]), c)
+    return pairs
+
+
+def by_bitmaps(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, pivot) whose sizes and bitmaps allow the threshold, with their bitmaps' difference."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            differ = np.array([difference(x, y) for x, y in zip(b["a_bits"], b["b_bits"])], np.int64)
+            n1, n2 = b["a_n"].to_numpy(np.int64), b["b_n"].to_numpy(np.int64)
+            stay = (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent) & (differ * (100 + percent) <= (n1 + n2) * (100 - percent))
+            yield b.loc[stay, ["a", "b", "pivot"]].assign(differ=differ[stay])
+
+    return of_both(pairs, sketches, "n", "bits").mapInPandas(run, "a long, b long, pivot int, differ long")
+
+
+def by_orders(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share an element of their prefixes in each of the further orders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stay = [all(meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) for p, q in zip(x, y)) for x, y in zip(b["a_others"], b["b_others"])]
+            yield b.loc[np.array(stay, bool), ["a", "b"]]
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return of_both(pairs, sketches.join(ids, "doc_id", "left_semi"), "others").mapInPandas(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, s: Scratch) -> DataFrame:
     """pairs (a, b: ids of representatives) whose sets' similarity reaches the threshold, by their whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(ids, "doc_id", "left_semi"), "texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    texts = s.write(docs.join(ids, "doc_id", "left_semi"), "texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             ok = []
-            for ta, tb in zip(batch["ta"], batch["tb"]):
+            for ta, tb in zip(batch["a_text"], batch["b_text"]):
                 if last[0] != tb:
                     last = (tb, set_of(tb, k))
                 x, y = set_of(ta, k), last[1]
@@ -250,7 +345,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    out = s.write(of_both(pairs, texts, "text").mapInPandas(run, "a long, b long").distinct(), "links")
+    s.drop(texts)
+    return out
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,21 +369,22 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([g for g in got if g[0] != g[1]], columns=["u", "v"], dtype="int64")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, s: Scratch, rounds: int = 40) -> DataFrame:
     """node, root (the least node reachable) for every node of edges (a, b), by alternating large and small stars.
 
     Tasks contract their own edges first. Each round is a few aggregates and joins with equal keys; the edges are written between rounds.
     """
     workers_import_this(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInPandas(_stars, "u long, v long")
-    e, seen = materialise(e.distinct(), "cc"), None
+    e, seen = s.write(e.distinct(), "cc"), None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialise(small.where("u <> v").distinct(), "cc")
+        e, before = s.write(small.where("u <> v").distinct(), "cc"), e
+        s.drop(before)
         # settled: every edge leads to a root, and each node has one
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -325,16 +423,56 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
     return materialise(docs.withColumn("kg_id", F.coalesce(key, own)), "numbered"), least
 
 
+def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], s: Scratch) -> DataFrame:
+    """Pairs of different components that may link, from long lists (key, id, root): a, b.
+
+    The members' parts make lists of their own. There, each pair of different
+    components comes once: with the list's largest one from outside it, else from the greater id.
+    """
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    ids = rooted.join(several, "key", "left_semi").select("id", "root").distinct()
+    bounds = levels(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [set_of(t, k) for t in b["text"]]
+            parts = [parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x for x in sets]
+            n = np.array([len(x) for x in sets], np.int64)
+            flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << (mixed(x + _M1) & np.uint64(63)), initial=np.uint64(0)) for x in sets], np.uint64).view(np.int64)
+            times = [len(p) for p in parts]
+            of = lambda x: np.repeat(np.asarray(x), times)
+            yield pd.DataFrame({"part": np.concatenate(parts).view(np.int64), "id": of(b["doc_id"]), "n": of(n), "flips": of(flips), "root": of(b["root"])})
+
+    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
+    rows = s.write(texts.mapInPandas(run, "part long, id long, n long, flips long, root long"), "parts")
+    split = rows.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    kept = s.write(rows.join(split, "part", "left_semi"), "kept")
+    s.drop(rows)
+    held = kept.groupBy("part", "root").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "root")).alias("m"))
+    left = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part"), "left")
+    x, y = left.where("root <> main").alias("x"), left.alias("y")
+    test = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
+    flips = F.bit_count(F.col("x.flips").bitwiseXOR(F.col("y.flips")))
+    test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), flips, percent)
+    return s.write(x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "late")
+
+
 def linked(docs: DataFrame, k: int, percent: int, small: int) -> DataFrame:
-    """link() for documents (doc_id, text) none of whose ids is null."""
-    rows = materialise(classes_of(docs, k, percent, common_shingles(docs, k)), "classes")
+    """link() for documents (doc_id, text) none of whose ids is null. The result is written; all else that was is deleted."""
+    with Scratch(docs.sparkSession, "jaccard") as s:
+        return materialise(_linked(docs, k, percent, small, s), "linked")
+
+
+def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> DataFrame:
+    common = common_shingles(docs, k, s)
+    rows = s.write(classes_of(docs, k, percent, common), "classes")
     members = rows.select("doc_id", "class", "n")
     # the row of each class's least id stands for it; copies meet in partial aggregates
     least = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n", "first")).alias("m"))
-    reps = materialise(least.select("class", F.col("m.doc_id").alias("rep"), "m.n", "m.first"), "reps")
+    reps = s.write(least.select("class", F.col("m.doc_id").alias("rep"), "m.n", "m.first"), "reps")
     postings = reps.select(F.col("rep").alias("id"), "n", F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    lists = materialise(postings.join(shared, "key"), "lists")
+    lists = s.write(postings.join(shared, "key"), "lists")
     few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
     # a short list has few pairs, whatever the corpus size: all of them are candidates whose sizes allow it
     x, y = few.alias("x"), few.alias("y")
@@ -344,42 +482,29 @@ def linked(docs: DataFrame, k: int, percent: int, small: int) -> DataFrame:
     pivots = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*chosen), lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n")))).alias("ps"))
     paired = large.join(pivots, "key").select("id", "n", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & sizes(F.col("n"), F.col("p.n"), percent))
     pairs = pairs.unionByName(paired.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.lit(1).alias("pivot")))
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "pairs")
+    pairs = s.write(pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "pairs")
 
-    active = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
     # an id with several texts stands for all of them: rows with one id are one component
-    sketches = rows.where("class is not null").select("doc_id", "n", "bits", "others").join(active, "doc_id", "left_semi").distinct()
-    sketches = materialise(sketches, "sketches")
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) that pass bitmaps and the further orders, with their bitmaps' difference."""
-        side = lambda c: sketches.select(*[F.col(x).alias(f"{c}_{x}" if x != "doc_id" else c) for x in ("doc_id", "n", "bits", "others")])
-        got = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", difference(F.col("a_bits"), F.col("b_bits")))
-        got = got.where(sizes(F.col("a_n"), F.col("b_n"), percent) & near(F.col("a_n"), F.col("b_n"), F.col("differ"), percent))
-        for o in range(ORDERS):
-            got = got.where(F.arrays_overlap(F.get("a_others", F.lit(o)), F.get("b_others", F.lit(o))))
-        return got.select(*pairs.columns, "differ")
-
-    found = materialise(filtered(pairs), "candidates")
+    sketches = rows.where("class is not null")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return s.write(by_bitmaps(pairs, sketches.select("doc_id", "n", "bits").join(ids, "doc_id", "left_semi").distinct(), percent), "candidates")
+
+    found = tested(pairs)
+    s.drop(pairs)
     # of its pivots, as many as a prefix has lists at most, a member keeps the closest
     closest = found.where("pivot = 1").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differ", "b"))), 1, CLOSEST).alias("m")).select("a", F.explode("m").alias("m"))
-    tried = materialise(found.where("pivot = 0").select("a", "b").unionByName(closest.select("a", "m.b")).distinct(), "tried")
-    links = materialise(verified(tried, docs, k, percent), "links")
-    roots = components(links)
+    tried = s.write(by_orders(found.where("pivot = 0").select("a", "b").unionByName(closest.select("a", "m.b")).distinct(), sketches), "tried")
+    links = verified(tried, docs, k, percent, s)
+    roots = components(links, s)
     if not large.isEmpty():
-        rooted = large.drop("n", "df").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        held = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts"))
-        rooted = rooted.join(held.where("parts > 1").select("key", F.col("m.root").alias("main")), "key")
-        left = materialise(rooted.join(sketches.select(F.col("doc_id").alias("id"), "n", "bits"), "id"), "left")
-        x, y = left.where("root <> main").alias("x"), left.alias("y")
-        # each pair of different components once: with the largest one from outside it, else from the greater id
-        test = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
-        test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), difference(F.col("x.bits"), F.col("y.bits")), percent)
-        more = x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        more = materialise(filtered(more).select("a", "b").distinct(), "more")
+        rooted = large.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        more = late_pairs(rooted, docs, k, percent, common, s)
+        more = s.write(by_orders(tested(more.withColumn("pivot", F.lit(0))).select("a", "b"), sketches), "more")
         if not more.isEmpty():
-            links = links.unionByName(materialise(verified(more, docs, k, percent), "links"))
-            roots = components(links)
+            links = links.unionByName(verified(more, docs, k, percent, s))
+            roots = components(links, s)
 
     # back to the rows: ids of one class, and classes of one id, belong together
     whole = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
@@ -389,10 +514,10 @@ def linked(docs: DataFrame, k: int, percent: int, small: int) -> DataFrame:
     if members.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").isEmpty():
         return out
     split = out.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
-    split = materialise(split, "split")
+    split = s.write(split, "split")
     if split.isEmpty():
         return out
-    cc = components(split.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(out.join(split.select("doc_id", "lo"), "doc_id").select(F.col("component_id").alias("a"), F.col("lo").alias("b"))))
+    cc = components(split.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(out.join(split.select("doc_id", "lo"), "doc_id").select(F.col("component_id").alias("a"), F.col("lo").alias("b"))), s)
     return out.join(cc, F.col("component_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"))
 
 

@@ -153,6 +153,42 @@ def test_jaccard_join_against_brute_force(spark):
     assert got == brute_groups(rows, 3, 90)
 
 
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        bounds = jaccard.levels(percent)
+        for _ in range(400):
+            n = int(rng.integers(1, 120))
+            x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            stay = x[rng.random(len(x)) > rng.random() * 0.25]
+            y = np.unique(np.r_[stay, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if not both or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            cut = [jaccard.parts_of(s, percent, jaccard.prefix(s, percent, none), bounds) for s in (x, y)]
+            assert np.isin(*cut).any()
+            assert jaccard.difference(*[jaccard.parity(s).tobytes() for s in (x, y)]) <= len(x) + len(y) - 2 * both
+
+
+def test_jaccard_join_of_long_lists_against_brute_force(spark):
+    """A line that all texts hold, one group of near copies and pairs outside it: lists are long, and their members lie in many components."""
+    rng = random.Random(9)
+    line = [f"l{i}" for i in range(12)]
+    word = lambda: f"w{rng.randrange(3000)}"
+    large = [word() for _ in range(30)]
+    rows = []
+    for i in range(90):
+        w = line + (large if i < 40 else [word() for _ in range(rng.randint(1, 30))])
+        for _ in range(rng.randint(0, 3)):
+            w = [*w[: (at := rng.randrange(len(w)))], word(), *w[at + 1 :]]
+        rows.append((i, " ".join(w)))
+        if i >= 40 and rng.random() < 0.5:
+            rows.append((i + 500, " ".join([*w[:-1], word()])))
+    for percent in (80, 90):
+        assert {tuple(r) for r in jaccard.link(spark.createDataFrame(rows, DOCS), 3, percent, small=2).collect()} == brute_groups(rows, 3, percent)
+
+
 def test_keep_one_keeps_columns(spark):
     rows = [(1, "a b c d e f g h", "x"), (2, "a b c d e f g h", "y"), (3, "other words stand in this text", "z"), (4, None, "n")]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
