@@ -121,3 +121,11 @@ def plain(batch):
     """A pandas batch whose string columns are plain objects: chunked Arrow strings can't be handed back to Spark."""
     strings = [c for c in batch.columns if str(batch[c].dtype).startswith(("str", "string"))]
     return batch.astype({c: object for c in strings}) if strings else batch
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with so many _ after it that no column of df bears it (names are compared without regard to case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
