@@ -43,7 +43,7 @@ ORDERS = 2
 #: Bits of a parity bitmap, at least and at most: the power of two from the set's size on.
 LEAST_BITS, MOST_BITS = 64, 2048
 #: Shingles that the first order ranks by their number of documents, at most: the most held ones.
-COMMON_KEPT = 1_000_000
+COMMON_KEPT = 200_000
 #: Pivots of a long list, and how many of them a member is verified with.
 PIVOTS, CLOSEST = 8, 3
 #: A list of so many members, or fewer, has all its pairs tried.
@@ -74,7 +74,7 @@ _VALUE, _BLANK = _tables()
 _powers: list[np.ndarray] = []
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
+def byte_powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 16)
@@ -84,7 +84,7 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 def _hashed(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
-    up, down = _powers_to(len(b) + 1)
+    up, down = byte_powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
     turns = np.flatnonzero(np.diff(np.r_[np.int8(1), _BLANK[b], np.int8(1)]))
@@ -503,8 +503,8 @@ def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> Da
         more = late_pairs(rooted, docs, k, percent, common, s)
         more = s.write(by_orders(tested(more.withColumn("pivot", F.lit(0))).select("a", "b"), sketches), "more")
         if not more.isEmpty():
-            links = links.unionByName(verified(more, docs, k, percent, s))
-            roots = components(links, s)
+            stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(stars.unionByName(verified(more, docs, k, percent, s)), s)
 
     # back to the rows: ids of one class, and classes of one id, belong together
     whole = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
