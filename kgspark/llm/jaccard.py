@@ -42,6 +42,8 @@ K, THRESHOLD = 5, 80
 ORDERS = 2
 #: Bits of a parity bitmap, at least and at most: the power of two from the set's size on.
 LEAST_BITS, MOST_BITS = 64, 2048
+#: Bits of those that members of long lists carry with each part.
+LATE_BITS = 512
 #: Shingles that the first order ranks by their number of documents, at most: the most held ones.
 COMMON_KEPT = 200_000
 #: Pivots of a long list, and how many of them a member is verified with.
@@ -160,9 +162,9 @@ def further(s: np.ndarray, percent: int, orders: int = ORDERS) -> list[np.ndarra
     return out
 
 
-def parity(s: np.ndarray) -> np.ndarray:
+def parity(s: np.ndarray, least: int = LEAST_BITS, most: int = MOST_BITS) -> np.ndarray:
     """The parity bitmap, as bytes; a wider one folds onto a narrower one, half on half."""
-    bits = min(max(1 << (len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max(1 << max(len(s) - 1, 0).bit_length(), least), most)
     at = (mixed(s + _M1) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
@@ -432,19 +434,21 @@ def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common:
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     ids = rooted.join(several, "key", "left_semi").select("id", "root").distinct()
     bounds = levels(percent)
+    words = [f"f{i}" for i in range(LATE_BITS // 64)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [set_of(t, k) for t in b["text"]]
             parts = [parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x for x in sets]
             n = np.array([len(x) for x in sets], np.int64)
-            flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << (mixed(x + _M1) & np.uint64(63)), initial=np.uint64(0)) for x in sets], np.uint64).view(np.int64)
             times = [len(p) for p in parts]
             of = lambda x: np.repeat(np.asarray(x), times)
-            yield pd.DataFrame({"part": np.concatenate(parts).view(np.int64), "id": of(b["doc_id"]), "n": of(n), "flips": of(flips), "root": of(b["root"])})
+            flips = np.stack([parity(x, LATE_BITS, LATE_BITS).view("<i8") for x in sets]) if sets else np.zeros((0, len(words)), np.int64)
+            part = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+            yield pd.DataFrame({"part": part, "id": of(b["doc_id"]), "n": of(n), "root": of(b["root"]), **{w: of(flips[:, i]) for i, w in enumerate(words)}})
 
     texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
-    rows = s.write(texts.mapInPandas(run, "part long, id long, n long, flips long, root long"), "parts")
+    rows = s.write(texts.mapInPandas(run, "part long, id long, n long, root long, " + ", ".join(f"{w} long" for w in words)), "parts")
     split = rows.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     kept = s.write(rows.join(split, "part", "left_semi"), "kept")
     s.drop(rows)
@@ -452,7 +456,7 @@ def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common:
     left = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part"), "left")
     x, y = left.where("root <> main").alias("x"), left.alias("y")
     test = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
-    flips = F.bit_count(F.col("x.flips").bitwiseXOR(F.col("y.flips")))
+    flips = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
     test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), flips, percent)
     return s.write(x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "late")
 
@@ -482,7 +486,11 @@ def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> Da
     pivots = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*chosen), lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n")))).alias("ps"))
     paired = large.join(pivots, "key").select("id", "n", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & sizes(F.col("n"), F.col("p.n"), percent))
     pairs = pairs.unionByName(paired.select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.lit(1).alias("pivot")))
-    pairs = s.write(pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "pairs")
+    pairs = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"), F.count("*").alias("c"))
+    # of a member's pivots, those that it shares most lists with are looked at
+    most = pairs.where("pivot = 1").groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "b"))), 1, PIVOTS).alias("m"))
+    most = most.select("a", F.explode("m.b").alias("b"), F.lit(1).alias("pivot"))
+    pairs = s.write(pairs.where("pivot = 0").select("a", "b", "pivot").unionByName(most), "pairs")
 
     # an id with several texts stands for all of them: rows with one id are one component
     sketches = rows.where("class is not null")
