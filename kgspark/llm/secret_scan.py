@@ -19,25 +19,32 @@ from kgspark.session import scratch
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: pattern, the group whose length counts (0: the whole match), its least length, and a cheap test that every match passes."""
+    """A kind of secret: pattern, the group whose length counts (0: the whole match), its least length, a test that every text with a match passes, and strings of which such a text holds one (none: not said)."""
 
     kind: str
     pattern: str
     group: int
     least: int
     anchor: str
+    needles: tuple[str, ...] = ()
+
+    def may_match(self, text: Column) -> Column:
+        test = text.rlike(self.anchor)
+        for k, needle in enumerate(self.needles):
+            held = text.contains(needle) if k == 0 else held | text.contains(needle)
+        return held & test if self.needles else test
 
 
 #: The three base kinds, in their order.
 BASE = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", (":", "=")),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}", ("AKIA",)),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
 #: Kinds of our own, whose spans come after the base ones.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("vcs", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("vcs", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
 RULES = BASE + MORE
 VERSION = "rules-1"
@@ -68,7 +75,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         hit = x["n"] >= (rule.least if rule.group else 1)
         return F.struct((start + F.coalesce(x["len"], F.lit(0))).cast("bigint").alias("at"), F.when(hit, F.concat(acc["out"], F.array(span.cast(SPAN)))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.anchor), F.aggregate(steps, zero, step, lambda acc: acc["out"])).otherwise(F.coalesce(none, F.array().cast(f"array<{SPAN}>")))
+    return F.when(rule.may_match(text), F.aggregate(steps, zero, step, lambda acc: acc["out"])).otherwise(F.coalesce(none, F.array().cast(f"array<{SPAN}>")))
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -81,52 +88,82 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mask."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def merged(spans: Column) -> Column:
+    """Spans (by start) as runs of overlapping or adjoining ones: start, end."""
+    run = "struct<start:bigint,end:bigint>"
+    zero = F.struct(F.lit(None).cast(run).alias("last"), F.array().cast(f"array<{run}>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = s["start"] >= acc["at"]
-        new = new & ((s["start"] > acc["at"]) | (acc["at"] == 0) | (F.length(acc["out"]) == 0) | ~acc["out"].endswith(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("bigint").alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+        joins = s["start"] <= acc["last"]["end"]
+        longer = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end"))
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        done = F.when(joins | acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"])))
+        return F.struct(F.when(joins, longer).otherwise(own).cast(run).alias("last"), done.alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"]))))
+
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.aggregate(spans, zero, step, rest)
+def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """The text with each run of overlapping spans replaced by the mask: the pieces between the runs, joined by it."""
+    runs = F.concat(merged(spans), F.array(F.struct((F.length(text) + F.lit(0)).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"))))
+
+    def pieces(runs: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(runs, lambda r: r["end"]))
+        return F.array_join(F.transform(runs, lambda r, i: F.substring(text, (F.get(ends, i) + 1).cast("int"), (r["start"] - F.get(ends, i)).cast("int"))), mask)
+
+    return F.transform(F.array(runs), pieces)[0]  # worked out once
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def anchored(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether any rule's cheap test holds; no other text has a span."""
+    test = F.lit(False)
+    for r in rules:
+        test = test | r.may_match(text)
+    return test
+
+
+LEDGER = f"blob string, version string, spans array<{SPAN}>"
+
+
 def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, first_run: bool = False) -> DataFrame:
     """Scan blobs of versions(path, text) whose (blob, version) pair the ledger lacks, append them, and return the ledger.
 
     Null texts count as empty. Any number of paths and repeated rows may share a
-    blob: one copy is scanned. Paths may be null. ledger is a Parquet folder (blob, version, spans)
+    blob: one copy is scanned. Paths may be null, other columns are ignored. Only texts that pass a rule's cheap
+    test are moved, one copy of each from a task; the others enter the ledger without spans. ledger is a Parquet folder (blob, version, spans)
     on the shared store; a scan that failed leaves no rows there, so it can be run again.
     """
     spark = versions.sparkSession
-    seen = None if first_run else spark.read.schema(f"blob string, version string, spans array<{SPAN}>").parquet(ledger)
-    rows = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
-    unseen = rows.groupBy("blob").agg(F.min("path").alias("path"))
-    if seen is not None:
-        unseen = unseen.join(seen.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    fresh = rows.join(unseen, ["path", "blob"], "left_semi").select("blob", "text")
-    if not versions.where("path is null").isEmpty():
-        bare = rows.where("path is null").join(unseen.where("path is null"), "blob", "left_semi")
-        fresh = fresh.unionByName(bare.select("blob", "text").dropDuplicates(["blob"]))
-    fresh = fresh.select("blob", F.lit(version).alias("version"), all_spans(F.col("text"), rules).alias("spans"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = versions.select(text.alias("text"), blob_of(text).alias("blob"))
+    if not first_run:
+        seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("version") == version).select("blob")
+        rows = rows.join(seen, "blob", "left_anti")
+    hits = rows.where(anchored(F.col("text"), rules)).groupBy("blob").agg(F.any_value("text").alias("text"))
+    hits = hits.select("blob", F.lit(version).alias("version"), all_spans(F.col("text"), rules).alias("spans"))
+    rest = rows.where(~anchored(F.col("text"), rules)).select("blob").distinct()
+    fresh = hits.unionByName(rest.select("blob", F.lit(version).alias("version"), F.array().cast(f"array<{SPAN}>").alias("spans")))
     fresh.write.mode("append").parquet(ledger)
-    return spark.read.schema(f"blob string, version string, spans array<{SPAN}>").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger)
 
 
-def findings(versions: DataFrame, ledger: DataFrame, version: str = VERSION) -> DataFrame:
-    """Every path with the spans of its blob (an empty array where nothing was found): path, blob, spans, and the other columns of versions."""
-    found = ledger.where((F.col("version") == version) & (F.size("spans") > 0)).select("blob", F.col("spans").alias("found"))
-    found = found.dropDuplicates(["blob"])  # one path may hold the same text twice
-    rows = versions.withColumn("blob", blob_of(F.coalesce("text", F.lit("")))).drop("spans", "found")
-    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("found", F.array().cast(f"array<{SPAN}>"))).drop("found")
+def findings(versions: DataFrame, ledger: DataFrame, version: str = VERSION, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of versions (path, text, ...) with blob and the spans of its blob (an empty array where nothing was found).
+
+    Other columns stay, but for ones named blob and spans, which are replaced. Only rows that pass a rule's cheap test meet the ledger; the others stay where they are.
+    """
+    other = [F.col(f"`{c}`") for c in versions.columns if c.lower() not in ("blob", "spans")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = ledger.where((F.col("version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
+    rows = versions.select(*other, blob_of(text).alias("blob"))
+    none = F.array().cast(f"array<{SPAN}>")
+    hits = rows.where(anchored(text, rules)).join(found, "blob", "left")
+    hits = hits.select(*other, "blob", F.coalesce("spans", none).alias("spans"))
+    return hits.unionByName(rows.where(~anchored(text, rules)).withColumn("spans", none))
 
 
 def scan_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -145,13 +182,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with secrets masked in text and n_chars set anew; columns and rows stay, null texts too."""
+    """docs with secrets masked in text and n_chars, where it stands there, set anew.
+
+    Columns (whatever their names), rows, repeated and null ids stay; null and empty texts stay as they are.
+    """
     spark = docs.sparkSession
-    versions = docs.withColumn("path", F.col("doc_id"))
-    scanned = scan_new(versions.select("path", "text"), scratch(spark, "ledger"), first_run=True)
-    found = findings(versions, scanned)
-    text = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    versions = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("path"))
+    scanned = scan_new(versions, scratch(spark, "ledger"), first_run=True)
+    masked = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))
+    rows = findings(versions, scanned).withColumn("text", masked)
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
