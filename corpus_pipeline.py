@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import decontaminate, jaccard, packing, quality, secret_scan
-from kgspark.session import materialise
+from kgspark.session import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,10 +54,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table, each one's rows written and read again."""
+    """The stages applied to the documents table, each one's rows written and read again.
+
+    A stage's rows are deleted once the next stage's are written; the last stage keeps what its own result reads.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{k}")
+    with Scratch(spark, "pipeline") as s:
+        before = None
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = s.write(docs, name.replace(" ", "-"))
+                if before is not None:
+                    s.drop(before)
+                before = docs
     return docs
