@@ -14,24 +14,28 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kgspark.llm.jaccard import byte_powers, mixed
 from kgspark.session import materialise, plain, workers_import_this
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the memory is emptied when it is full, so it stays bounded.
-WORDS_KEPT = 400_000
+#: Words whose ids a worker remembers, by their hash; the memory is emptied when it is full, so it stays bounded.
+WORDS_KEPT = 500_000
+#: Bytes of texts encoded at once.
+CHUNK = 1 << 20
 #: Branch-and-bound nodes and undominated fillings tried at a node.
 NODES, WIDTH = 400, 4
 #: Within a length, ranks are counted in so many buckets.
 BUCKETS = 512
 
 
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Marks cut from a word's end: a run of them after a letter is a match of its own for the tokenizer.
 MARKS = ".,!#%&*$"
 
@@ -59,8 +63,8 @@ def _tokenizer(name: str):
 _RUN = re.compile(r"[^\w ][.,](?: |$)|_[.,]")
 
 
-def _words(text: str) -> list[str]:
-    """Words that the tokenizer would treat alike, in fewer forms: lower case, and commas and stops on their own.
+def _folded(text: str) -> str:
+    """The text with words that the tokenizer would treat alike in fewer forms, parted by spaces: lower case, and commas and stops on their own.
 
     Only Latin-1 texts without special tokens are changed: there lower-casing
     is letter by letter and normalisation does nothing, as in the tokenizer.
@@ -69,14 +73,14 @@ def _words(text: str) -> list[str]:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text.split(" ")
+        return text
     if "<|" not in text:
         text = text.lower()
         if not _RUN.search(text):
             text = text.replace(", ", " , ").replace(". ", " . ")
             if text[-1:] in (".", ","):
                 text = f"{text[:-1]} {text[-1]}"
-    return text.split(" ")
+    return text
 
 
 def _learn(words: list[str], tok, part, kind: str, kept: dict[str, bytes]) -> None:
@@ -95,41 +99,92 @@ def _learn(words: list[str], tok, part, kind: str, kept: dict[str, bytes]) -> No
     kept.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, kind).tobytes()) for w in words)
 
 
-def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
-    """Ids of each text.
-
-    The tokenizer's matches never cross a space or line feed, so each word's
-    ids stand alone and are remembered. New words lose the marks at their end,
-    which stand alone as well, and are encoded together.
-    """
-    tok, part, kind, kept, ends = _tokenizer(name)
-    fold = name == TOKENIZER
-    split = [_words(t) if fold else t.replace("\n", " ").split(" ") for t in texts]
-    if len(kept) > WORDS_KEPT:
-        kept.clear()
-    new: dict[str, tuple[str, str]] = {}
-    for w in set(chain.from_iterable(split)).difference(kept):
-        core = w.rstrip(MARKS)
-        if len(core) < len(w) and core[-1:].lower().isalpha():
-            new[w] = core, w[len(core) :]
-        else:
-            new[w] = w, ""
-    bare = list({x for pair in new.values() for x in pair}.difference(kept))
+def _ids_of(words: list[str], name: str) -> list[bytes]:
+    """Ids of different words: those of letters are encoded together, as one match each; marks at a word's end stand alone as well."""
+    tok, part, kind, _, ends = _tokenizer(name)
+    known: dict[str, bytes] = {}
+    cut = [(core, w[len(core) :]) if len(core := w.rstrip(MARKS)) < len(w) and core[-1:].lower().isalpha() else (w, "") for w in words]
+    bare = list({x for pair in cut for x in pair})
     letters = [w for w in bare if w.isalpha()] if ends.any() else []
     parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
-    for words, got in zip(parts, tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+    for some, got in zip(parts, tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
         # a word of letters is one match, whose last id is one of those that end a word
         ids = np.array(got.ids, kind)
-        cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
-        if len(cuts) == len(words) + 1 and cuts[-1] == len(ids):
+        at = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+        if len(at) == len(some) + 1 and at[-1] == len(ids):
             raw, width = ids.tobytes(), ids.itemsize
-            kept.update((w, raw[a * width : b * width]) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
-    bare = [w for w in bare if w not in kept]
+            known.update((w, raw[i * width : j * width]) for w, i, j in zip(some, at[:-1], at[1:]))
+    bare = [w for w in bare if w not in known]
     for at in range(0, len(bare), 500):
-        _learn(bare[at : at + 500], tok, part, kind, kept)
-    kept.update([(w, kept[core] + kept[marks]) for w, (core, marks) in new.items() if marks])
-    for words in split:
-        yield np.frombuffer(b"".join(map(kept.__getitem__, words)), kind)
+        _learn(bare[at : at + 500], tok, part, kind, known)
+    return [known[core] + known[marks] for core, marks in cut]
+
+
+def _encoded(raw: bytes, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lines of words, parted by spaces and line feeds, and where each line's ids end.
+
+    A word is known by the 64-bit hash of its bytes.
+    """
+    kind, kept = _tokenizer(name)[2:4]
+    b = np.frombuffer(raw, np.uint8)
+    blank = (b == 32) | (b == 10)
+    turns = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))
+    start, end = turns[::2], turns[1::2]
+    up, down = byte_powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
+    h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _LENGTH)
+    distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+    if len(kept) > WORDS_KEPT:
+        kept.clear()
+    keys = distinct.tolist()
+    new = [k for k, x in enumerate(keys) if x not in kept]
+    words = [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())] if new else []
+    kept.update(zip([keys[k] for k in new], _ids_of(words, name)))
+    each = [kept[x] for x in keys]
+    flat = np.frombuffer(b"".join(each), kind)
+    size = np.fromiter(map(len, each), np.int64, len(each)) // flat.itemsize
+    begin = np.cumsum(size) - size
+    sizes = size[at]
+    upto = np.r_[0, np.cumsum(sizes)]
+    ids = flat[np.repeat(begin[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+    lines = np.r_[np.flatnonzero(b == 10), len(b)]
+    return ids, upto[np.searchsorted(start, lines)]
+
+
+def encode_all(texts: list[str], name: str = TOKENIZER) -> Iterator[np.ndarray]:
+    """Ids of each text.
+
+    The tokenizer's matches never cross a space or line feed, so each word's
+    ids stand alone and are remembered. Texts are looked at together up to CHUNK
+    bytes; a longer one is cut between words.
+    """
+    fold = name == TOKENIZER
+    lines, size = [], 0
+
+    def flush() -> Iterator[np.ndarray]:
+        if lines:
+            ids, ends = _encoded(b"\n".join(lines), name)
+            yield from np.split(ids, ends[:-1])
+            lines.clear()
+
+    for t in texts:
+        raw = (_folded(t) if fold else t.replace("\n", " ")).encode("utf-8", "surrogatepass")
+        if size + len(raw) > CHUNK:
+            yield from flush()
+            size = 0
+        if len(raw) <= CHUNK:
+            lines.append(raw)
+            size += len(raw)
+            continue
+        parts, at = [], 0
+        while at < len(raw):
+            stop = raw.find(b" ", at + CHUNK)
+            stop = len(raw) if stop < 0 else stop
+            parts.append(_encoded(raw[at:stop], name)[0])
+            at = stop
+        yield np.concatenate(parts)
+    yield from flush()
 
 
 def encode(text: str, name: str = TOKENIZER) -> list[int]:
