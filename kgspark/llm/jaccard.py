@@ -43,9 +43,11 @@ ORDERS = 2
 #: Bits of a parity bitmap, at least and at most: the power of two from the set's size on.
 LEAST_BITS, MOST_BITS = 64, 2048
 #: Bits of those that members of long lists carry with each part.
-LATE_BITS = 512
+LATE_BITS = 1024
 #: Shingles that the first order ranks by their number of documents, at most: the most held ones.
 COMMON_KEPT = 200_000
+#: Rows of ids that are sent to all tasks, at most.
+BROADCAST_ROWS = 2_000_000
 #: Pivots of a long list, and how many of them a member is verified with.
 PIVOTS, CLOSEST = 8, 3
 #: A list of so many members, or fewer, has all its pairs tried.
@@ -330,10 +332,15 @@ def by_orders(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return of_both(pairs, sketches.join(ids, "doc_id", "left_semi"), "others").mapInPandas(run, "a long, b long").distinct()
 
 
+def small_side(ids: DataFrame) -> DataFrame:
+    """Written rows of a few numbers, sent to all tasks if there are BROADCAST_ROWS at most; else the planner joins them as any table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, s: Scratch) -> DataFrame:
     """pairs (a, b: ids of representatives) whose sets' similarity reaches the threshold, by their whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = s.write(docs.join(ids, "doc_id", "left_semi"), "texts")
+    ids = s.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = s.write(docs.join(small_side(ids), "doc_id", "left_semi"), "texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -432,32 +439,36 @@ def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common:
     components comes once: with the list's largest one from outside it, else from the greater id.
     """
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    ids = rooted.join(several, "key", "left_semi").select("id", "root").distinct()
+    ids = s.write(rooted.join(several, "key", "left_semi").select(F.col("id").alias("doc_id"), "root").distinct(), "ids")
+    texts = s.write(docs.join(small_side(ids), "doc_id"), "texts")
     bounds = levels(percent)
     words = [f"f{i}" for i in range(LATE_BITS // 64)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [set_of(t, k) for t in b["text"]]
-            parts = [parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x for x in sets]
-            n = np.array([len(x) for x in sets], np.int64)
-            times = [len(p) for p in parts]
-            of = lambda x: np.repeat(np.asarray(x), times)
-            flips = np.stack([parity(x, LATE_BITS, LATE_BITS).view("<i8") for x in sets]) if sets else np.zeros((0, len(words)), np.int64)
-            part = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pd.DataFrame({"part": part, "id": of(b["doc_id"]), "n": of(n), "root": of(b["root"]), **{w: of(flips[:, i]) for i, w in enumerate(words)}})
-
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id")
-    rows = s.write(texts.mapInPandas(run, "part long, id long, n long, root long, " + ", ".join(f"{w} long" for w in words)), "parts")
+            got = [parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x for x in sets]
+            of = lambda c: np.repeat(b[c].to_numpy(np.int64), [len(p) for p in got])
+            yield pd.DataFrame({"part": np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64), "id": of("doc_id"), "root": of("root")})
+
+    def flips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [set_of(t, k) for t in b["text"]]
+            bits = np.stack([np.zeros(len(words), "<i8"), *[parity(x, LATE_BITS, LATE_BITS).view("<i8") for x in sets]])[1:]
+            yield pd.DataFrame({"id": b["doc_id"], "n": np.array([len(x) for x in sets], np.int64), **{w: bits[:, i] for i, w in enumerate(words)}})
+
+    rows = s.write(texts.mapInPandas(parts, "part long, id long, root long"), "parts")
     split = rows.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     kept = s.write(rows.join(split, "part", "left_semi"), "kept")
     s.drop(rows)
     held = kept.groupBy("part", "root").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "root")).alias("m"))
-    left = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part"), "left")
+    sets = texts.mapInPandas(flips, "id long, n long, " + ", ".join(f"{w} long" for w in words))
+    left = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part").join(sets, "id"), "left")
+    s.drop(texts)
     x, y = left.where("root <> main").alias("x"), left.alias("y")
     test = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
-    flips = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-    test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), flips, percent)
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), differ, percent)
     return s.write(x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "late")
 
 
