@@ -140,3 +140,23 @@ def uuid5_url(name: Column | str) -> Column:
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     part = lambda at, n: F.substring(h, at, n)
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """Sums of the elements before each one (bigint), worked out in blocks so that long arrays aren't copied at every step."""
+    array = "array<bigint>"
+    zero = lambda at: F.struct(at.cast("bigint").alias("at"), F.array().cast(array).alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).cast("bigint").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        bases = F.aggregate(sums, zero(F.lit(0)), step, lambda acc: acc["out"])
+        return F.transform(F.array(bases), lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, zero(F.get(at, i)), step, lambda acc: acc["out"]))))[0]
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: F.slice(x, b * block + 1, F.lit(block)))
+
+    def sums(x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.transform(F.array(cut(x)), placed)[0]).otherwise(F.array().cast(array))
+
+    return F.transform(F.array(sizes), sums)[0]

@@ -22,6 +22,7 @@ TRIGGERS = (
     ("certification", "获得|取得|通过|认证"),
     ("targets", "面向|服务|针对|覆盖"),
 )
+#: Patterns of mentions.
 ORGANIZATION = r"[一-鿿A-Za-z0-9·（）()\s]{2,32}?(?:有限公司|公司|集团)"
 PRODUCT = r"[A-Za-z0-9一-鿿·（）()\-\s]{2,32}?(?:平台|系统|智能体|工厂|解决方案|产品)"
 PRODUCT_CUT = r"^.*?(?:提供|推出|上线|发布|支持|具备|拥有|包括|面向|服务|针对|覆盖)"
@@ -55,7 +56,7 @@ def rule_matches(text: Column) -> Column:
         found.append(F.transform(hits, _candidate(k, kind, confidence, method)))
     for k, (name, pattern) in enumerate(TRIGGERS):
         hit = F.regexp_extract(text, f"({pattern})", 1)
-        row = _candidate(len(RULES) + k, "relation", 0.6, f"regex:trigger:{name}")(hit)
+        row = _candidate(len(RULES) + k, "relation", 0.6, f"regex:trigger:{name}")(F.lit(name))
         found.append(F.when(hit != "", F.array(row)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
     return F.flatten(F.array(*found))
 
@@ -66,9 +67,15 @@ def candidates(units: DataFrame) -> DataFrame:
     return out.select("doc_id", "unit_id", "ord", "c.kind", "c.value", "c.confidence", "c.method")
 
 
+#: What the older runtime calls the kinds.
+ROW_KINDS = {"numeric_metric": "metric", "certification": "statement", "version": "statement", "url": "statement", "date": "event"}
+
+
 def capped(cands: DataFrame, per_unit: int = 12) -> DataFrame:
     """Candidate rows of the older runtime: id from document, kind, method and value; the first of an id in a unit, and 12 a unit."""
-    ided = cands.withColumn("candidate_id", F.concat(F.lit("KC_"), F.col("doc_id").cast("string"), F.lit("_"), stable_hash("kind", "method", "value")))
+    mapped = F.element_at(F.create_map(*[F.lit(x) for pair in ROW_KINDS.items() for x in pair]), F.col("kind"))
+    ided = cands.where("kind <> 'entity'").withColumn("candidate_type", F.coalesce(mapped, F.col("kind")))
+    ided = ided.withColumn("candidate_id", F.concat(F.lit("KC_"), F.col("doc_id").cast("string"), F.lit("_"), stable_hash("kind", "method", "value")))
     first = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "candidate_id").orderBy("ord"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "unit_id").orderBy("ord"))
     return ided.withColumn("k", first).where("k = 1").withColumn("k", rank).where(F.col("k") <= per_unit).drop("k")

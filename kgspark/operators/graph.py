@@ -99,3 +99,23 @@ def merge_latest(old: DataFrame, new: DataFrame, key: list[str], order: str) ->
 def replace_documents(old: DataFrame, new: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
     """A table in which the rows of the given documents are replaced by new ones."""
     return old.join(documents.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def bidirectional(relations: DataFrame, types: list[str]) -> DataFrame:
+    """Relations with the inverse of each one of the given types, each edge once."""
+    back = relations.where(F.col("relation_type").isin(types)).withColumnsRenamed({"source_id": "kg_s", "target_id": "source_id"}).withColumnRenamed("kg_s", "target_id")
+    return relations.unionByName(back).dropDuplicates(["source_id", "target_id", "relation_type"])
+
+
+def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
+    """id, ancestor, depth for every chain of parents (id, parent); a cycle ends after `most` steps with an error."""
+    up = parents.where("parent is not null").select("id", "parent").distinct()
+    step = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out = step
+    edge = up.select(F.col("id").alias("kg_id"), "parent")
+    for depth in range(2, most + 2):
+        step = step.join(edge, F.col("ancestor") == F.col("kg_id")).select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+        if step.isEmpty():
+            return out
+        out = out.unionByName(step)
+    raise ValueError("parents form a cycle or a longer chain")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kgspark.functions.exprs import stable_id, token_estimate
+from kgspark.functions.exprs import running, stable_id, token_estimate
 
 #: A unit is closed before the next span once it is estimated at so many tokens.
 UNIT_TOKENS = 120
@@ -12,13 +12,20 @@ HEADING = r"^(#{1,6})(?U:\s)+(.*?)(?U:\s)*#*(?U:\s)*$"
 LIST_ITEM = r"^(?U:\s)*(?:[-*+]|\d+[.)])(?U:\s)+(.*)$"
 
 
+def _placed(text: Column) -> Column:
+    """start, raw of a text's lines; offsets count code points and one for each line feed."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n")
+
+    def rows(p: Column) -> Column:
+        starts = running(F.transform(p, lambda x: F.length(x).cast("bigint") + 1))
+        return F.transform(F.array(starts), lambda s: F.transform(p, lambda x, i: F.struct(F.get(s, i).cast("int").alias("start"), x.alias("raw"))))[0]
+
+    return F.transform(F.array(parts), rows)[0]
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, raw, char_start of every non-blank line; offsets count code points and one for each line feed."""
-    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("raw")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
-    placed = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return docs.select("doc_id", F.posexplode(placed).alias("line_no", "x")).select("doc_id", "line_no", "x.raw", F.col("x.start").alias("char_start")).where(F.trim("raw") != "")
+    return docs.select("doc_id", F.posexplode(_placed(F.col("text"))).alias("line_no", "x")).select("doc_id", "line_no", "x.raw", F.col("x.start").alias("char_start")).where(F.trim("raw") != "")
 
 
 def _span(x: Column) -> Column:
@@ -34,24 +41,31 @@ def _span(x: Column) -> Column:
 def span_arrays(docs: DataFrame) -> DataFrame:
     """doc_id, spans: a document's spans in order, each with the path of headings above it.
 
-    The path is a fold over the ordered spans: a heading of depth d keeps the
-    first d - 1 titles and adds its own, so a jump in depth adds one title only.
+    The path is a fold over the headings: one of depth d keeps the first d - 1
+    titles and adds its own, so a jump in depth adds one title only. A span takes the path of the last heading up to it.
     """
-    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("raw")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
-    placed = F.filter(F.aggregate(parts, start, step, lambda acc: acc["out"]), lambda x: F.trim(x["raw"]) != "")
-    spans = docs.select("doc_id", F.transform(placed, _span).alias("flat"))
-    kind = "struct<span_type:string,text:string,raw:string,depth:int,char_start:int,char_end:int>"
-    full = "array<struct<span_type:string,text:string,raw:string,depth:int,char_start:int,char_end:int,heading_path:array<string>>>"
+    none = F.array().cast("array<string>")
+    is_head = lambda x: x["span_type"] == "heading"
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731 (worked out once, not for each element)
 
     def path(acc: Column, x: Column) -> Column:
-        here = F.when(x["span_type"] == "heading", F.concat(F.slice(acc["path"], F.lit(1), F.least(F.size(acc["path"]), x["depth"] - 1)), F.array(x["text"]))).otherwise(acc["path"])
-        row = F.struct(*[x[f.split(":")[0]].alias(f.split(":")[0]) for f in kind[7:-1].split(",")], here.alias("heading_path"))
-        return F.struct(here.alias("path"), F.concat(acc["out"], F.array(row)).alias("out"))
+        here = F.concat(F.slice(acc["path"], F.lit(1), F.least(F.size(acc["path"]), x["depth"] - 1)), F.array(x["text"]))
+        return F.struct(here.alias("path"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    def paths(flat: Column) -> Column:
+        zero = F.struct(none.alias("path"), F.array(none).alias("out"))  # before the first heading the path is empty
+        return F.aggregate(F.filter(flat, is_head), zero, path, lambda acc: acc["out"])
+
+    def full(x: Column, i: Column, a: Column) -> Column:
+        at = F.get(a["before"], i) + F.when(is_head(x), 1).otherwise(0)
+        return F.struct(*[x[f].alias(f) for f in ("span_type", "text", "raw", "depth", "char_start", "char_end")], F.get(a["paths"], at.cast("int")).alias("heading_path"))
+
+    def rows(flat: Column) -> Column:
+        before = running(F.transform(flat, lambda x: F.when(is_head(x), 1).otherwise(0).cast("bigint")))
+        return once(F.struct(flat.alias("flat"), paths(flat).alias("paths"), before.alias("before")), lambda a: F.transform(a["flat"], lambda x, i: full(x, i, a)))
 
-    zero = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(full).alias("out"))
-    return spans.select("doc_id", F.aggregate("flat", zero, path, lambda acc: acc["out"]).alias("spans"))
+    placed = F.filter(_placed(F.col("text")), lambda x: F.trim(x["raw"]) != "")
+    return docs.select("doc_id", once(F.transform(placed, _span), rows).alias("spans"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
