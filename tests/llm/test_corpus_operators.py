@@ -216,6 +216,38 @@ def test_pages(spark):
         assert got == [*[(i, f"unique body {i} of words {i * 7}") for i in range(9)], (20, "T & U\nOne two\nthree"), (21, ""), (21, ""), (22, "deep")]
 
 
+def test_page_layouts_keep_their_text(spark):
+    body = "The body of this page has some words that stand nowhere else"
+    cases = {
+        f'<div class="layout has-sidebar"><article><p>{body}</p></article></div>': body,
+        f'<article><div class="overflow-hidden"><p>{body}</p></div></article>': body,
+        f'<div class="page-header-fixed content"><p>{body}</p></div>': body,
+        f'<article><div class="entry-content share"><p>{body}</p></div></article>': body,
+        f"<article><p>Teaser</p></article><div><p>{body}</p></div>": f"Teaser\n{body}",
+        f'<div class="sidebar"><p>{body}</p></div>': body,
+        f'<article><p>{body}</p><div class="comment-list"><p>nice</p></div></article><div class="site-footer">(c)</div>': body,
+        "<nav>Home</nav>": "",
+    }
+    rows = [(i, f"http://h{i}.com/", h) for i, h in enumerate(cases)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_pages_do_not_depend_on_their_layout(spark):
+    """Runs go on pages of any number of partitions and shards; copies of one page count once; unique words beside a run stay."""
+    run = "please accept all of our terms before you read on"
+    rng = random.Random(2)
+    words = lambda i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    rows = [(i, "http://a.org/", f"<body><p>{words(i)} {run if i % 10 == 0 else ''} {words(i)}</p></body>") for i in range(120)]
+    rows += [(200 + i, "http://a.org/", f"<body><p>{'copied page with words of its own ' + 'z' * 5}</p></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted((r.page_id, r.text) for r in html_text.extract(df.repartition(n), shard_pages=m).collect()) for n, m in ((1, 1000), (7, 1000), (3, 16))]
+    assert got[0] == got[1] == got[2]
+    texts = dict(got[0])
+    assert not any(run in t for t in texts.values()) and all(len(texts[i].split()) == 24 for i in range(120))
+    assert all(texts[200 + i].startswith("copied page") for i in range(6))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
