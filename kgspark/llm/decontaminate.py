@@ -3,7 +3,9 @@
 The index is built from the benchmark table and has postings in blocks of
 items, with each term's largest score in each block. Items are taken in shards
 of bounded size, so what tasks are sent stays bounded however large the
-benchmark grows; the documents are read once for each shard. Scores are
+benchmark grows; the documents are read once for each shard. Within a shard, items of like length make an
+index of their own, whose passages are as long as such items need: what is found for an item
+depends on the item alone, not on the shard or the items beside it. Scores are
 divided by the item's score against itself, so one threshold serves all items.
 For a passage the terms' upper bounds are summed over all blocks first, then
 within each block, and only blocks whose bound reaches the threshold are scored
@@ -22,13 +24,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.session import plain, workers_import_this
+from kgspark.session import plain, unused, workers_import_this
 
 K1, B = 1.2, 0.75
-#: Words a passage holds, at least; longer items get passages of twice their length. Passages overlap by half.
+#: Words a passage holds, at least; items of over half as many get passages twice, four times, ... as long, so that twice their length fits. Passages overlap by half.
 PASSAGE = 64
 #: Items in a block of postings, and characters of items in a shard, at most.
-BLOCK, SHARD_CHARS = 16, 16_000_000
+BLOCK, SHARD_CHARS = 16, 4_000_000
+#: Entries of an index's table of block maxima (terms by blocks), at most.
+TABLE = 8_000_000
 #: Share of an item's own score that a passage must reach. A passage that passes the verification below lacks a tenth
 #: of the item's words at most (a missing word costs up to five shingles), so its score is well above this.
 RETRIEVE = 0.65
@@ -67,10 +71,11 @@ def holds(passage: str, part: tuple[str, ...] | list[str], k: int = SHINGLE) ->
 
 @dataclass
 class Index:
-    """Postings of a shard. Terms are numbers; items are numbers within the shard."""
+    """Postings of items of like length. Terms are numbers; items are numbers within the index."""
 
     items: list
     terms: dict[str, int]
+    local: np.ndarray  # the shard's numbers of terms as this index's, -1 for those it lacks
     weight: np.ndarray  # posting scores (for a term that occurs once in a passage), divided by the item's own score
     item: np.ndarray
     start: np.ndarray  # per term, into the postings
@@ -83,9 +88,42 @@ class Index:
     span: int
 
 
-def build(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index:
-    """items: (id, text) with at least one word. df, n, mean: over the whole benchmark, so shards don't change scores."""
+def span_of(length: int) -> int:
+    """Words of the passages in which an item of so many words is looked for."""
+    span = PASSAGE
+    while span < 2 * length:
+        span *= 2
+    return span
+
+
+def build(items: list[tuple], df: dict[str, int], n: int, mean: float) -> list[Index]:
+    """Indexes of a shard's items (id, text), each with at least one word. df, n, mean: over the whole benchmark, so shards don't change scores."""
     items = sorted(items, key=lambda i: (len(words(i[1])), i))  # items of like length have like weights: block maxima are tighter
+    shard: dict[str, int] = {}
+    groups: dict[int, list[tuple]] = {}
+    for i in items:
+        w = words(i[1])
+        groups.setdefault(span_of(len(w)), []).append(i)
+        for x in w:
+            shard.setdefault(x, len(shard))
+    out: list[Index] = []
+    todo = list(groups.values())
+    while todo:
+        group = todo.pop()
+        vocabulary = {x for _, t in group for x in words(t)}
+        if len(group) > BLOCK and len(vocabulary) * -(-len(group) // BLOCK) > TABLE:
+            todo += [group[: len(group) // 2], group[len(group) // 2 :]]
+            continue
+        ix = _index(group, df, n, mean)
+        ix.local = np.full(len(shard) + 1, -1, np.int64)  # the last place is that of words the shard lacks
+        for x, k in ix.terms.items():
+            ix.local[shard[x]] = k
+        ix.terms = shard
+        out.append(ix)
+    return sorted(out, key=lambda ix: (ix.span, ix.items[0]))
+
+
+def _index(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index:
     terms: dict[str, int] = {}
     post: dict[int, list[tuple[int, float]]] = {}
     own, length, question, answer = [], [], [], []
@@ -115,8 +153,8 @@ def build(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index:
             weight.append(s / own[i])
             block_top[t, i // BLOCK] = max(block_top[t, i // BLOCK], s / own[i] * (1 + 1e-6))
         start[t + 1] = len(item)
-    span = max(PASSAGE, 2 * max(length))
-    return Index([i for i, _ in items], terms, np.array(weight), np.array(item, np.int64), start, block_top.max(1), block_top, np.array(own), np.array(length), question, answer, span)
+    span = span_of(max(length))
+    return Index([i for i, _ in items], terms, np.zeros(0, np.int64), np.array(weight), np.array(item, np.int64), start, block_top.max(1), block_top, np.array(own), np.array(length), question, answer, span)
 
 
 def passages(n: int, span: int) -> np.ndarray:
@@ -135,7 +173,7 @@ def wand(ids: np.ndarray, ix: Index, threshold: float = RETRIEVE) -> list[tuple[
     n_passages = len(passages(len(ids), ix.span))
     if not n_passages:
         return []
-    step, width = ix.span // 2, len(ix.terms)
+    step, width = ix.span // 2, len(ix.top)
     at = np.flatnonzero(ids >= 0)
     key = np.unique(at // step * width + ids[at])  # (half passage, term)
     half, term = np.divmod(key, width)
@@ -164,33 +202,38 @@ def wand(ids: np.ndarray, ix: Index, threshold: float = RETRIEVE) -> list[tuple[
     return out
 
 
-def find(text: str | None, ix: Index, threshold: float = RETRIEVE) -> list[tuple]:
-    """(item id, first word, words, score, question overlap, answer overlap) of verified items, each at its best passage."""
+def find(text: str | None, indexes: list[Index], threshold: float = RETRIEVE) -> list[tuple]:
+    """(item id, first word, words, score, question overlap, answer overlap) of verified items, each at its best passage (the first one of several)."""
     low = (text or "").lower()
     w = _WORD.findall(low)
-    get = ix.terms.get
-    ids = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-    best: dict[int, tuple] = {}
-    for i, p, score in wand(ids, ix, threshold):
-        at = int(passages(len(w), ix.span)[p])
-        held = f" {' '.join(w[at : at + ix.span])} "
-        q, a = holds(held, ix.question[i]), holds(held, ix.answer[i])
-        if q >= QUESTION and a >= ANSWER and (i not in best or (q + a, score) > (best[i][4] + best[i][5], best[i][3])):
-            best[i] = (ix.items[i], at, min(ix.span, len(w) - at), score, q, a)
-    return [best[i] for i in sorted(best)]
-
-
-def shards(benchmark: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The benchmark in shards of at most SHARD_CHARS characters (by a hash of the item), and its rows with a word."""
+    out = []
+    get = indexes[0].terms.get
+    shard = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
+    if not (shard >= 0).any():
+        return out
+    for ix in indexes:
+        best: dict[int, tuple] = {}
+        for i, p, score in wand(ix.local[shard], ix, threshold):
+            at, score = int(passages(len(w), ix.span)[p]), round(score, 9)  # sums in any order
+            held = f" {' '.join(w[at : at + ix.span])} "
+            q, a = holds(held, ix.question[i]), holds(held, ix.answer[i])
+            if q >= QUESTION and a >= ANSWER and (i not in best or (q + a, score) > (best[i][4] + best[i][5], best[i][3])):
+                best[i] = (ix.items[i], at, min(ix.span, len(w) - at), score, q, a)
+        out += [best[i] for i in sorted(best)]
+    return out
+
+
+def shards(benchmark: DataFrame, chars_of_shard: int = SHARD_CHARS) -> tuple[list[DataFrame], DataFrame]:
+    """The benchmark in shards of at most chars_of_shard characters (by a hash of the item), and its rows with a word."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(r"(?U)[\w\p{N}]")).dropDuplicates()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-2 * chars // SHARD_CHARS)  # twice as many as would do, for uneven hashes
+    n = -(-2 * chars // chars_of_shard)  # twice as many as would do, for uneven hashes
     return ([rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]) if chars else [], rows
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """An index for each shard; the size of what is collected for one was counted first."""
-    some, rows = shards(benchmark)
+def indexes(benchmark: DataFrame, chars_of_shard: int = SHARD_CHARS) -> Iterator[list[Index]]:
+    """The indexes of each shard; the size of what is collected for one was counted first."""
+    some, rows = shards(benchmark, chars_of_shard)
     if not some:
         return
     token = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))
@@ -204,11 +247,10 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
                     df[x] = df.get(x, 0) + 1
         else:
             vocabulary = {x for _, t in items for x in words(t)}
-            counted = rows.select(F.explode(F.array_distinct(token)).alias("w")).groupBy("w").count()
-            for r in counted.toLocalIterator():
-                if r["w"] in vocabulary:
-                    df[r["w"]] = r["count"]
-            df = {x: df.get(x, 1) for x in vocabulary}
+            spark = benchmark.sparkSession
+            own = spark.createDataFrame([(x,) for x in sorted(vocabulary)], "w string")  # of the shard's size
+            counted = rows.select(F.explode(F.array_distinct(token)).alias("w")).groupBy("w").count().join(F.broadcast(own), "w", "left_semi")
+            df = dict.fromkeys(vocabulary, 1) | {r["w"]: r["count"] for r in counted.collect()}  # the shard's words only
         if items:
             yield build(items, df, n, max(float(mean), 1.0))
 
@@ -216,17 +258,17 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 FOUND = "item_id long, first_word long, n_words long, score double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keep: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, keep: str | None = None, chars_of_shard: int = SHARD_CHARS) -> DataFrame:
     """One row per document and item it holds: doc_id and FOUND.
 
-    keep: instead, all rows of docs with all their columns and a number of items found (kg_leaks).
+    keep: instead, all rows of docs with all their columns, and a number of items found in a column of this name, which docs must lack.
     Null and empty texts and items hold nothing; an item id with two texts counts as two items.
     """
     spark = docs.sparkSession
     workers_import_this(spark)
     names = [c.split()[0] for c in FOUND.split(", ")]
-    out = docs.withColumn("kg_leaks", F.lit(0)) if keep else None
-    for ix in indexes(benchmark):
+    out = docs.withColumn(keep, F.lit(0)) if keep else None
+    for ix in indexes(benchmark, chars_of_shard):
         sent = spark.sparkContext.broadcast(ix)  # of bounded size: a shard
 
         if keep:
@@ -234,7 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: bool = False) -> DataFram
 
             def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
                 for b in map(plain, batches):
-                    yield b.assign(kg_leaks=b["kg_leaks"] + [len(find(t, sent.value)) for t in b["text"]])
+                    yield b.assign(**{keep: b[keep] + [len(find(t, sent.value)) for t in b["text"]]})
 
             out = out.mapInPandas(count, schema)
             continue
@@ -250,5 +292,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: bool = False) -> DataFram
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns."""
-    return leaks(docs, benchmark, keep=True).where("kg_leaks = 0").select(*docs.columns)
+    """The documents that hold no benchmark item, with their columns, whatever their names. Null and empty texts stay, and so do repeated rows."""
+    name = unused("kg_leaks", docs)
+    return leaks(docs, benchmark, keep=name).where(F.col(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.llm.jaccard import byte_powers, mixed
 from kgspark.session import plain, unused, workers_import_this
@@ -218,9 +218,9 @@ class Network:
         return 1 / (1 + np.exp(-self._logit(self._scaled(x)) / self.temperature))
 
 
-def held_out(doc_id=None):
+def held_out(doc_id: Column) -> Column:
     """Rows that are never learnt from: crc32 of the id as text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def features(docs: DataFrame, context: np.ndarray, keep: str = "") -> DataFrame:
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     Rows with a null label or text don't teach. With one class alone, or no row, the score is the share of label 1 (1 without rows).
     """
     context = context_vectors(docs)
-    sample = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & ~held_out()).dropDuplicates(["doc_id"])
+    sample = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull())
     got = features(texts.join(F.broadcast(sample), "doc_id"), context, "quality int").toPandas()  # `rows` is the bound of what is broadcast and collected
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     out = rows.mapInPandas(run, schema)
     if keep:
         return out
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -49,6 +49,44 @@ def test_bin_completion_beats_or_meets_best_fit():
         assert packing.lower_bound(dict(hist), 2048) <= sum(n for _, n in best) <= sum(n for _, n in packing.best_fit_decreasing(dict(hist), 2048))
 
 
+def test_wand_against_scores_of_all_items(spark):
+    """Every pair above the threshold is found, whatever the shards; scores are BM25's over the whole benchmark."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 12, 40, 90])))) for i in range(120)]
+    texts = [" ".join([*(rng.choice(vocabulary) for _ in range(80)), *(x for x in items[k][1].split() if rng.random() > 0.1), *(rng.choice(vocabulary) for _ in range(60))]) for k in range(0, 120, 4)]
+    df = collections.Counter(x for _, t in items for x in set(t.split()))
+    mean = sum(len(t.split()) for _, t in items) / len(items)
+
+    def weights(t):
+        tf = collections.Counter(t.split())
+        norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * sum(tf.values()) / mean)
+        return {x: np.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * f * (decontaminate.K1 + 1) / (f + norm) for x, f in tf.items()}
+
+    for ix in decontaminate.build(items, df, len(items), mean):
+        for t in texts:
+            w = t.split()
+            ids = ix.local[np.array([ix.terms.get(x, -1) for x in w])]
+            got = {(ix.items[i], p): s for i, p, s in decontaminate.wand(ids, ix)}
+            exp = {}
+            for i in ix.items:
+                own = weights(items[i][1])
+                for p, at in enumerate(decontaminate.passages(len(w), ix.span)):
+                    score = sum(s for x, s in own.items() if x in set(w[at : at + ix.span])) / sum(own.values())
+                    if score >= decontaminate.RETRIEVE:
+                        exp[i, p] = score
+            assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(items, "item_id long, text string")
+    rows = [sorted(map(tuple, decontaminate.leaks(docs, bench, chars_of_shard=c).collect())) for c in (4_000_000, 20_000)]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x"), (None, None, 6, "y")], "doc_id long, text string, kg_leaks int, `odd name` string")
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([(1, "q w e r t y u i o p")], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
 def test_links_of_null_ids(spark):
     base = [f"w{i}" for i in range(60)]
     near, other, lone = " ".join(base), " ".join([*base[:59], "x"]), " ".join(f"z{i}" for i in range(30))
