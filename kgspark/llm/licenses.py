@@ -20,8 +20,10 @@ CRITICAL = r"licen[cs]|spdx|released|distribut|dedicated|placed|permission|copyr
 SENTENCES = (
     ("spdxApache2", r"spdx-license-identifier: apache-2\.0"),
     ("spdxMit", r"spdx-license-identifier: mit"),
-    ("spdxGpl3", r"spdx-license-identifier: gpl-3\.0(-only|-or-later|\+)?"),
-    ("spdxGpl2", r"spdx-license-identifier: gpl-2\.0(-only|-or-later|\+)?"),
+    ("spdxGpl3Later", r"spdx-license-identifier: gpl-3\.0(-or-later|\+)"),
+    ("spdxGpl2Later", r"spdx-license-identifier: gpl-2\.0(-or-later|\+)"),
+    ("spdxGpl3", r"spdx-license-identifier: gpl-3\.0(-only)?"),
+    ("spdxGpl2", r"spdx-license-identifier: gpl-2\.0(-only)?"),
     ("spdxBsd3", r"spdx-license-identifier: bsd-3-clause"),
     ("spdxBsd2", r"spdx-license-identifier: bsd-2-clause"),
     ("spdxMpl2", r"spdx-license-identifier: mpl-2\.0"),
@@ -31,8 +33,10 @@ SENTENCES = (
     ("apache2Copy", r"you may obtain a copy of the license at:? https?://www\.apache\.org/licenses/license-2\.0( unless required .*)?"),
     ("apache2Basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
     ("apache2See", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl3Any", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?3(\.0)?( or (any )?later)?"),
-    ("gpl2Any", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?2(\.0)?( or (any )?later)?"),
+    ("gpl3Later", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?3(\.0)?,? or (any )?later( version)?"),
+    ("gpl3Any", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?3(\.0)?"),
+    ("gpl2Later", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?2(\.0)?,? or (any )?later( version)?"),
+    ("gpl2Any", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl),? ?(version|v) ?2(\.0)?"),
     ("gplNoVersion", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu general public license|gpl)"),
     ("lgplAny", r"(this (file|work|software|library|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu (lesser|library) general public license|lgpl),? ?(version|v) ?(2|2\.1|3)(\.0)?( or (any )?later)?"),
     ("agplAny", r"(this (file|work|software|program|project|code) is )?(licensed|released|distributed) under (the terms of )?(the )?(gnu affero general public license|agpl),? ?(version|v) ?3(\.0)?( or (any )?later)?"),
@@ -82,6 +86,8 @@ RULES = (
     ("MIT", r"(?:;mit)?;mitGrant(?:;mitNotice)?(?:;mitAsIs)?(?:;mitLiab)?"),
     ("ISC", r";iscGrant(?:;iscAsIs)?(?:;bsdLiab)?"),
     ("MIT", r";spdxMit|;mit"),
+    ("GPL-3.0-or-later", r";spdxGpl3Later|;gpl3Later"),
+    ("GPL-2.0-or-later", r";spdxGpl2Later|;gpl2Later"),
     ("GPL-3.0", r";spdxGpl3"),
     ("GPL-2.0", r";spdxGpl2"),
     ("BSD-3-Clause", r";spdxBsd3"),

@@ -28,6 +28,14 @@ class Rule:
     anchor: str
     needles: tuple[str, ...] = ()
 
+    @property
+    def long_enough(self) -> str:
+        """The pattern, cut to matches that are long enough: a run's longest match starts where its short prefix would."""
+        if self.group or not self.pattern.endswith("+"):
+            return self.pattern
+        fixed = {"access": len("AKIA"), "vcs": len("ghp_")}.get(self.kind, 0)
+        return self.pattern[:-1] + "{%d,}" % (self.least - fixed)
+
     def may_match(self, text: Column) -> Column:
         test = text.rlike(self.anchor)
         for k, needle in enumerate(self.needles):
@@ -58,10 +66,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     split() gives the pieces between the matches that regexp_extract_all()
     gives, so running sums of their lengths are the matches' places.
     """
-    if rule.group == 0:  # a run that is long enough starts where its short prefix would: only long ones need be cut out
-        pattern = rule.pattern[:-1] + "{%d,}" % (rule.least - len("AKIA") if rule.kind == "access" else rule.least - 4 if rule.kind == "vcs" else rule.least) if rule.pattern.endswith("+") else rule.pattern
-    else:
-        pattern = rule.pattern
+    pattern = rule.long_enough
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)

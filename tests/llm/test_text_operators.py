@@ -52,7 +52,7 @@ def test_shortest_known_sentences_are_looked_up(spark):
 
 
 def test_licenses_of_short_statements(spark):
-    exp = {"All rights reserved.": "LicenseRef-all-rights-reserved", "Copyright 2020 Foo. All rights reserved.": "LicenseRef-all-rights-reserved", "Released under GPL v3.": "GPL-3.0", "Released under CC BY 4.0.": "CC-BY", "Dedicated under CC0 1.0.": "CC0-1.0"}
+    exp = {"All rights reserved.": "LicenseRef-all-rights-reserved", "Copyright 2020 Foo. All rights reserved.": "LicenseRef-all-rights-reserved", "Released under GPL v3.": "GPL-3.0", "Released under the GPL v3.0 or later.": "GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "Released under CC BY 4.0.": "CC-BY", "Dedicated under CC0 1.0.": "CC0-1.0"}
     rows = list(enumerate(exp))
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
     assert [got[i] for i, _ in rows] == list(exp.values())
@@ -151,7 +151,7 @@ HEADERS = [
     ("Some Title\nCopyright 2020 Foo Inc. Licensed under the MIT License\nMore Text", "MIT", ";copyright;mit"),
     ("Copyright 2020 Foo\nAll Rights\nReserved", "LicenseRef-all-rights-reserved", ";copyright;reserved"),
     ("The other library is\nlicensed under the MIT License", "", ""),
-    *[(f"SPDX-License-Identifier: {i}\nImport x", n, f";{s}") for i, n, s in (("Apache-2.0", "Apache-2.0", "spdxApache2"), ("MIT", "MIT", "spdxMit"), ("GPL-3.0-only", "GPL-3.0", "spdxGpl3"), ("GPL-2.0+", "GPL-2.0", "spdxGpl2"), ("BSD-3-Clause", "BSD-3-Clause", "spdxBsd3"), ("BSD-2-Clause", "BSD-2-Clause", "spdxBsd2"), ("MPL-2.0", "MPL-2.0", "spdxMpl2"), ("Zlib", "LicenseRef-other", "spdxOther"))],
+    *[(f"SPDX-License-Identifier: {i}\nImport x", n, f";{s}") for i, n, s in (("Apache-2.0", "Apache-2.0", "spdxApache2"), ("MIT", "MIT", "spdxMit"), ("GPL-3.0-only", "GPL-3.0", "spdxGpl3"), ("GPL-2.0+", "GPL-2.0-or-later", "spdxGpl2Later"), ("BSD-3-Clause", "BSD-3-Clause", "spdxBsd3"), ("BSD-2-Clause", "BSD-2-Clause", "spdxBsd2"), ("MPL-2.0", "MPL-2.0", "spdxMpl2"), ("Zlib", "LicenseRef-other", "spdxOther"))],
 ]
 
 
