@@ -48,6 +48,8 @@ LATE_BITS = 1024
 COMMON_KEPT = 200_000
 #: Rows of ids that are sent to all tasks, at most.
 BROADCAST_ROWS = 2_000_000
+#: Rows of parts that a task gives at once, at most.
+ROWS_AT_ONCE = 50_000
 #: Pivots of a long list, and how many of them a member is verified with.
 PIVOTS, CLOSEST = 8, 3
 #: A list of so many members, or fewer, has all its pairs tried.
@@ -243,10 +245,10 @@ def common_shingles(docs: DataFrame, k: int, s: Scratch, kept: int = COMMON_KEPT
                 parts.append(x)
                 counts.append(np.ones(len(x), np.int64))
                 size += len(x)
-            if size > 4_000_000:  # bounded: what one document holds so far goes, then what two do, and so on
+            if size > 1_500_000:  # bounded: what one document holds so far goes, then what two do, and so on
                 x, c = _merged(parts, counts)
                 least = 1
-                while (c >= least).sum() > 2_000_000:
+                while (c >= least).sum() > 750_000:
                     least += 1
                 parts, counts, size = [x[c >= least]], [c[c >= least]], 0
         x, c = _merged(parts, counts)
@@ -446,10 +448,12 @@ def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common:
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [set_of(t, k) for t in b["text"]]
-            got = [parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x for x in sets]
-            of = lambda c: np.repeat(b[c].to_numpy(np.int64), [len(p) for p in got])
-            yield pd.DataFrame({"part": np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64), "id": of("doc_id"), "root": of("root")})
+            for t, doc, root in zip(b["text"], b["doc_id"], b["root"]):  # a long text has many parts
+                x = set_of(t, k)
+                got = parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x
+                for at in range(0, len(got), ROWS_AT_ONCE):
+                    some = got[at : at + ROWS_AT_ONCE].view(np.int64)
+                    yield pd.DataFrame({"part": some, "id": np.full(len(some), doc, np.int64), "root": np.full(len(some), root, np.int64)})
 
     def flips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
