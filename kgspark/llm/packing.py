@@ -24,8 +24,8 @@ from kgspark.session import materialise, plain, workers_import_this
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, by their hash; the memory is emptied when it is full, so it stays bounded.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker remembers, by their hash; when there are more, those of the texts at hand stay, so it is bounded.
+WORDS_KEPT = 450_000
 #: Bytes of texts encoded at once.
 CHUNK = 1 << 20
 #: Branch-and-bound nodes and undominated fillings tried at a node.
@@ -135,9 +135,11 @@ def _encoded(raw: bytes, name: str) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_VALUE[b] * up[: len(b)], out=total[1:])
     h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _LENGTH)
     distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+    keys = distinct.tolist()
     if len(kept) > WORDS_KEPT:
+        stay = {x: kept[x] for x in keys if x in kept}
         kept.clear()
-    keys = distinct.tolist()
+        kept.update(stay)
     new = [k for k, x in enumerate(keys) if x not in kept]
     words = [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())] if new else []
     kept.update(zip([keys[k] for k in new], _ids_of(words, name)))
