@@ -64,16 +64,15 @@ def start(spark: SparkSession, path: str, schema: str, sink: Callable[[DataFrame
     """Read event files as they come and hand each batch, without repeats and of known kinds, to an idempotent sink.
 
     Events of other kinds, and whole batches whose sink fails, are written to the quarantine folder (attempt, last_error) before the
-    checkpoint moves on, so none is lost; each batch writes a folder of its own, which a repeated batch overwrites. A batch without a quarantine fails on them.
+    checkpoint moves on, so none is lost; each batch writes a folder of its own, which a repeated batch overwrites.
+    Without a quarantine, events of other kinds go to a folder beside the checkpoint, and a sink that fails stops the query, which takes the batch up again when restarted.
     """
     events = spark.readStream.schema(schema).parquet(path)
 
     def aside(rows: DataFrame, number: int, error: str, kind: str) -> None:
         if rows.isEmpty():
             return
-        if quarantine is None:
-            raise RuntimeError(error)
-        rows.withColumns({"attempts": F.lit(1), "last_error": F.lit(error[:500])}).write.mode("overwrite").parquet(f"{quarantine}/{kind}-{number}")
+        rows.withColumns({"attempts": F.lit(1), "last_error": F.lit(error[:500])}).write.mode("overwrite").parquet(f"{quarantine or checkpoint + '-aside'}/{kind}-{number}")
 
     def batch(df: DataFrame, number: int) -> None:
         rows = df.dropDuplicates(["aggregate_type", "aggregate_id", "event_type", "id"])
