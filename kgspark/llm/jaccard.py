@@ -19,7 +19,7 @@ pivots of its own, and each member's closest ones are verified. What then
 stays are members of long lists in different components. Their sets are cut
 into one part more than a linked pair can differ in shingles, so a linked pair has
 a part in common as a whole: the lists of equal parts split the long lists, and
-hold near copies only. In these, a pair of different components includes a member outside the list's
+hold near copies only. Their members first meet a few of their list's largest component, which most of them join. Then a pair of different components includes a member outside the list's
 largest one: only those are paired with the list. So links of a group
 of copies cost a few pairs a member, and no link that could join two components is left out.
 """
@@ -44,6 +44,7 @@ ORDERS = 2
 LEAST_BITS, MOST_BITS = 64, 2048
 #: Bits of those that members of long lists carry with each part.
 LATE_BITS = 1024
+WORDS = [f"f{i}" for i in range(LATE_BITS // 64)]
 #: Shingles that the first order ranks by their number of documents, at most: the most held ones.
 COMMON_KEPT = 200_000
 #: Rows of ids that are sent to all tasks, at most.
@@ -197,27 +198,33 @@ def levels(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def parts_of(s: np.ndarray, percent: int, first: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """Hashes of the set's parts, in its level and the next: two sets that link have one in common.
+def level_of(n: int, bounds: list[int]) -> int:
+    """The level of a set of n shingles."""
+    return bisect_right(bounds, n) - 1
+
+
+def parts_in(level: int, s: np.ndarray, percent: int, first: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Hashes of the set's parts in a level: two sets of the level, or of it and the one below, that link have one in common.
 
     In a level of sizes up to `most`, linked sets differ in at most 2 * most * (100 - t) / (100 + t) shingles; cut into one part more, they agree in one.
     A part without shingles says little, so it is written once for each shingle of the prefix in the first order, of which they share one.
     """
-    out = []
-    i = bisect_right(bounds, len(s)) - 1
-    for level in (i, i + 1):
-        most = bounds[level] * 100 // percent
-        m = 2 * most * (100 - percent) // (100 + percent) + 1
-        seed = mixed(np.array([level + 1], np.uint64) * _M2)[0]
-        h = mixed(s * _M3 + seed)
-        part = ((h >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, mixed(h + _M1))
-        name = mixed(np.arange(1, m + 1, dtype=np.uint64) * _M1 + seed)
-        held = np.bincount(part, minlength=m) > 0
-        out.append(mixed(total[held] + name[held]))
-        out.append(mixed(name[~held][:, None] + mixed(first + _M2)[None, :]).ravel())
-    return np.concatenate(out)
+    most = bounds[level] * 100 // percent
+    m = 2 * most * (100 - percent) // (100 + percent) + 1
+    seed = mixed(np.array([level + 1], np.uint64) * _M2)[0]
+    h = mixed(s * _M3 + seed)
+    part = ((h >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+    total = np.zeros(m, np.uint64)
+    np.add.at(total, part, mixed(h + _M1))
+    name = mixed(np.arange(1, m + 1, dtype=np.uint64) * _M1 + seed)
+    held = np.bincount(part, minlength=m) > 0
+    return np.concatenate([mixed(total[held] + name[held]), mixed(name[~held][:, None] + mixed(first + _M2)[None, :]).ravel()])
+
+
+def parts_of(s: np.ndarray, percent: int, first: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Parts in the set's own level, then those in the next: two sets that link have one in common, which is in the own level of one at least."""
+    i = level_of(len(s), bounds)
+    return np.concatenate([parts_in(level, s, percent, first, bounds) for level in (i, i + 1)])
 
 
 def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -434,46 +441,74 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
     return materialise(docs.withColumn("kg_id", F.coalesce(key, own)), "numbered"), least
 
 
-def late_pairs(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], s: Scratch) -> DataFrame:
-    """Pairs of different components that may link, from long lists (key, id, root): a, b.
+def late_parts(rooted: DataFrame, docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray], s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Parts (part, own, id, root) of the members of long lists (key, id, root) in several components, and those members' sets (id, n, bits as f0, f1, ...).
 
-    The members' parts make lists of their own. There, each pair of different
-    components comes once: with the list's largest one from outside it, else from the greater id.
+    own says that the part is of the set's own level, and not of the next.
     """
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     ids = s.write(rooted.join(several, "key", "left_semi").select(F.col("id").alias("doc_id"), "root").distinct(), "ids")
     texts = s.write(docs.join(small_side(ids), "doc_id"), "texts")
     bounds = levels(percent)
-    words = [f"f{i}" for i in range(LATE_BITS // 64)]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t, doc, root in zip(b["text"], b["doc_id"], b["root"]):  # a long text has many parts
                 x = set_of(t, k)
-                got = parts_of(x, percent, prefix(x, percent, common), bounds) if len(x) else x
-                for at in range(0, len(got), ROWS_AT_ONCE):
-                    some = got[at : at + ROWS_AT_ONCE].view(np.int64)
-                    yield pd.DataFrame({"part": some, "id": np.full(len(some), doc, np.int64), "root": np.full(len(some), root, np.int64)})
+                if not len(x):
+                    continue
+                first, i = prefix(x, percent, common), level_of(len(x), bounds)
+                for level in (i, i + 1):
+                    got = parts_in(level, x, percent, first, bounds)
+                    for at in range(0, len(got), ROWS_AT_ONCE):
+                        some = got[at : at + ROWS_AT_ONCE].view(np.int64)
+                        yield pd.DataFrame({"part": some, "own": level == i, "id": np.full(len(some), doc, np.int64), "root": np.full(len(some), root, np.int64)})
 
     def flips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [set_of(t, k) for t in b["text"]]
-            bits = np.stack([np.zeros(len(words), "<i8"), *[parity(x, LATE_BITS, LATE_BITS).view("<i8") for x in sets]])[1:]
-            yield pd.DataFrame({"id": b["doc_id"], "n": np.array([len(x) for x in sets], np.int64), **{w: bits[:, i] for i, w in enumerate(words)}})
+            bits = np.stack([np.zeros(len(WORDS), "<i8"), *[parity(x, LATE_BITS, LATE_BITS).view("<i8") for x in sets]])[1:]
+            yield pd.DataFrame({"id": b["doc_id"], "n": np.array([len(x) for x in sets], np.int64), **{w: bits[:, i] for i, w in enumerate(WORDS)}})
+
+    rows = s.write(texts.mapInPandas(parts, "part long, own boolean, id long, root long"), "parts")
+    sets = s.write(texts.mapInPandas(flips, "id long, n long, " + ", ".join(f"{w} long" for w in WORDS)), "sets")
+    s.drop(texts)
+    return rows, sets
 
-    rows = s.write(texts.mapInPandas(parts, "part long, id long, root long"), "parts")
+
+def still_split(rows: DataFrame, s: Scratch) -> DataFrame:
+    """Rows of the parts that stand in several components. As components only grow, a part that does not will not later."""
     split = rows.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    kept = s.write(rows.join(split, "part", "left_semi"), "kept")
+    out = s.write(rows.join(split, "part", "left_semi"), "kept")
     s.drop(rows)
+    return out
+
+
+def late_pairs(kept: DataFrame, sets: DataFrame, percent: int, s: Scratch, pivots: int = 0) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from late_parts()' rows of split parts: each is of one part, own to one of both.
+
+    With pivots, members outside a part's largest component meet so many members of that one. Without, each pair of different
+    components comes: with the part's largest one from outside it, else from the greater id.
+    """
     held = kept.groupBy("part", "root").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "root")).alias("m"))
-    sets = texts.mapInPandas(flips, "id long, n long, " + ", ".join(f"{w} long" for w in words))
-    left = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part").join(sets, "id"), "left")
-    s.drop(texts)
-    x, y = left.where("root <> main").alias("x"), left.alias("y")
-    test = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
-    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+    marked = s.write(kept.join(held.select("part", F.col("m.root").alias("main")), "part"), "marked")
+    outside = marked.where("root <> main")
+    if pivots:
+        chosen = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "own", "root")) for r in range(pivots)]
+        inside = marked.where("root = main").groupBy("part").agg(F.array(*chosen).alias("ps")).select("part", F.explode("ps").alias("p"))
+        inside = inside.select("part", "p.own", "p.id", "p.root", F.col("p.root").alias("main")).distinct()
+    else:
+        inside = marked
+    x, y = outside.join(sets, "id").alias("x"), inside.join(sets, "id").alias("y")
+    test = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.own") | F.col("y.own"))
+    test = test & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WORDS), F.lit(0))
     test = test & sizes(F.col("x.n"), F.col("y.n"), percent) & near(F.col("x.n"), F.col("y.n"), differ, percent)
-    return s.write(x.join(y, test).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "late")
+    # a member's pivots stay with it as a; other pairs are put in one order
+    a, b = (F.col("x.id"), F.col("y.id")) if pivots else (F.greatest("x.id", "y.id"), F.least("x.id", "y.id"))
+    out = s.write(x.join(y, test).select(a.alias("a"), b.alias("b")).distinct(), "late")
+    s.drop(marked)
+    return out
 
 
 def linked(docs: DataFrame, k: int, percent: int, small: int) -> DataFrame:
@@ -516,18 +551,33 @@ def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> Da
 
     found = tested(pairs)
     s.drop(pairs)
-    # of its pivots, as many as a prefix has lists at most, a member keeps the closest
-    closest = found.where("pivot = 1").groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differ", "b"))), 1, CLOSEST).alias("m")).select("a", F.explode("m").alias("m"))
-    tried = s.write(by_orders(found.where("pivot = 0").select("a", "b").unionByName(closest.select("a", "m.b")).distinct(), sketches), "tried")
-    links = verified(tried, docs, k, percent, s)
+
+    def closest(found: DataFrame) -> DataFrame:
+        """Of a member's pivots (as many as its lists or parts have, at most), the closest ones."""
+        best = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("differ", "b"))), 1, CLOSEST).alias("m"))
+        return best.select("a", F.explode("m.b").alias("b"))
+
+    def checked(found: DataFrame) -> DataFrame:
+        return verified(s.write(by_orders(found.select("a", "b").distinct(), sketches), "tried"), docs, k, percent, s)
+
+    links = checked(found.where("pivot = 0").select("a", "b").unionByName(closest(found.where("pivot = 1"))))
     roots = components(links, s)
     if not large.isEmpty():
         rooted = large.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        more = late_pairs(rooted, docs, k, percent, common, s)
-        more = s.write(by_orders(tested(more.withColumn("pivot", F.lit(0))).select("a", "b"), sketches), "more")
-        if not more.isEmpty():
+        parts, sets = late_parts(rooted, docs, k, percent, common, s)
+        # members meet a few of the largest component first: most join it, and few are left to meet all that may link
+        for pivots in (PIVOTS, 0):
+            parts = still_split(parts, s)
+            found = tested(late_pairs(parts, sets, percent, s, pivots).withColumn("pivot", F.lit(0)))
+            more = checked(closest(found) if pivots else found)
+            if more.isEmpty():
+                continue
             stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(stars.unionByName(verified(more, docs, k, percent, s)), s)
+            roots = components(stars.unionByName(more), s)
+            if pivots:
+                now = roots.select("node", F.col("root").alias("now"))
+                before, parts = parts, s.write(parts.join(now, F.col("root") == F.col("node"), "left").select("part", "own", "id", F.coalesce("now", "root").alias("root")), "parts")
+                s.drop(before)
 
     # back to the rows: ids of one class, and classes of one id, belong together
     whole = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))

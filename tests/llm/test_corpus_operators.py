@@ -206,6 +206,8 @@ def test_linked_sets_share_a_part():
             none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             cut = [jaccard.parts_of(s, percent, jaccard.prefix(s, percent, none), bounds) for s in (x, y)]
             assert np.isin(*cut).any()
+            level = max(jaccard.level_of(len(s), bounds) for s in (x, y))
+            assert np.isin(*[jaccard.parts_in(level, s, percent, jaccard.prefix(s, percent, none), bounds) for s in (x, y)]).any()
             assert jaccard.difference(*[jaccard.parity(s).tobytes() for s in (x, y)]) <= len(x) + len(y) - 2 * both
 
 
