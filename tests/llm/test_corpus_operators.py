@@ -304,6 +304,17 @@ def test_pipeline_stages(spark):
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    got = sorted(r.doc_id for r in stage(spark, docs, d).select("doc_id").collect())
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert got == sorted({root for _, _, root in brute_groups(rows, 5, 80)})
+
+
 def test_repeats_count_over_the_whole_host(spark):
     notice = "please accept all of our many cookies before you go on reading"
     page = lambda i: f"<body><p>{notice if i % 40 == 0 else ''}</p><p>" + " ".join(f"u{i}x{j}" for j in range(30)) + "</p></body>"
