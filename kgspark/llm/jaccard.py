@@ -19,7 +19,7 @@ pivots of its own, and each member's closest ones are verified. What then
 stays are members of long lists in different components. Their sets are cut
 into one part more than a linked pair can differ in shingles, so a linked pair has
 a part in common as a whole: the lists of equal parts split the long lists, and
-hold near copies only. Their members first meet a few of their list's largest component, which most of them join. Then a pair of different components includes a member outside the list's
+hold near copies only. Their members first meet a few of their list's largest component; those that join it need not meet the rest of it. Then a pair of different components includes a member outside the list's
 largest one: only those are paired with the list. So links of a group
 of copies cost a few pairs a member, and no link that could join two components is left out.
 """
@@ -565,7 +565,7 @@ def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> Da
     if not large.isEmpty():
         rooted = large.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         parts, sets = late_parts(rooted, docs, k, percent, common, s)
-        # members meet a few of the largest component first: most join it, and few are left to meet all that may link
+        # members meet a few of the largest component first: those that join it need not meet all of it
         for pivots in (PIVOTS, 0):
             parts = still_split(parts, s)
             found = tested(late_pairs(parts, sets, percent, s, pivots).withColumn("pivot", F.lit(0)))
