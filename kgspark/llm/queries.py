@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kgspark.llm import decontaminate, html_text, jaccard, licenses, matroska, packing, pii, quality, revisit, secret_scan
+from kgspark.llm import decontaminate, html_text, jaccard, licenses, matroska, oracles, packing, pii, prefix_trie, quality, revisit, secret_scan, stamps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_mixed_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalise(table(spark, sf_dir, "stamps"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scans": op1_license_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_media_columns": op9_media_columns,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_mixed_timestamps": op11_mixed_timestamps,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 def _spans(rule: secret_scan.Rule, rank: int) -> str:
@@ -101,4 +111,4 @@ select d.doc_id, coalesce(of.n, 0)::bigint as n_shingles, coalesce(of.r, d.doc_i
 """
 
 #: SQL where DuckDB can express the operator: op7's holds for documents whose ids differ.
-ORACLES: dict[str, str] = {"op4_secret_scans": SECRETS, "op7_ngram_jaccard_join": LINKS}
+ORACLES: dict[str, str] = {"op4_secret_scans": SECRETS, "op7_ngram_jaccard_join": LINKS, **oracles.ORACLES}
