@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kgspark.llm import decontaminate, html_text, jaccard, licenses, matroska, oracles, packing, pii, prefix_trie, quality, revisit, secret_scan, stamps
+from kgspark.llm import decontaminate, html_text, jaccard, language, licenses, matroska, oracles, packing, pii, prefix_trie, quality, revisit, secret_scan, stamps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scans": op1_license_scans,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_mixed_timestamps": op11_mixed_timestamps,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_language_id": op13_language_id,
 }
 
 def _spans(rule: secret_scan.Rule, rank: int) -> str:
