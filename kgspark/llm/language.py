@@ -81,7 +81,7 @@ def encoded(text: str, table: np.ndarray) -> np.ndarray:
 def lowered(text: str) -> str:
     """A text's letters in lower case with single spaces between runs, as encoded() reads it."""
     low = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    return " ".join("".join(chr(c) if c else " " for c in low.tolist()).split(" ")).strip() if len(low) else ""
+    return " ".join("".join(chr(c) if c else " " for c in low.tolist()).split())
 
 
 # --- automata ---
