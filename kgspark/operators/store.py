@@ -58,12 +58,65 @@ def merged_properties(old: Column, new: Column) -> Column:
     )
 
 
+#: Columns of an entity that its newest mention gives; the others stay as its first mention, or the store, has them.
+NEWEST = ("name", "normalized_name", "updated_at")
+
+
+def fold_entities(old: DataFrame, mentions: DataFrame, order: list[str], key: str = "id", newest: tuple[str, ...] = NEWEST) -> DataFrame:
+    """Entities after all mentions of a batch, as if its documents came in one by one: old (key, properties, ...), mentions (the same columns, and those of `order`).
+
+    Each mention merges into what is there as merged_properties() says: a scalar has its last value, sources, aliases and references stand in the order they were first
+    seen, whoever mentions the entity for the first time included. Empty source ids count for nothing. Entities without a mention stay as they are. Of mentions
+    equal in `order` (order should tell them apart) the one with the greater values counts as later. Rows with a null key are left out.
+
+    The fold is made of associative steps (first place of a value, last value of a scalar), so all but distinct values is summed up before it moves and an
+    entity with any share of the mentions has no task to itself.
+    """
+    cols = [c for c in old.columns if c != key]
+    fixed, last = [c for c in cols if c not in (*newest, "properties")], [c for c in cols if c in newest]
+    came = mentions.where(F.col(key).isNotNull()).select(F.col(key), *cols, F.struct(F.lit(1).alias("kg_new"), *[F.col(c).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
+    touched = came.select(key).distinct()
+    there = old.join(touched, key, "left_semi").select(F.col(key), *cols, F.struct(F.lit(0).alias("kg_new"), *[F.lit(None).cast(mentions.schema[c].dataType).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
+    rows = there.unionByName(came)
+    p = F.col("properties")
+    one = lambda c: F.when(c.isNotNull() & (c != ""), F.array(c)).otherwise(F.array().cast("array<string>"))
+    listed = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    scalars = F.coalesce(p["scalars"], F.create_map().cast("map<string,string>"))
+    cell = lambda field, at, name, value: F.struct(F.lit(field).alias("field"), at.cast("int").alias("place"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+    many = lambda field, a: F.transform(a, lambda v, i: cell(field, i, v, F.lit(None)))
+    cells = F.concat(
+        many("source", F.filter(F.concat(listed(p["source_document_ids"]), one(p["source_document_id"])), lambda v: v.isNotNull() & (v != ""))), many("alias", listed(p["aliases"])), many("ref", listed(p["evidence_refs"])),
+        F.transform(F.map_entries(scalars), lambda e: cell("scalar", F.lit(0), e["key"], e["value"])),
+    )
+    parts = rows.select(key, "kg_at", F.explode(cells).alias("c")).select(key, "kg_at", "c.*")
+    seen = parts.groupBy(key, "field", "name").agg(F.min(F.struct("kg_at", "place")).alias("first"), F.max(F.struct("kg_at", "value")).alias("last"))
+    of = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("first", "name")))), lambda x: x["name"])
+    props = seen.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("field") == "scalar", F.struct("name", "last.value")))).alias("kg_scalars"), of("source").alias("kg_sources"), of("alias").alias("kg_aliases"), of("ref").alias("kg_refs"),
+    )
+    ends = rows.groupBy(key).agg(F.min("kg_at").alias("kg_at"), *[F.min_by(c, "kg_at").alias(c) for c in fixed], *[F.max_by(c, "kg_at").alias(c) for c in last])
+    merged = F.struct(
+        F.coalesce("kg_scalars", F.create_map().cast("map<string,string>")).alias("scalars"), F.get(listed(F.col("kg_sources")), F.lit(0)).alias("source_document_id"), listed(F.col("kg_sources")).alias("source_document_ids"),
+        listed(F.col("kg_aliases")).alias("aliases"), listed(F.col("kg_refs")).alias("evidence_refs"),
+    )
+    done = ends.join(props, key, "left").withColumn("properties", merged).select(key, *cols)
+    return old.join(touched, key, "left_anti").select(key, *cols).unionByName(done).select(*old.columns)
+
+
+def upsert_rows(old: DataFrame, new: DataFrame, key: str, order: list[str], newest: tuple[str, ...]) -> DataFrame:
+    """old after rows of new, in `order`: a known key takes the columns `newest` from its last row; all others stay as the store, or its first row, has them."""
+    cols = [c for c in old.columns if c != key]
+    at = F.struct(*order) if order else F.lit(0)
+    ends = new.groupBy(key).agg(F.min_by(F.struct(*cols), at).alias("kg_first"), F.max_by(F.struct(*cols), at).alias("kg_last"))
+    both = old.withColumn("kg_old", F.struct(*cols)).select(key, "kg_old").join(ends, key, "full")
+    pick = lambda c: F.when(F.col("kg_old").isNull(), F.col("kg_first")[c]).otherwise(F.col("kg_old")[c])
+    value = lambda c: F.when(F.col("kg_last").isNotNull(), F.col("kg_last")[c]).otherwise(F.col("kg_old")[c])
+    return both.select(key, *[(value(c) if c in newest else pick(c)).alias(c) for c in cols]).select(*old.columns)
+
+
 def merge_entities(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Entities (key, properties, ...) after a batch with one row a key at most: known ones get merged properties, their other columns come from the batch."""
-    o, n = old.alias("o"), new.alias("n")
-    props = F.when(F.col(f"o.{key}").isNull(), F.col("n.properties")).when(F.col(f"n.{key}").isNull(), F.col("o.properties")).otherwise(merged_properties(F.col("o.properties"), F.col("n.properties")))
-    rest = [F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns if c not in (key, "properties")]
-    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *rest, props.alias("properties"))
+    """Entities after a batch in which none is mentioned twice: fold_entities() without an order."""
+    return fold_entities(old, new, [], key)
 
 
 # --- bundles ---
@@ -79,7 +132,9 @@ def replace_bundle(store: dict[str, DataFrame], bundle: dict[str, DataFrame]) ->
     """The store after the bundle's documents came in (again): a new snapshot of each table.
 
     documents: title, content, source_path and updated_at are taken from the bundle, created_at stays. Rows that belong to
-    its documents go, the bundle's come in. Entities are merged. Each entity and relation of the bundle is an upsert event unless one is pending.
+    its documents go, the bundle's come in; a relation that another document has already stays that document's and takes properties and confidence. Entities are folded, whichever
+    and however many documents mention them: a column `ord` of theirs (and of relations) gives the order of documents and mentions. Each entity and relation of the bundle is an
+    upsert event unless one is pending.
     """
     docs, new = store["documents"], bundle["documents"]
     ids = new.select("document_id").distinct()
@@ -89,8 +144,11 @@ def replace_bundle(store: dict[str, DataFrame], bundle: dict[str, DataFrame]) ->
     for name in OWNED:
         if name in store:
             kept = store[name].join(ids, "document_id", "left_anti")
-            out[name] = kept.unionByName(bundle[name]) if name in bundle else kept
-    out["entities"] = merge_entities(store["entities"], bundle["entities"]) if "entities" in bundle else store["entities"]
+            if name == "relations" and name in bundle:
+                out[name] = upsert_rows(kept, bundle[name], "id", _order(bundle[name]), ("properties", "confidence"))
+            else:
+                out[name] = kept.unionByName(bundle[name]) if name in bundle else kept
+    out["entities"] = fold_entities(store["entities"], bundle["entities"], _order(bundle["entities"])) if "entities" in bundle else store["entities"]
     events = [bundle[t].select(F.lit(kind).alias("aggregate_type"), F.col("id").alias("aggregate_id"), F.lit("upsert").alias("event_type"), F.lit(False).alias("processed")) for t, kind in (("entities", "entity"), ("relations", "relation")) if t in bundle]
     out["outbox"] = store["outbox"]
     for e in events:
@@ -98,6 +156,10 @@ def replace_bundle(store: dict[str, DataFrame], bundle: dict[str, DataFrame]) ->
     return out
 
 
+def _order(rows: DataFrame) -> list[str]:
+    return ["ord"] if "ord" in rows.columns else []
+
+
 def upsert_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Embeddings after a batch: one row for each (source_id, source_type, model), the batch's last by created_at if it has one."""
     key = ["source_id", "source_type", "model"]

@@ -78,7 +78,7 @@ def statement_subjects(spark, d):
 OLD_PROPS = "map('a', 'old', 'k', 'old') as scalars, cast(null as string) as source_document_id, array('d' || s_nationkey, 'd7') as source_document_ids, array('x', 'b' || (s_suppkey % 3)) as aliases, array('r1') as evidence_refs"
 
 
-@query("""select id, case when scalar = 'new' then srcs[1] end as source, array_to_string(list_filter(srcs, lambda x, i: list_position(srcs, x) = i), ',') as sources, array_to_string(list_filter(als, lambda x, i: list_position(als, x) = i), ',') as aliases, scalar from (
+@query("""select id, case when scalar = 'new' then srcs[1] end as source, array_to_string(list_filter(srcs, lambda x, i: scalar = 'old' or list_position(srcs, x) = i), ',') as sources, array_to_string(list_filter(als, lambda x, i: scalar = 'old' or list_position(als, x) = i), ',') as aliases, scalar from (
  select 's' || s_suppkey as id, case when s_suppkey % 2 = 0 then ['d' || s_nationkey, 'd7', 'd' || (s_suppkey % 25)] else ['d' || s_nationkey, 'd7'] end as srcs, case when s_suppkey % 2 = 0 then ['x', 'b' || (s_suppkey % 3), 'b' || (s_suppkey % 2), 'c'] else ['x', 'b' || (s_suppkey % 3)] end as als, case when s_suppkey % 2 = 0 then 'new' else 'old' end as scalar from supplier)""", "")
 def property_merge(spark, d):
     s = table(spark, d, "supplier").withColumn("id", F.expr("'s' || s_suppkey"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from kgspark.plans import catalog, knowledge  # noqa: F401 (knowledge adds its queries)
+from kgspark.plans import catalog, knowledge, lifecycle  # noqa: F401 (these add their queries)
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -86,3 +86,54 @@ def test_invalid_relation_groups(spark):
     cols = "candidate_id string, candidate_type string, entity_id string, predicate string, label string, object_name string, confidence double, document_id string, published_at long"
     got = {r.candidate_type: r for r in promotion.fused_groups(spark.createDataFrame(rows, cols)).collect()}
     assert got["relation"].status == "invalid" and got["statement"].members == 2 and got["statement"].confidence == 0.9
+
+
+PROPS = "struct<scalars: map<string,string>, source_document_id: string, source_document_ids: array<string>, aliases: array<string>, evidence_refs: array<string>>"
+
+
+def merged_one_by_one(old, mentions):
+    """Entities after mentions (id, name, type, properties) in order, by plain dictionaries."""
+    out = {i: (n, t, p) for i, n, t, p in old}
+    for i, name, kind, p in mentions:
+        _, t, e = out.get(i, (None, kind, None))
+        e = e or {"scalars": {}, "source_document_id": None, "source_document_ids": [], "aliases": [], "evidence_refs": []}
+        uniq = lambda *xs: list(dict.fromkeys(x for v in xs for x in (v or [])))
+        src = [x for x in uniq(e["source_document_ids"], [e["source_document_id"]], p["source_document_ids"], [p["source_document_id"]]) if x]
+        out[i] = (name, t, {"scalars": {**(e["scalars"] or {}), **(p["scalars"] or {})}, "source_document_id": src[0] if src else None, "source_document_ids": src, "aliases": uniq(e["aliases"], p["aliases"]), "evidence_refs": uniq(e["evidence_refs"], p["evidence_refs"])})
+    return out
+
+
+def test_fold_of_many_documents_equals_one_by_one(spark):
+    import random
+
+    rnd = random.Random(2)
+    some = lambda xs: rnd.choice([None, [], rnd.sample(xs, rnd.randint(1, 3))])
+    props = lambda: {"scalars": rnd.choice([None, {rnd.choice("ab"): rnd.choice("xyz")}, {"a": "1", "b": "2"}]), "source_document_id": rnd.choice([None, "", "d1", "d2", "d3"]), "source_document_ids": some(["d2", "d4", "d5"]), "aliases": some(list("pqrs")), "evidence_refs": some(list("uvw"))}
+    old = [(f"e{k}", f"old{k}", "t", props()) for k in range(6)]
+    mentions = [(f"e{rnd.randrange(3, 12)}", f"m{k}", f"kind{k}", props()) for k in range(80)]
+    cols = f"id string, name string, type string, properties {PROPS}"
+    rows = [(*m, k // 4, k % 4) for k, m in enumerate(mentions)]
+    rnd.shuffle(rows)
+    got = store.fold_entities(spark.createDataFrame(old, cols), spark.createDataFrame(rows, cols + ", doc int, seq int"), ["doc", "seq"])
+    assert {r.id: (r.name, r.type, r.properties.asDict(True)) for r in got.collect()} == merged_one_by_one(old, mentions)
+    none = spark.createDataFrame([], cols + ", doc int, seq int")
+    assert sorted(map(str, store.fold_entities(got, none, ["doc", "seq"]).collect())) == sorted(map(str, got.collect()))
+
+
+def test_bundle_of_two_documents_that_mention_one_entity(spark):
+    cols = f"id string, name string, properties {PROPS}"
+    p = lambda d: {"scalars": {"k": d}, "source_document_id": d, "source_document_ids": None, "aliases": None, "evidence_refs": None}
+    rel = "id string, document_id string, source_id string, confidence double, ord int"
+    held = {
+        "documents": spark.createDataFrame([("d9", "t", 1)], "document_id string, title string, created_at int"), "entities": spark.createDataFrame([], cols),
+        "relations": spark.createDataFrame([("r1", "d9", "a", 0.1)], rel.replace(", ord int", "")), "outbox": spark.createDataFrame([], "aggregate_type string, aggregate_id string, event_type string, processed boolean"),
+    }
+    bundle = {
+        "documents": spark.createDataFrame([("d1", "t", 1), ("d2", "t", 1)], "document_id string, title string, created_at int"), "entities": spark.createDataFrame([("e1", "A", p("d1"), 1), ("e1", "B", p("d2"), 2)], cols + ", ord int"),
+        "relations": spark.createDataFrame([("r1", "d1", "b", 0.5, 1), ("r2", "d1", "b", 0.6, 1), ("r2", "d2", "c", 0.7, 2)], rel),
+    }
+    out = store.replace_bundle(held, bundle)
+    (e,) = out["entities"].collect()
+    assert e.name == "B" and e.properties.source_document_ids == ["d1", "d2"] and e.properties.scalars == {"k": "d2"}
+    assert sorted(map(tuple, out["relations"].select("id", "document_id", "source_id", "confidence").collect())) == [("r1", "d9", "a", 0.5), ("r2", "d1", "b", 0.7)]
+    assert sorted((r.aggregate_type, r.aggregate_id) for r in out["outbox"].collect()) == [("entity", "e1"), ("relation", "r1"), ("relation", "r2")]
