@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import store
+from kgspark.operators import similar, store
 from kgspark.plans.catalog import query
 from kgspark.sources.fixtures import table
 
@@ -28,3 +28,11 @@ def document_fold(spark, d):
     p = store.fold_entities(old, mentions, ["doc", "line"]).select("id", "name", "type", "properties.*")
     pairs = F.transform(F.array_sort(F.map_entries("scalars")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return p.select("id", "name", "type", F.array_join("source_document_ids", ",").alias("sources"), F.array_join("aliases", ",").alias("aliases"), F.array_join("evidence_refs", ",").alias("refs"), F.array_join(pairs, ",").alias("scalars"))
+
+
+@query()
+def near_statements(spark, d):
+    """Lines of documents as statements about the line's first word: SQL has no such similarity, so tests compare with brute force."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    statements = lines.select(F.concat_ws("/", "doc_id", "line_no").alias("id"), F.regexp_extract(F.lower("line"), r"^\S+", 0).alias("subject"), "line")
+    return similar.similar_statements(statements, "subject", "id", "line")[0]
