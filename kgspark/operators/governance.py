@@ -112,6 +112,45 @@ def chains(links: DataFrame, key: str, previous: str, rounds: int = 64) -> DataF
     return found.select(F.col("id").alias(key), F.col("r").alias("root"), F.when(F.col("r").isNotNull(), F.col("depth")).alias("depth"))
 
 
+# fixed values: what may not change of a candidate assertion; an assertion in any other state may not change at all
+FROZEN = ("tenant_id", "brand_id", "subject_id", "predicate", "object_entity_id", "object_value", "statement_text", "supersedes_id")
+
+
+def append_only_violations(old: DataFrame, new: DataFrame, key: str = "id", status: str = "status", frozen: tuple[str, ...] = FROZEN) -> DataFrame:
+    """key, reason, changed (names of columns) for rows of two snapshots that were changed in place though they may not be.
+
+    A candidate may change where it stays one or becomes active, in columns that are not frozen: other states are `illegal_status`, frozen columns `frozen`. A row
+    in another state may not change at all (`not_candidate`): it is superseded by a new row. Nulls equal each other. Rows that are new or gone are no changes; a key
+    given twice in a snapshot is `repeated_key`.
+    """
+    cols = [c for c in old.columns if c != key and c in new.columns]
+    pick = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"kg_{n}"), F.first(F.struct(*cols)).alias(n))
+    both = pick(old, "o").join(pick(new, "n"), key)
+    differs = lambda c: ~F.col("o")[c].eqNullSafe(F.col("n")[c])
+    named = lambda names: F.array_compact(F.array(*[F.when(differs(c), c) for c in names])) if names else F.array().cast("array<string>")
+    both = both.withColumns({"changed": named(cols), "kg_frozen": named([c for c in cols if c in frozen])})
+    was, now = F.col("o")[status], F.col("n")[status]
+    reason = (
+        F.when((F.col("kg_o") > 1) | (F.col("kg_n") > 1), "repeated_key").when(F.size("changed") == 0, None).when(~F.coalesce(was == "candidate", F.lit(False)), "not_candidate")
+        .when(~F.coalesce(now.isin("candidate", "active"), F.lit(False)), "illegal_status").when(F.size("kg_frozen") > 0, "frozen")
+    )
+    return both.withColumn("reason", reason).where("reason is not null").select(key, "reason", F.when(F.col("reason") == "frozen", F.col("kg_frozen")).otherwise(F.col("changed")).alias("changed"))
+
+
+def chain_errors(rows: DataFrame, key: str = "id", previous: str = "supersedes_id", same: tuple[str, ...] = ("subject_id", "predicate")) -> DataFrame:
+    """key, error of versions: `unknown` (supersedes a row that is not there), `fork` (another row supersedes the same one), `cycle` (on or behind a cycle), `other_subject` (the superseded row differs in `same`), `repeated_key` (of such rows the one with the greatest link stands for the chain)."""
+    given = rows.groupBy(key).agg(F.count("*").alias("kg_n"), F.max(F.struct(previous, *same)).alias("kg_r"))
+    repeated = given.where("kg_n > 1").select(key, F.lit("repeated_key").alias("error"))
+    rows = given.select(key, "kg_r.*")
+    ids = rows.select(F.col(key).alias("kg_prev"), F.struct(*same).alias("kg_same"), F.lit(True).alias("kg_there"))
+    linked = rows.where(F.col(previous).isNotNull()).select(key, F.col(previous).alias("kg_prev"), F.struct(*same).alias("kg_own"))
+    forks = linked.groupBy("kg_prev").agg((F.count("*") > 1).alias("kg_fork"))
+    met = linked.join(ids, "kg_prev", "left").join(forks, "kg_prev")
+    errors = F.array_compact(F.array(F.when(F.col("kg_there").isNull(), "unknown"), F.when(F.col("kg_fork"), "fork"), F.when(F.col("kg_there") & ~F.col("kg_own").eqNullSafe(F.col("kg_same")), "other_subject")))
+    cycles = chains(rows.select(key, previous), key, previous).where("root is null").select(key, F.lit("cycle").alias("error"))
+    return met.select(key, F.explode(errors).alias("error")).unionByName(cycles).unionByName(repeated)
+
+
 def near_duplicates(rows: DataFrame, active: DataFrame, ident: str, text: str, newest: str, near: float = NEAR, most: int = NEWEST) -> DataFrame:
     """ident, duplicate_of: rows whose text is near that of one of the newest active texts, with the newest such one.
 

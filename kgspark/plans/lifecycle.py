@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import similar, store
+from kgspark.operators import governance, similar, store, templates
 from kgspark.plans.catalog import query
 from kgspark.sources.fixtures import table
 
@@ -36,3 +36,63 @@ def near_statements(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     statements = lines.select(F.concat_ws("/", "doc_id", "line_no").alias("id"), F.regexp_extract(F.lower("line"), r"^\S+", 0).alias("subject"), "line")
     return similar.similar_statements(statements, "subject", "id", "line")[0]
+
+
+#: Orders as chains of nodes: an order is of the template number o_orderkey % 10, it and its lines have the types of that template in turn; some lines also lead to the next order of the template.
+_NAMES = sorted(templates.CHAINS)
+_TYPES = "case " + " ".join(f"when o % 10 = {k} and p = {i} then '{t}'" for k, n in enumerate(_NAMES) for i, t in enumerate(templates.CHAINS[n])) + " else 'other' end"
+_POINTS = "select l_orderkey as o, l_linenumber as p from lineitem union select distinct l_orderkey, 0 from lineitem"
+GRAPH = f"""typed as (select concat(o, '_', p) as id, {_TYPES} as type, o, p from ({_POINTS}) x),
+ links as (select concat(o, '_', p) as source_id, concat(o, '_', p + 1) as target_id from typed union all select concat(o, '_', p + 1), concat(o + 10, '_', p + 2) from typed where p % 3 = 1),
+ ways as (select distinct u, v from (select source_id as u, target_id as v from links union all select target_id, source_id from links) w join typed a on a.id = u join typed b on b.id = v)"""
+
+
+def _template_sql(name: str) -> str:
+    types = templates.CHAINS[name]
+    joins = "".join(f" join ways w{k} on w{k}.u = n{k - 1}.id join typed n{k} on n{k}.id = w{k}.v and n{k}.type = '{t}'" for k, t in enumerate(types) if k)
+    ids = ", '>', ".join(f"n{k}.id" for k in range(len(types)))
+    return f"select '{name}' as template, concat({ids}) as path from typed n0{joins} where n0.type = '{types[0]}'"
+
+
+@query(" union all ".join(map(_template_sql, _NAMES)), f"with {GRAPH}")
+def template_paths(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("kg_lineitem")
+    kinds = spark.sql(f"select concat(o, '_', p) as id, {_TYPES} as type, o, p from ({_POINTS.replace('lineitem', 'kg_lineitem')})")
+    kinds.createOrReplaceTempView("kg_typed")
+    links = spark.sql("select concat(o, '_', p) as source_id, concat(o, '_', p + 1) as target_id from kg_typed union all select concat(o, '_', p + 1), concat(o + 10, '_', p + 2) from kg_typed where p % 3 = 1")
+    return templates.template_paths(kinds.select("id", "type"), links).select("template", F.array_join("path", ">").alias("path"))
+
+
+#: Two snapshots of lines as assertions: of every 13 lines some change their text, state, note or place in a chain.
+_ASSERTION = "l_orderkey * 10 + l_linenumber as id, 't' || l_suppkey % 3 as tenant_id, 'b' || l_partkey % 7 as brand_id, 's' || l_orderkey as subject_id, 'p' as predicate, cast(null as varchar(9)) as object_entity_id, cast(l_quantity as int) as object_value"
+_OLD = f"select {_ASSERTION}, 'text' as statement_text, case when l_linenumber > 1 then l_orderkey * 10 + l_linenumber - 1 end as supersedes_id, case l_returnflag when 'N' then 'candidate' else 'active' end as status, 'n' as note, l_orderkey % 13 as k from lines1"
+_NEW = f"""select {_ASSERTION}, case when l_orderkey % 13 = 1 then 'other' else 'text' end as statement_text, case when l_orderkey % 13 = 4 and l_linenumber = 1 then l_orderkey * 10 + 2 when l_orderkey % 13 = 5 and l_linenumber = 3 then l_orderkey * 10 + 1 when l_orderkey % 13 = 6 and l_linenumber = 2 then -1 when l_linenumber > 1 then l_orderkey * 10 + l_linenumber - 1 end as supersedes_id,
+ case when l_orderkey % 13 = 2 then 'archived' when l_orderkey % 13 = 3 then 'active' else case l_returnflag when 'N' then 'candidate' else 'active' end end as status, case when l_orderkey % 13 in (1, 7) then 'm' else 'n' end as note, l_orderkey % 13 as k from lines1 where l_orderkey % 13 <> 8"""
+
+
+_ONE = "lines1 as (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey, min(l_quantity) as l_quantity, min(l_returnflag) as l_returnflag from lineitem group by l_orderkey, l_linenumber)"
+
+
+def _assertions(spark, d, sql):
+    table(spark, d, "lineitem").createOrReplaceTempView("kg_lineitem")
+    return spark.sql(f"with {_ONE.replace('from lineitem', 'from kg_lineitem')} {sql}").drop("k")
+
+
+_PAIRS = " ".join(f", case when o.{c} is distinct from n.{c} then '{c}' end as x_{c}" for c in ("statement_text", "supersedes_id", "status", "note"))
+
+
+@query(f"""select id, reason, case reason when 'frozen' then concat_ws(',', x_supersedes_id, x_statement_text) else concat_ws(',', x_note, x_statement_text, x_status, x_supersedes_id) end as changed from (
+ select *, case when concat_ws('', x_statement_text, x_supersedes_id, x_status, x_note) = '' then null when was <> 'candidate' then 'not_candidate' when now not in ('candidate', 'active') then 'illegal_status' when x_statement_text is not null or x_supersedes_id is not null then 'frozen' end as reason
+ from (select o.id, o.status as was, n.status as now {_PAIRS} from ({_OLD}) o join ({_NEW}) n on o.id = n.id) x) y where reason is not null""", f"with {_ONE}")
+def append_only_violations(spark, d):
+    got = governance.append_only_violations(_assertions(spark, d, _OLD), _assertions(spark, d, _NEW))
+    order = F.when(F.col("reason") == "frozen", F.reverse(F.array_sort("changed"))).otherwise(F.array_sort("changed"))
+    return got.select("id", "reason", F.array_join(order, ",").alias("changed"))
+
+
+@query(f"""select n.id, 'unknown' as error from n where supersedes_id is not null and supersedes_id not in (select id from n) union all
+ select id, 'fork' from n where supersedes_id in (select supersedes_id from n group by 1 having count(*) > 1) union all
+ select id, 'cycle' from n where id not in (select id from ok)""",
+ f"with recursive {_ONE}, n as ({_NEW}), ok as (select id from n where supersedes_id is null or supersedes_id not in (select id from n) union all select n.id from n join ok on n.supersedes_id = ok.id)")
+def chain_errors(spark, d):
+    return governance.chain_errors(_assertions(spark, d, _NEW))
