@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import governance, similar, store, templates
+from kgspark.operators import governance, rule_tables, similar, store, templates
 from kgspark.plans.catalog import query
 from kgspark.sources.fixtures import table
 
@@ -96,3 +96,88 @@ def append_only_violations(spark, d):
  f"with recursive {_ONE}, n as ({_NEW}), ok as (select id from n where supersedes_id is null or supersedes_id not in (select id from n) union all select n.id from n join ok on n.supersedes_id = ok.id)")
 def chain_errors(spark, d):
     return governance.chain_errors(_assertions(spark, d, _NEW))
+
+
+# --- rule tables ---
+
+#: Lines as statements; the same text makes them in Spark and DuckDB. Suppliers are sources.
+_CLAIMS = """claims as (select o * 10 + n as id, case o % 6 when 0 then 'fact' when 1 then 'fact' when 2 then 'claim' when 3 then 'observation' when 4 then 'inference' end as statement_type, concat('p', p % 200) as subject_id, concat('q', n % 3) as predicate, case when o % 17 <> 0 then concat('v', o % 4) end as object_value,
+ case o % 7 when 0 then 'share grew 12 percent' when 1 then 'the best product' when 2 then 'market leader in the whole region' else 'plain words' end as statement_text, case when o % 11 <> 0 then q end as value, case when o % 2 = 0 then 'USD' end as unit, case when o % 3 = 0 then '2024' end as period, case when o % 5 <> 0 then 'EU' end as region,
+ case n when 1 then 'market_share' when 2 then 'compliance' when 3 then 'research' when 4 then 'comparison' when 5 then 'product' end as topic, case o % 4 when 0 then 100 when 1 then 300 end as valid_to, case n % 3 when 0 then 'active' when 1 then 'candidate' else 'pending_verification' end as status, (o % 10) / 10.0 as confidence,
+ o % 9 = 0 as conflict_marked, case when s % 6 <> 0 then concat('b', s % 5) end as brand_id, case when o % 8 <> 0 then 'i1' end as industry_id, case when o % 19 <> 0 then 'public' end as permission, case when o % 2 = 1 then 'short' end as summary, o, n, s, p from (select l_orderkey as o, l_linenumber as n, l_suppkey as s, l_partkey as p, l_quantity as q from lines1) x),
+ refs as (select id, concat('s', s) as source_id from claims where o % 8 <> 0 union all select id, concat('s', s + 1) from claims where o % 3 = 0),
+ sources as (select concat('s', s_suppkey) as source_id, case s_suppkey % 9 when 0 then 'official' when 1 then 'community' when 2 then 'academic' when 3 then 'search_observation' when 4 then 'third_party_review' when 5 then 'government_regulatory' when 6 then 'company_disclosure' when 7 then 'media' else 'official' end as source_type, concat('b', s_suppkey % 5) as brand_id, case when s_suppkey % 13 <> 0 then 'u' end as url, s_suppkey % 30 as observed_day from supplier)"""
+_WITH_CLAIMS = f"{_ONE}, {_CLAIMS}"
+
+
+def _view(spark, d, name):
+    for t in ("lineitem", "supplier", "orders", "documents", "events"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    return spark.sql(f"with {_WITH_CLAIMS} select * from {name}")
+
+
+#: Predicates of failing in SQL, over `w`.
+_QUALITY_SQL = {
+    "rule_fact_001": "f and ns = 0", "rule_fact_002": "f and regexp_matches(t, '[0-9]') and (value is null or unit is null or period is null or region is null)", "rule_fact_003": "f and regexp_matches(t, 'leader|leading|safest') and ns > 0 and own = ns",
+    "rule_fact_004": "fc and ((period is not null and valid_to is null) or (valid_to < 200 and status = 'active'))", "rule_source_001": "f and topic in ('market_share', 'comparison') and ns > 0 and ns = off", "rule_source_002": "f and topic = 'compliance' and gov = 0", "rule_source_003": "f and topic = 'research' and aca = 0",
+    "rule_source_004": "f and topic = 'market_share' and ns = 1 and tpr = 1", "rule_source_005": "f and ns > 0 and com = ns", "rule_source_006": "status = 'active' and ns > 0 and sea = ns and (views < 3 or days < 7)", "rule_evidence_001": "statement_type is null", "rule_evidence_002": "fc and tra = 0",
+    "rule_evidence_003": "fc and regexp_matches(t, 'best|100%') and hi = 0", "rule_evidence_004": "(fc or statement_type = 'observation') and confidence < 0.5 and status <> 'pending_verification'", "rule_quality_001": "f and ns > 0 and hi = 0 and fhi > 0", "rule_quality_002": "f and same > 1",
+    "rule_quality_003": "fc and vals > 1 and not conflict_marked", "rule_quality_004": "fc and (topic is null or permission is null or (brand_id is null and industry_id is null))", "rule_quality_005": "f and length(statement_text) > 20 and summary is null",
+}
+_RULE_ROWS = ", ".join(f"('{r}', '{c}', '{p}')" for r, c, p in rule_tables.QUALITY_RULES)
+
+
+@query(
+    f"""select id, rule, category, priority from ({" union all ".join(f"select id, '{r}' as rule from w where {p}" for r, p in _QUALITY_SQL.items())}) x join (values {_RULE_ROWS}) as v(rule, category, priority) using (rule)""",
+    f"""with {_WITH_CLAIMS}, m as (select distinct refs.id, sources.* from refs join sources on sources.source_id = refs.source_id),
+ a as (select m.id, count(*) as ns, count(url) as tra, count(*) filter (source_type in ('official', 'company_disclosure')) as off, count(*) filter (source_type in ('official', 'company_disclosure') and m.brand_id = c.brand_id) as own, count(*) filter (source_type in ('official', 'company_disclosure', 'academic', 'government_regulatory')) as hi,
+  count(*) filter (source_type = 'government_regulatory') as gov, count(*) filter (source_type = 'academic') as aca, count(*) filter (source_type = 'third_party_review') as tpr, count(*) filter (source_type = 'community') as com, count(*) filter (source_type = 'search_observation') as sea, count(distinct observed_day) as views, max(observed_day) - min(observed_day) as days from m join claims c on c.id = m.id group by m.id),
+ z as (select claims.*, coalesce(ns, 0) as ns, coalesce(tra, 0) as tra, coalesce(off, 0) as off, coalesce(own, 0) as own, coalesce(hi, 0) as hi, coalesce(gov, 0) as gov, coalesce(aca, 0) as aca, coalesce(tpr, 0) as tpr, coalesce(com, 0) as com, coalesce(sea, 0) as sea, views, days, lower(statement_text) as t, coalesce(statement_type = 'fact', false) as f, coalesce(statement_type in ('fact', 'claim'), false) as fc from claims left join a on a.id = claims.id),
+ w as (select z.*, max(hi) over (partition by subject_id, predicate) as fhi, (select count(distinct y.object_value) from claims y where y.subject_id = z.subject_id and y.predicate = z.predicate) as vals, count(*) over (partition by subject_id, predicate, object_value) as same from z)""",
+)
+def quality_rule_failures(spark, d):
+    return rule_tables.quality_failures(_view(spark, d, "claims"), _view(spark, d, "refs"), _view(spark, d, "sources"), F.lit(200))
+
+
+_CANDS = """cands as (select id, case when o % 23 <> 0 then concat('i', o % 4) else 'none' end as industry_id, subject_id, predicate, case when o % 12 = 0 then 'gone' else concat('p', (p + 1) % 200) end as object_id, brand_id, statement_type as statement_class,
+ case when o % 10 = 0 then '' when o % 10 < 6 then concat('Name ', p % 200, '; name ', (p + 1) % 200, ';') else concat('name ', p % 200, ';') end as evidence_text, case when o % 21 = 0 then 'search_snippets' end as evidence_kind, period as valid_from, region, o, p from claims),
+ ents as (select concat('p', k) as id, case k % 3 when 0 then 'product' when 1 then 'brand' else 'category' end as type, concat('NAME ', k, ';') as name from (select distinct l_partkey % 200 as k from lineitem) x where k % 31 <> 0),
+ onto as (select 'q0' as relation_type, 'product' as source_type, 'brand' as target_type union all select 'q1', 'brand', 'category' union all select 'q2', 'category', 'product' union all select 'q1', 'product', 'brand'),
+ inds as (select concat('i', r_regionkey) as industry_id from (select distinct o % 3 as r_regionkey from claims) x),
+ act as (select subject_id, predicate, object_id from cands where o % 4 = 0)"""
+
+
+@query(
+    """select id, case when industry_scope then 'fail_with_rejection' when entity_types then 'fail_with_rejection' when relation_valid then 'fail_with_rejection' when traceable_source then 'fail_with_retry' when original_evidence then 'fail_with_retry' when evidence_matches then 'fail_with_rejection'
+   when fact_or_claim then 'fail_with_retry' when no_conflict then 'escalate_to_review' when time_and_region then 'fail_with_retry' when no_duplicate then 'escalate_to_review' else 'pass' end as outcome,
+ concat_ws(',', case when industry_scope then 'industry_scope' end, case when entity_types then 'entity_types' end, case when relation_valid then 'relation_valid' end, case when traceable_source then 'traceable_source' end, case when original_evidence then 'original_evidence' end,
+  case when evidence_matches then 'evidence_matches' end, case when fact_or_claim then 'fact_or_claim' end, case when no_conflict then 'no_conflict' end, case when time_and_region then 'time_and_region' end, case when no_duplicate then 'no_duplicate' end) as failed
+ from (select c.id, c.industry_id not in (select industry_id from inds) as industry_scope, s.id is null or e.id is null as entity_types, not exists (select 1 from onto where relation_type = c.predicate and source_type = s.type and target_type = e.type) as relation_valid,
+  not exists (select 1 from refs r join sources z on z.source_id = r.source_id where r.id = c.id and z.url is not null) as traceable_source, evidence_text = '' or evidence_kind is not null as original_evidence, not coalesce(contains(lower(evidence_text), lower(s.name)) and contains(lower(evidence_text), lower(e.name)), false) as evidence_matches,
+  statement_class is null as fact_or_claim, exists (select 1 from act a where a.subject_id = c.subject_id and a.predicate = c.predicate and a.object_id <> c.object_id) as no_conflict, valid_from is null or region is null as time_and_region, exists (select 1 from act a where a.subject_id = c.subject_id and a.predicate = c.predicate and a.object_id = c.object_id) as no_duplicate
+  from cands c left join ents s on s.id = c.subject_id left join ents e on e.id = c.object_id) x""",
+    f"with {_WITH_CLAIMS}, {_CANDS}",
+)
+def policy_gate_failures(spark, d):
+    refs = _view(spark, d, "refs")
+    of = lambda name: spark.sql(f"with {_WITH_CLAIMS}, {_CANDS} select * from {name}")
+    got = rule_tables.gate_failures(of("cands"), of("ents"), of("onto"), of("inds"), refs, of("sources"), of("act"))
+    return got.select("id", "outcome", F.array_join("failed", ",").alias("failed"))
+
+
+_TASKS = """cites as (select id, concat('u', o % 50) as unit_id from claims where n = 1), units as (select distinct concat('u', doc_id % 47) as unit_id from documents),
+ judged as (select id, case o % 5 when 0 then 'rejected' when 1 then 'review' when 2 then 'promoted' else 'pending' end as status, n = 2 as critical, case when o % 3 = 0 then ' ' when o % 3 = 1 then 'weak' end as rejection_reason, case when n <> 4 then 'g' end as failed_gate from claims),
+ queue as (select id as target_id, case when id % 4 = 0 then 1 end as priority from judged where status = 'review' and id % 3 <> 0), audit as (select id as target_id, case when id % 7 = 0 then 'promoted' else status end as action from judged where id % 5 <> 0)"""
+
+
+@query(
+    """select 'citation_resolution' as "check", id::varchar as id from cites where unit_id not in (select unit_id from units) union all select 'linkage', id::varchar from claims where subject_id not in (select id from ents)
+ union all select 'rejected_candidate_traceability', id::varchar from judged where status = 'rejected' and (coalesce(trim(rejection_reason), '') = '' or coalesce(trim(failed_gate), '') = '')
+ union all select 'review_queue_completeness', id::varchar from judged where status = 'review' and critical and id not in (select target_id from queue where priority is not null)
+ union all select 'audit_trail', id::varchar from judged j where status in ('promoted', 'rejected') and not exists (select 1 from audit where target_id = j.id and action = j.status)""",
+    f"with {_WITH_CLAIMS}, {_CANDS}, {_TASKS}",
+)
+def task_check_failures(spark, d):
+    _view(spark, d, "claims")
+    of = lambda name: spark.sql(f"with {_WITH_CLAIMS}, {_CANDS}, {_TASKS} select * from {name}")
+    return rule_tables.task_failures(of("claims"), of("cites"), of("units"), of("ents"), of("judged"), of("queue"), of("audit"))
