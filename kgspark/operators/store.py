@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kgspark.functions.exprs import stable_id
+from kgspark.operators import snapshots
 
 #: Tables whose rows belong to one document and are replaced with it.
 OWNED = ("relations", "statements", "candidates", "units", "spans")
@@ -184,47 +183,20 @@ def misplaced_migrations(applied: DataFrame, known: list[str]) -> DataFrame:
 # --- snapshots on disk ---
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write a snapshot of all tables and make it the current one by renaming a pointer file: readers see all of it or nothing."""
-    spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
-    fs, path = _fs(spark, folder)
-    new, pointer = path(f"{folder}/_next-{version}"), path(f"{folder}/_current")
-    stream = fs.create(new, True)
-    stream.writeBytes(version)
-    stream.close()
-    old = path(f"{folder}/_before-{version}")
-    if fs.exists(pointer):
-        fs.rename(pointer, old)
-    if not fs.rename(new, pointer):
-        raise OSError(f"cannot publish {folder}")
-    if fs.exists(old):
-        fs.delete(old, False)
-    return version
+def publish(tables: dict[str, DataFrame], folder: str) -> int:
+    """Write a snapshot of all tables and make it the current one: readers see all of it or nothing (see snapshots for writers that share a store, backups and expiry)."""
+    return snapshots.publish(next(iter(tables.values())).sparkSession, folder, tables)
 
 
 def current(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """The tables of the snapshot published last."""
-    fs, path = _fs(spark, folder)
-    stream = fs.open(path(f"{folder}/_current"))
-    version = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    return {n: spark.read.parquet(f"{folder}/{version}/{n}") for n in names}
-
-
-def _fs(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    tables = snapshots.read(spark, folder)
+    return {n: tables[n] for n in names}
 
 
 def differing_counts(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> list[str]:
     """Names of tables whose copies differ in number of rows or in the sum of their rows' hashes."""
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
-
-    return sorted(n for n in left if mark(left[n]) != mark(right[n]))
+    return sorted(n for n in left if snapshots.fingerprint(left[n]) != snapshots.fingerprint(right[n]))
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, statements: DataFrame, limit: int = 500) -> DataFrame:
