@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import governance, rule_tables, similar, store, templates
+from kgspark.operators import governance, models, rule_tables, similar, snapshots, store, templates, tenants
 from kgspark.plans.catalog import query
+from kgspark.session import Scratch, materialise
 from kgspark.sources.fixtures import table
 
 #: Lines of orders as mentions of suppliers: an order is a document, suppliers with an even key are in the store already (with a repeated source), those of key 0 to 4 mod 25 are never mentioned.
@@ -181,3 +182,66 @@ def task_check_failures(spark, d):
     _view(spark, d, "claims")
     of = lambda name: spark.sql(f"with {_WITH_CLAIMS}, {_CANDS}, {_TASKS} select * from {name}")
     return rule_tables.task_failures(of("claims"), of("cites"), of("units"), of("ents"), of("judged"), of("queue"), of("audit"))
+
+
+# --- snapshots, models, tenants ---
+
+
+@query("""select 'lines' as "table", count(*) as rows, (select count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 10 <> 3)) as broken from lineitem union all select 'suppliers', count(*), 0 from supplier where s_suppkey % 10 <> 3""", "")
+def snapshot_restored(spark, d):
+    """A store of two tables is published, changed, backed up twice and restored; rows of the restored tables and references without a parent."""
+    with Scratch(spark, "snapshots") as s:
+        at, safe, back = (f"{s.path}/{x}" for x in ("store", "backup", "restored"))
+        suppliers = table(spark, d, "supplier")
+        snapshots.publish(spark, at, {"lines": table(spark, d, "lineitem"), "suppliers": suppliers})
+        snapshots.copy(spark, at, safe)
+        snapshots.publish(spark, at, {"suppliers": suppliers.where("s_suppkey % 10 <> 3")})
+        snapshots.copy(spark, at, safe)
+        snapshots.copy(spark, safe, back)
+        tables = snapshots.read(spark, back)
+        broken = snapshots.broken_keys(tables, [("lines", "l_suppkey", "suppliers", "s_suppkey")]).groupBy(F.col("child").alias("table")).agg(F.count("*").alias("broken"))
+        counts = tables["lines"].select(F.lit("lines").alias("table")).unionByName(tables["suppliers"].select(F.lit("suppliers").alias("table"))).groupBy("table").agg(F.count("*").alias("rows"))
+        return materialise(counts.join(broken, "table", "left").select("table", "rows", F.coalesce("broken", F.lit(0)).alias("broken")), "snapshot-report")
+
+
+def _local_model():
+    """A client without a network: the first word of a text as an entity; batches with a text on 'x' fail, as does such a text by itself."""
+
+    def client(texts):
+        if any(t.split()[0].lower().startswith("x") for t in texts):
+            raise ConnectionError("refused")
+        return [{"index": k, "payload": [{"text": t.split()[0], "type": "ORG" if len(t) % 3 else "place"}]} for k, t in reversed(list(enumerate(texts)))]
+
+    return client
+
+
+@query("""select p_partkey, case when bad or length(p_name) % 3 = 0 then 'all' else w end as name, case when bad or length(p_name) % 3 = 0 then 'fallback:rule:any' else 'ner:organization' end as generator, bad as failed
+ from (select p_partkey, case when p_partkey % 50 = 0 then 'x' || p_name else p_name end as p_name, split_part(p_name, ' ', 1) as w, p_partkey % 50 = 0 or lower(p_name) like 'x%' as bad from part) x""", "")
+def model_fallback(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("x"), "p_name")).otherwise(F.col("p_name")).alias("text"))
+    results, _ = models.called(parts, "p_partkey", "text", _local_model, "local-1", batch=16, tries=2)
+    found = models.recognised(results, "p_partkey").select("p_partkey", "name", "generator")
+    rules = parts.select("p_partkey", F.lit("all").alias("name"), F.lit("rule:any").alias("generator"))
+    got = models.with_fallback(results, found, rules, "p_partkey")
+    return got.join(results.select("p_partkey", (~F.col("ok")).alias("failed")), "p_partkey")
+
+
+@query("""select f.id, e.name from (select 'fact_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as id, 'p' || l_partkey as subject_id, 't' || l_suppkey % 4 as tenant_id from lineitem) f
+ left join (select 'p' || p_partkey as subject_id, 't' || p_partkey % 4 as tenant_id, p_name as name from part) e on e.subject_id = f.subject_id and e.tenant_id = 't1' where f.tenant_id = 't1'""", "")
+def tenant_statements(spark, d):
+    tables = {
+        "assertion": table(spark, d, "lineitem").selectExpr("'fact_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey as id", "'p' || l_partkey as subject_id", "'t' || l_suppkey % 4 as tenant_id"),
+        "product_record": table(spark, d, "part").selectExpr("'p' || p_partkey as subject_id", "'t' || p_partkey % 4 as tenant_id", "p_name as name"),
+    }
+    return tenants.Catalogue(tables, "t1").join("assertion", "product_record", ["subject_id"], "left").select("id", "name")
+
+
+@query("""select 't' || n_regionkey as tenant_key, n_name as brand_key, case when n_regionkey < 2 then 'held_' || n_regionkey else 'tenant_' || substr(sha256('t' || n_regionkey), 1, 20) end as tenant_id,
+ case when n_nationkey % 2 = 0 and n_regionkey < 2 then 'b' || n_nationkey else 'brand_' || substr(sha256((case when n_regionkey < 2 then 'held_' || n_regionkey else 'tenant_' || substr(sha256('t' || n_regionkey), 1, 20) end) || chr(31) || n_name || chr(31) || 'brand'), 1, 20) end as brand_id from nation""", "")
+def tenant_contexts(spark, d):
+    n = table(spark, d, "nation")
+    held = n.where("n_regionkey < 2").selectExpr("'held_' || n_regionkey as id", "'t' || n_regionkey as tenant_key", "'x' as name", "'active' as status").distinct()
+    brands = n.where("n_nationkey % 2 = 0 and n_regionkey < 2").selectExpr("'b' || n_nationkey as id", "'held_' || n_regionkey as tenant_id", "'brand' as entity_type", "n_name as canonical_name", "cast(null as string) as owner_brand", "'active' as status")
+    spaces = brands.selectExpr("'w' || id as id", "tenant_id", "id as brand_entity_id", "'CN' as market", "'zh-CN' as language", "'active' as status")
+    wanted = n.selectExpr("'t' || n_regionkey as tenant_key", "cast(null as string) as tenant_name", "n_name as brand_key", "'' as market", "cast(null as string) as language")
+    return tenants.brand_context(held, brands, spaces, wanted)[3]
