@@ -8,6 +8,7 @@ from kgspark.operators import governance, models, rule_tables, similar, snapshot
 from kgspark.plans.catalog import query
 from kgspark.session import Scratch, materialise
 from kgspark.sources.fixtures import table
+from kgspark.streaming import projector
 
 #: Lines of orders as mentions of suppliers: an order is a document, suppliers with an even key are in the store already (with a repeated source), those of key 0 to 4 mod 25 are never mentioned.
 MENTIONS = "mentions as (select 's' || l_suppkey as id, l_orderkey as doc, l_linenumber as line, 'n' || l_partkey as name, 'd' || (l_orderkey % 40) as src, 'b' || (l_partkey % 5) as alias, 'r' || l_linenumber as ref, l_returnflag as k, 'v' || l_orderkey || '/' || l_linenumber as v from lineitem where l_suppkey % 25 > 4)"
@@ -245,3 +246,39 @@ def tenant_contexts(spark, d):
     spaces = brands.selectExpr("'w' || id as id", "tenant_id", "id as brand_entity_id", "'CN' as market", "'zh-CN' as language", "'active' as status")
     wanted = n.selectExpr("'t' || n_regionkey as tenant_key", "cast(null as string) as tenant_name", "n_name as brand_key", "'' as market", "cast(null as string) as language")
     return tenants.brand_context(held, brands, spaces, wanted)[3]
+
+
+# --- the outbox as a stream ---
+
+_CHANGES = """select event_id as id, case when event_id % 4 = 3 then 'relation' else 'entity' end as aggregate_type, case when event_id % 4 = 3 then concat('r', event_id % 97) else concat('u', user_id) end as aggregate_id, case when event_type = 'error' then 'delete' else 'upsert' end as event_type,
+ {at} as created_at, case when event_id % 4 = 3 then concat('u', user_id) end as subject_id, case when event_id % 4 = 3 then concat('u', (user_id * 7 + event_id) % 150) end as object_id, event_type as name from {events}"""
+
+
+def _refusing(event):
+    """A target that refuses every seventh event twice."""
+    if event["id"] % 7 == 0 and event["attempt"] < 3:
+        raise ConnectionError("try again")
+
+
+@query(
+    """select 'vertex' as kind, aggregate_id as id, null as ends from shown where aggregate_type = 'entity' union all
+ select 'edge', r.aggregate_id, r.subject_id || '>' || r.object_id from shown r join shown a on a.aggregate_type = 'entity' and a.aggregate_id = r.subject_id join shown b on b.aggregate_type = 'entity' and b.aggregate_id = r.object_id
+ where r.aggregate_type = 'relation' and not exists (select 1 from e where e.aggregate_type = 'entity' and e.event_type = 'delete' and e.aggregate_id in (r.subject_id, r.object_id) and (e.created_at, e.id) > (r.created_at, r.id))""",
+    "with e as (" + _CHANGES.format(at="epoch_us(ts)", events="events") + "), shown as (select * from (select *, row_number() over (partition by aggregate_type, aggregate_id order by created_at desc, id desc) as k from e) x where k = 1 and event_type = 'upsert')",
+)
+def projection_stream(spark, d):
+    """Events in shuffled files, some twice, through the retrying stream; the graph is read off its log."""
+    table(spark, d, "events").createOrReplaceTempView("kg_events")
+    changes = spark.sql(_CHANGES.format(at="unix_micros(cast(ts as timestamp))", events="kg_events"))
+    before = spark.conf.get(projector.RETRIES, None)
+    spark.conf.set(projector.RETRIES, projector.ROCKS)
+    try:
+        with Scratch(spark, "projection") as s:
+            twice = changes.unionByName(changes.where("id % 11 = 0"))
+            twice.select(*projector.FIELDS).repartition(8, F.xxhash64("id")).write.parquet(f"{s.path}/in")
+            projector.start(spark, f"{s.path}/in", f"{s.path}/log", f"{s.path}/checkpoint", _refusing, tries_now=3).awaitTermination()
+            vertices, edges = projector.projection(projector.outcomes(spark, f"{s.path}/log"))
+            v = vertices.select(F.lit("vertex").alias("kind"), "id", F.lit(None).cast("string").alias("ends"))
+            return materialise(v.unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.concat_ws(">", "source_id", "target_id").alias("ends"))), "projected")
+    finally:
+        spark.conf.set(projector.RETRIES, before) if before else spark.conf.unset(projector.RETRIES)
