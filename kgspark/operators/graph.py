@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kgspark.session import Scratch, materialise
+
 
 def top_nodes(entities: DataFrame, limit: int, layer: str | None = None, brand: str | None = None) -> DataFrame:
     """Active nodes of a layer (and of a brand or none), newest first; ties go by id."""
@@ -107,15 +109,47 @@ def bidirectional(relations: DataFrame, types: list[str]) -> DataFrame:
     return relations.unionByName(back).dropDuplicates(["source_id", "target_id", "relation_type"])
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """id, ancestor, depth for every chain of parents (id, parent); a cycle ends after `most` steps with an error."""
+def cited(entities: DataFrame, relations: DataFrame, units: DataFrame, spans: DataFrame, documents: DataFrame, limit: int = 500, layer: str | None = None, brand: str | None = None, first: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph read with citations: the newest active nodes, the newest edges among them, twice as many at most.
+
+    Nodes: id, type, name, layer, brand_id, citations; edges: id, source_id, target_id, type, confidence, citations. A citation (document_id, title, unit_id, char_start, char_end) is a
+    reference of evidence_refs (array of document_id and unit_id) that a unit of the store bears; an edge's references without a document are to its own. The first ones of an item by document and unit.
+    Only references of what is shown are resolved.
+    """
+    nodes = top_nodes(entities, limit, layer, brand)
+    edges = induced(relations, nodes).orderBy(F.desc("created_at"), "source_id", "target_id", "relation_type").limit(2 * limit)
+    refs = lambda df, kind, own: df.select(F.lit(kind).alias("kind"), F.col("id").alias("item"), own.alias("own"), F.explode("evidence_refs").alias("r")).select("kind", "item", F.coalesce("r.document_id", "own").alias("document_id"), "r.unit_id")
+    asked = refs(nodes, "node", F.lit(None).cast("string")).unionByName(refs(edges, "edge", F.col("document_id"))).distinct()
+    held = units.join(asked.select("document_id", "unit_id").distinct(), ["document_id", "unit_id"], "left_semi").select("document_id", "unit_id", F.explode("source_span_ids").alias("span_id"))
+    places = held.join(spans.select("document_id", "span_id", "char_start", "char_end"), ["document_id", "span_id"]).groupBy("document_id", "unit_id").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    found = asked.join(places, ["document_id", "unit_id"]).join(documents.select("document_id", "title"), "document_id", "left")
+    listed = found.groupBy("kind", "item").agg(F.slice(F.array_sort(F.collect_list(F.struct("document_id", "unit_id", "title", "char_start", "char_end"))), 1, first).alias("citations"))
+    none = F.array().cast(listed.schema["citations"].dataType)
+    to = lambda df, kind: df.join(listed.where(F.col("kind") == kind).select(F.col("item").alias("id"), "citations"), "id", "left").withColumn("citations", F.coalesce("citations", none))
+    return to(nodes, "node").select("id", "type", "name", "layer", "brand_id", "citations"), to(edges, "edge").select("id", "source_id", "target_id", F.col("relation_type").alias("type"), "confidence", "citations")
+
+
+def cited_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One JSON text {nodes, edges, stats} of what cited() gives (bounded by its limit)."""
+    packed = lambda df, name: df.select(F.struct(*df.columns).alias("x")).agg(F.array_sort(F.collect_list("x")).alias(name))
+    one = packed(nodes, "nodes").crossJoin(packed(edges, "edges"))
+    return one.select(F.to_json(F.struct("nodes", "edges", F.struct(F.size("nodes").alias("nodes"), F.size("edges").alias("edges")).alias("stats"))).alias("value"))
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """id, ancestor, depth for every chain of parents (id, parent), of any length; ValueError for a cycle.
+
+    Reach doubles each round: what is known of the ancestors within d steps gives those within 2 d, and a round is written, so a chain of n takes log n rounds. A
+    cycle is the only way for an id to reach itself, which the round that closes it shows.
+    """
     up = parents.where("parent is not null").select("id", "parent").distinct()
-    step = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = step
-    edge = up.select(F.col("id").alias("kg_id"), "parent")
-    for depth in range(2, most + 2):
-        step = step.join(edge, F.col("ancestor") == F.col("kg_id")).select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        if step.isEmpty():
-            return out
-        out = out.unionByName(step)
-    raise ValueError("parents form a cycle or a longer chain")
+    with Scratch(parents.sparkSession, "ancestors") as s:
+        known, reach = s.write(up.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")), "steps"), 1
+        while True:
+            if not known.where("id = ancestor").isEmpty():
+                raise ValueError("parents form a cycle")
+            end = known.where(F.col("depth") == reach)
+            if end.isEmpty():
+                return materialise(known.withColumn("depth", F.col("depth").cast("int")), "ancestors")
+            more = end.select("id", F.col("ancestor").alias("at")).join(known.select(F.col("id").alias("at"), "ancestor", F.col("depth").alias("kg_d")), "at").select("id", "ancestor", (F.col("kg_d") + reach).alias("depth"))
+            known, reach = s.write(known.unionByName(more).distinct(), "reach"), 2 * reach

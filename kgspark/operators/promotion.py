@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kgspark.functions.exprs import normalize_name
+
 #: Statuses of evidence that supports a candidate.
 ACCESS_OK, SUPPORT_OK = ("ok", "crawled"), ("supports", "verified")
 KINDS = ("relation", "statement", "metric", "event")
@@ -44,10 +46,10 @@ def evidence_gate(refs: Column) -> Column:
 
 
 def conflict_gate(rows: DataFrame, active: DataFrame) -> DataFrame:
-    """Adds gate_conflict: false where an active row has the same subject and predicate and another object."""
+    """Adds gate_conflict: false for a relation with both ends and a predicate where an active row has the same subject and predicate and another object. Rows of other kinds pass."""
     known = active.select("subject_id", "predicate", "object_id").distinct().groupBy("subject_id", "predicate").agg(F.min("object_id").alias("kg_lo"), F.max("object_id").alias("kg_hi"))
     got = rows.join(known, ["subject_id", "predicate"], "left")
-    other = (F.col("kg_lo") != F.col("object_id")) | (F.col("kg_hi") != F.col("object_id"))
+    other = (F.col("knowledge_type") == "relation") & ((F.col("kg_lo") != F.col("object_id")) | (F.col("kg_hi") != F.col("object_id")))
     return got.withColumn("gate_conflict", ~F.coalesce(other, F.lit(False))).select(*rows.columns, "gate_conflict")
 
 
@@ -55,7 +57,7 @@ def anchored(cands: DataFrame, gate_entities: DataFrame) -> DataFrame:
     """Candidates whose subject (type, normalised name) is a gate entity, with its id; an absent type counts as organization. Others are dropped."""
     g = gate_entities.select(F.col("entity_type").alias("kg_type"), F.col("normalized_name").alias("kg_name"), "entity_id")
     kind = F.coalesce("subject_type", F.lit("organization"))
-    return cands.join(g, (kind == F.col("kg_type")) & (F.col("subject_name") == F.col("kg_name"))).drop("kg_type", "kg_name")
+    return cands.join(g, (kind == F.col("kg_type")) & (normalize_name("subject_name") == F.col("kg_name"))).drop("kg_type", "kg_name")
 
 
 def fused_groups(cands: DataFrame) -> DataFrame:

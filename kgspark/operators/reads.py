@@ -31,9 +31,9 @@ def newest(rows: DataFrame, at: str, key: str, k: int) -> DataFrame:
 
 
 def in_document(entities: DataFrame, relations: DataFrame, statements: DataFrame, document_id: str) -> DataFrame:
-    """Entities that come from a document: by their sources, as an end of one of its relations, or as the subject or object of one of its statements."""
+    """Entities that come from a document: by their sources, as an end of one of its relations, or as the subject of one of its statements."""
     ends = relations.where(F.col("document_id") == document_id).select(F.explode(F.array("source_id", "target_id")).alias("id"))
-    said = statements.where(F.col("document_id") == document_id).select(F.explode(F.array("subject_id", "object_id")).alias("id"))
+    said = statements.where(F.col("document_id") == document_id).select(F.col("subject_id").alias("id"))
     own = entities.where(F.array_contains("source_document_ids", document_id)).select("id")
     return entities.join(own.unionByName(ends).unionByName(said).distinct(), "id", "left_semi")
 
@@ -122,8 +122,24 @@ def route(question: str) -> Route:
     return Route("overview" if any(p in q for p in retrieve.OVERVIEW) else "plain", types)
 
 
+def routed(questions: DataFrame, text: str = "question") -> DataFrame:
+    """questions with kind, types (sorted), brand, document: route() of each row's text as expressions, null for a brand or document that is not asked for. A null text is plain."""
+    q = F.trim(F.coalesce(F.col(text), F.lit("")))
+    has = lambda *ms: F.exists(F.array(*map(F.lit, ms)), lambda m: F.contains(q, m))
+    before, after, name = F.regexp_extract(q, BRAND_BEFORE, 1), F.regexp_extract(q, BRAND_AFTER, 1), F.regexp_extract(q, DOCUMENT, 1)
+    brand = F.when(before != "", before).when(~after.isin(*NO_REFERENCE), after).otherwise("")
+    asks_brand, asks_document = F.contains(q, F.lit(retrieve.BRAND_MARKER)), has(*retrieve.DOCUMENT_MARKERS)
+    types = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(F.contains(q, F.lit(m)), F.array(*map(F.lit, ts))).otherwise(F.array().cast("array<string>")) for m, ts in retrieve.TYPE_MARKERS.items()]))))
+    kind = F.when(asks_document & (name == ""), "none").when(asks_brand | asks_document, "scoped").when(has(*retrieve.OVERVIEW), "overview").otherwise("plain")
+    scoped = kind == "scoped"
+    return questions.withColumns({"kind": kind, "types": types, "brand": F.when(scoped & asks_brand, brand), "document": F.when(scoped & asks_document, name)})
+
+
 def answered(question: str, entities: DataFrame, relations: DataFrame, statements: DataFrame, documents: DataFrame, k: int = 8) -> DataFrame | None:
-    """kind, id for a question by its route; None where it can't be answered. statements: statement_id, statement_text, doc_id, order_index, document_id, subject_id, object_id."""
+    """kind, id for a question by its route; None where it can't be answered. statements: statement_id, statement_text, doc_id, order_index, document_id, subject_id, and created_at where their age counts.
+
+    A scoped question gets the k newest entities of its scope and the k newest statements: of its document, and of a brand those whose subject is the brand's or bears its name.
+    """
     to = route(question)
     if to.kind == "none":
         return None
@@ -138,7 +154,12 @@ def answered(question: str, entities: DataFrame, relations: DataFrame, statement
         if known is None:
             return None
         rows = in_document(rows, relations, statements, known[0])
-    return newest(rows, "updated_at", "id", k).select(F.lit("entity").alias("kind"), "id")
+        statements = statements.where(F.col("document_id") == known[0])
+    if to.brand is not None:
+        own = entities.where((F.col("name") == to.brand) | (F.col("brand_id") == to.brand)).select(F.col("id").alias("subject_id")).distinct()
+        statements = statements.join(own, "subject_id", "left_semi")
+    said = retrieve.newest_statements(statements).limit(k).select(F.lit("statement").alias("kind"), F.col("statement_id").alias("id"))
+    return newest(rows, "updated_at", "id", k).select(F.lit("entity").alias("kind"), "id").unionByName(said)
 
 
 def citations(refs: DataFrame, units: DataFrame, spans: DataFrame, documents: DataFrame, document_id: str | None = None, first: int = 10) -> DataFrame:
@@ -187,6 +208,30 @@ class Api:
     def graph(self, layer: str | None = None, limit: int = 500) -> DataFrame:
         return graph.view(self.store["entities"], self.store["relations"], max(1, min(limit, 2000)), layer)
 
+    def cited_graph(self, layer: str | None = None, brand: str | None = None, limit: int = 500) -> DataFrame:
+        """One JSON text of the graph with citations and stats, as the graph route gives it."""
+        s = self.store
+        return graph.cited_json(*graph.cited(s["entities"], s["relations"], s["units"], s["spans"], s["documents"], max(1, min(limit, 2000)), layer, brand))
+
+    def entity(self, entity_id: str) -> DataFrame:
+        return by_value(self.store["entities"], "id", entity_id)
+
+    def statements(self, document_id: str | None = None, k: int = 100) -> DataFrame:
+        rows = self.store["statements"] if document_id is None else by_value(self.store["statements"], "document_id", document_id)
+        return retrieve.newest_statements(rows).limit(k)
+
+    def units(self, document_id: str) -> DataFrame:
+        return by_value(self.store["units"], "document_id", document_id).orderBy("unit_id")
+
+    def spans(self, document_id: str) -> DataFrame:
+        return by_value(self.store["spans"], "document_id", document_id).orderBy("order_index")
+
+    def candidates(self, document_id: str) -> DataFrame:
+        return by_value(self.store["candidates"], "document_id", document_id).orderBy("id")
+
+    def jobs(self, k: int = 100) -> DataFrame:
+        return newest(self.store["jobs"], "created_at", "id", k)
+
     def search(self, question: str, k: int = 8) -> DataFrame | None:
         s = self.store
         return answered(question, s["entities"], s["relations"], s["statements"], s["documents"], k)

@@ -31,11 +31,18 @@ def intent(question: str) -> Intent:
     return Intent(any(p in q for p in OVERVIEW), types, BRAND_MARKER in q, any(m in q for m in DOCUMENT_MARKERS))
 
 
+def newest_statements(statements: DataFrame) -> DataFrame:
+    """Statements newest first; where they have no created_at, in the order of documents."""
+    age = [F.desc("created_at")] if "created_at" in statements.columns else []
+    place = [c for c in ("doc_id", "order_index") if c in statements.columns]
+    return statements.orderBy(*age, *([] if age else place), "statement_id")
+
+
 def search(entities: DataFrame, statements: DataFrame, query: str, k: int) -> DataFrame:
     """kind, id, text: the newest k entities whose name or type, and k statements whose text, hold the query in any case."""
     like = f"%{query}%"
     e = entities.where(F.col("name").ilike(like) | F.col("type").ilike(like)).orderBy(F.desc("updated_at"), "id").limit(k)
-    s = statements.where(F.col("statement_text").ilike(like)).orderBy("doc_id", "order_index", "statement_id").limit(k)
+    s = newest_statements(statements.where(F.col("statement_text").ilike(like))).limit(k)
     return e.select(F.lit("entity").alias("kind"), "id", F.col("name").alias("text")).unionByName(s.select(F.lit("statement").alias("kind"), F.col("statement_id").alias("id"), F.col("statement_text").alias("text")))
 
 

@@ -369,7 +369,7 @@ REV = "rev as (select n_name, year(o_orderdate) as y, sum(round(o_totalprice * 1
 
 
 def _revenue(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.groupBy("n_name", F.year("o_orderdate").cast("bigint").alias("y")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
 
 

@@ -110,9 +110,9 @@ def bundle_replace(spark, d):
     return parts.unionByName(out["outbox"].select(F.lit("outbox").alias("part"), F.concat("aggregate_id", F.lit("/"), F.col("processed").cast("string")).alias("id"), F.col("event_type").alias("content")))
 
 
-@query("select distinct aggregate_id from outbox where processed and not exists (select 1 from outbox p where not p.processed and p.aggregate_id = outbox.aggregate_id and p.event_type = outbox.event_type) and event_type = 'upsert'")
+@query("select distinct aggregate_id from outbox where processed and event_type = 'upsert' and not exists (select 1 from outbox p where not p.processed and p.aggregate_id = outbox.aggregate_id and p.event_type = outbox.event_type and p.id % 41 = 0)")
 def pending_absent(spark, d):
-    rows = outbox(spark, d)
+    rows = outbox(spark, d).where("processed or id % 41 = 0")
     new = rows.where("processed and event_type = 'upsert'")
     return store.absent_events(rows, new).select("aggregate_id")
 
@@ -171,7 +171,7 @@ def statements_with_subject(spark, d):
     return reads.with_subject(facts(spark, d), entities(spark, d)).select("id", "subject_name", "subject_type")
 
 
-SCOPED = "exists (select 1 from facts f where f.document_id = 'doc_7' and (f.subject_id = e.id or f.object_id = e.id))"
+SCOPED = "exists (select 1 from facts f where f.document_id = 'doc_7' and (f.subject_id = e.id or (f.knowledge_type = 'relation' and f.object_id = e.id)))"
 
 
 @query(f"select id from entities e where {SCOPED} or e.id = 'industry_1'", FACTS)
@@ -182,21 +182,45 @@ def document_scope(spark, d):
     return reads.in_document(e, rel, f.where("knowledge_type <> 'relation'"), "doc_7").select("id")
 
 
-@query(f"select 'entity' as kind, id from entities e where status = 'active' and type in ('product', 'solution', 'service') and {SCOPED} order by updated_at desc, id limit 8", FACTS)
+@query(f"select * from (select 'entity' as kind, id from entities e where status = 'active' and type in ('product', 'solution', 'service') and {SCOPED} order by updated_at desc, id limit 8) union all select * from (select 'statement', id from facts where document_id = 'doc_7' and knowledge_type <> 'relation' order by ord desc, id limit 8)", FACTS)
 def search_document_scope(spark, d):
     f = facts(spark, d)
     e = entities(spark, d).withColumn("source_document_ids", F.array().cast("array<string>"))
     rel = f.where("knowledge_type = 'relation'").select("document_id", F.col("subject_id").alias("source_id"), F.col("object_id").alias("target_id"))
-    return reads.answered("文档 doc_7 里的产品", e, rel, f.where("knowledge_type <> 'relation'"), store_docs(spark, d))
+    said = f.where("knowledge_type <> 'relation'").withColumns({"statement_id": F.col("id"), "created_at": F.col("ord")})
+    return reads.answered("文档 doc_7 里的产品", e, rel, said, store_docs(spark, d))
 
 
-QUESTIONS = ("red", "Acme品牌的产品", "品牌有哪些", "文档 doc_7 有什么", "总结当前知识库", "本文讲什么", "市场")
+#: Turns of conversations as questions, most with a marker put before or after them.
+ASKED = "case (conv_id + turn) % 9 when 0 then concat('Acme', conv_id, '品牌的产品') when 1 then '品牌有哪些' when 2 then concat('文档 doc_', conv_id, ' 有什么') when 3 then '总结当前知识库' when 4 then concat('本文讲什么', turn) when 5 then concat('市场 ', text) when 6 then concat('品牌是B', turn, ' 的功能和客户') when 7 then concat('x', conv_id, ' 品牌 文档: d.', turn) else text end"
 
 
-@query("select * from (values ('red', 'plain', '', '-', '-'), ('Acme品牌的产品', 'scoped', 'product,service,solution', 'Acme', '-'), ('品牌有哪些', 'scoped', '', '', '-'), ('文档 doc_7 有什么', 'scoped', '', '-', 'doc_7'), ('总结当前知识库', 'overview', '', '-', '-'), ('本文讲什么', 'none', '', '-', '-'), ('市场', 'plain', 'audience,industry,organization', '-', '-')) t(question, kind, types, brand, document)", "")
+@query(f"""select conv_id, turn, kind, types, case when kind = 'scoped' and b then case when before <> '' then before when after in ('的', '是', '有哪些', '什么') then '' else after end end as brand, case when kind = 'scoped' and dd then doc end as document from (
+ select *, case when dd and doc = '' then 'none' when b or dd then 'scoped' when contains(q, '总结当前知识库') then 'overview' else 'plain' end as kind, array_to_string(list_sort(list_distinct(list_concat(list_concat(case when contains(q, '产品') then ['product', 'solution', 'service'] else [] end, case when contains(q, '功能') or contains(q, '能力') then ['capability', 'service'] else [] end),
+  list_concat(case when contains(q, '客户') or contains(q, '用户') then ['customer', 'audience'] else [] end, case when contains(q, '市场') or contains(q, '行业') then ['industry', 'organization', 'audience'] else [] end)))), ',') as types
+ from (select *, contains(q, '品牌') as b, contains(q, '文档') or contains(q, '资料') or contains(q, '本文') as dd, regexp_extract(q, '([A-Za-z0-9_\\-一-鿿]{{1,64}})\\s*品牌', 1) as before, regexp_extract(q, '品牌\\s*(?:是|为|[:：])?\\s*([A-Za-z0-9_\\-一-鿿]{{1,64}})', 1) as after, regexp_extract(q, '文档\\s*(?:[:：]\\s*)?([A-Za-z0-9_.\\-]{{1,128}})', 1) as doc
+  from (select conv_id, turn, trim(coalesce({ASKED}, '')) as q from conversations) x) y) z""", "")
 def intent_route(spark, d):
-    got = [(q, r.kind, ",".join(sorted(r.types)), "-" if r.brand is None else r.brand, r.document or "-") for q in QUESTIONS for r in [reads.route(q)]]
-    return spark.createDataFrame(got, "question string, kind string, types string, brand string, document string")
+    asked = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{ASKED} as question")
+    return reads.routed(asked).select("conv_id", "turn", "kind", F.array_join("types", ",").alias("types"), "brand", "document")
+
+
+@query(""", n as (select * from entities where status = 'active' and layer = 'l2_industry' and type <> 'audience' order by updated_at desc, id limit 5000), r as (select *, source_id || '>' || target_id || '>' || relation_type as id from relations where source_id in (select id from n) and target_id in (select id from n) order by created_at desc, source_id, target_id, relation_type limit 10000),
+ refs as (select 'node' as kind, id, 'd' || (updated_at % 50) as doc, updated_at % 7 + 1 as unit from n union all select 'node', id, 'd7', updated_at % 5 + 1 from n union all select 'edge', id, 'd' || (created_at % 50), created_at % 7 + 1 from r),
+ u as (select distinct 'd' || (l_orderkey % 50) as doc, l_linenumber as unit from lineitem where l_orderkey % 3 <> 0),
+ s as (select distinct doc, unit * 10 as a, unit * 10 + 5 as b from u union select distinct doc, unit * 10 + 10, unit * 10 + 15 from u),
+ c as (select distinct refs.kind, refs.id, refs.doc, refs.unit, (select min(a) from s where s.doc = u.doc and a in (u.unit * 10, u.unit * 10 + 10)) as lo, (select max(b) from s where s.doc = u.doc and b in (u.unit * 10 + 5, u.unit * 10 + 15)) as hi from refs join u on u.doc = refs.doc and u.unit = refs.unit)
+ select i.kind, i.id, coalesce((select string_agg(doc || '/' || unit || '/T ' || doc || '/' || lo || '-' || hi, ';' order by doc, unit) from c where c.kind = i.kind and c.id = i.id), '') as citations from (select 'node' as kind, id from n union all select 'edge', id from r) i""")
+def graph_cited(spark, d):
+    ref = lambda doc, unit: f"struct({doc} as document_id, {unit} as unit_id)"
+    e = entities(spark, d).withColumn("evidence_refs", F.expr(f"array({ref(chr(39) + 'd' + chr(39) + ' || (updated_at % 50)', 'updated_at % 7 + 1')}, {ref(chr(39) + 'd7' + chr(39), 'updated_at % 5 + 1')})"))
+    r = relations(spark, d).withColumns({"id": F.concat_ws(">", "source_id", "target_id", "relation_type"), "document_id": F.expr("'d' || (created_at % 50)"), "confidence": F.lit(0.6), "evidence_refs": F.expr(f"array({ref('cast(null as string)', 'created_at % 7 + 1')})")})
+    units = table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").selectExpr("'d' || (l_orderkey % 50) as document_id", "cast(l_linenumber as bigint) as unit_id").distinct().withColumn("source_span_ids", F.array("unit_id", F.col("unit_id") + 1))
+    spans = units.select("document_id", F.explode("source_span_ids").alias("span_id")).distinct().selectExpr("document_id", "span_id", "span_id * 10 as char_start", "span_id * 10 + 5 as char_end")
+    docs = units.select("document_id").distinct().withColumn("title", F.concat(F.lit("T "), "document_id"))
+    nodes, edges = graph.cited(e.where("type <> 'audience'"), r, units, spans, docs, 5000, "l2_industry")
+    text = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["document_id"], c["unit_id"], c["title"], F.concat_ws("-", c["char_start"], c["char_end"]))), ";")
+    return nodes.select(F.lit("node").alias("kind"), "id", text.alias("citations")).unionByName(edges.select(F.lit("edge").alias("kind"), "id", text.alias("citations")))
 
 
 @query("""select item, document_id, 'Title ' || document_id as title, unit_id, char_start, char_end from (select l_orderkey as item, (l_orderkey % 100)::varchar as document_id, l_linenumber as unit_id, l_linenumber * 10 as char_start, l_linenumber * 10 + 15 as char_end, row_number() over (partition by l_orderkey order by l_linenumber) as k from (select distinct l_orderkey, l_linenumber from lineitem)) where k <= 3""", "")
@@ -252,7 +276,7 @@ def gate_evidence(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", promotion.evidence_gate(refs).alias("gate_evidence"))
 
 
-@query("select c.id, not exists (select 1 from facts a where a.status = 'active' and a.subject_id = c.subject_id and a.predicate = c.predicate and a.object_id <> c.object_id) as gate_conflict from facts c where c.status = 'candidate'", FACTS)
+@query("select c.id, not (c.knowledge_type = 'relation' and exists (select 1 from facts a where a.status = 'active' and a.subject_id = c.subject_id and a.predicate = c.predicate and a.object_id <> c.object_id)) as gate_conflict from facts c where c.status = 'candidate'", FACTS)
 def gate_conflict(spark, d):
     f = facts(spark, d)
     return promotion.conflict_gate(f.where("status = 'candidate'"), f.where("status = 'active'")).select("id", "gate_conflict")
@@ -271,7 +295,8 @@ def fusion_groups(spark, d):
 
 def _fused(spark, d) -> DataFrame:
     gate = entities(spark, d).where("status = 'active'").select(F.col("type").alias("entity_type"), F.col("id").alias("normalized_name"), F.col("id").alias("entity_id"))
-    cands = facts(spark, d).select(F.col("id").alias("candidate_id"), F.col("knowledge_type").alias("candidate_type"), F.lit("product").alias("subject_type"), F.col("subject_id").alias("subject_name"), "predicate", F.col("value").alias("label"), F.col("object_id").alias("object_name"), "confidence", "document_id", F.col("ord").alias("published_at"))
+    spelled = F.upper(F.regexp_replace("subject_id", "_", " _、"))
+    cands = facts(spark, d).select(F.col("id").alias("candidate_id"), F.col("knowledge_type").alias("candidate_type"), F.lit("product").alias("subject_type"), spelled.alias("subject_name"), "predicate", F.col("value").alias("label"), F.col("object_id").alias("object_name"), "confidence", "document_id", F.col("ord").alias("published_at"))
     return promotion.fused_groups(promotion.anchored(cands, gate))
 
 
@@ -407,9 +432,9 @@ def enum_checks(spark, d):
     return rules.out_of_enum(table(spark, d, "orders"), "o_orderkey", {"o_orderstatus": ["O", "F"], "o_orderpriority": ["1-URGENT"]})
 
 
-@query("select id from entities where type = 'product' and id not in (select source_id from relations where relation_type = 'active_in')")
+@query("select id from entities where type = 'product' and id not in (select source_id from relations where relation_type = 'active_in' and target_id = 'regional_market_7')")
 def required_links(spark, d):
-    return rules.without_link(entities(spark, d), relations(spark, d), "product", "active_in").select("id")
+    return rules.without_link(entities(spark, d), relations(spark, d).where("target_id = 'regional_market_7'"), "product", "active_in").select("id")
 
 
 @query("select target_id as \"end\", count(*) as n from relations where relation_type = 'active_in' group by 1 having count(*) > 1")

@@ -78,7 +78,11 @@ def test_ancestors_of_a_cycle(spark):
     from kgspark.operators import graph
 
     with pytest.raises(ValueError):
-        graph.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"), most=3)
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+    chain = graph.ancestors(spark.createDataFrame([(k, k + 1) for k in range(100)] + [(100, None), (7, 8)], "id long, parent long"))
+    assert sorted(map(tuple, chain.collect())) == sorted((i, j, j - i) for i in range(101) for j in range(i + 1, 101))
+    with pytest.raises(ValueError):
+        graph.ancestors(spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)] + [(9, 0)], "id long, parent long"))
 
 
 def test_invalid_relation_groups(spark):
