@@ -117,6 +117,13 @@ def workers_import_this(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, have)])
 
 
+def exact_ids(rows, name: str = "doc_id"):
+    """rows whose ids went through Python as text, as numbers again: a pandas column of numbers with a null holds floats, which round large ids."""
+    from pyspark.sql import functions as F
+
+    return rows.withColumn(name, F.col(name).cast("long"))
+
+
 def plain(batch):
     """A pandas batch whose string columns are plain objects: chunked Arrow strings can't be handed back to Spark."""
     strings = [c for c in batch.columns if str(batch[c].dtype).startswith(("str", "string"))]
