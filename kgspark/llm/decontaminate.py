@@ -15,16 +15,19 @@ item's question and answer with the passage.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.session import plain, unused, workers_import_this
+from kgspark.session import exact_ids, plain, unused, workers_import_this
 
 K1, B = 1.2, 0.75
 #: Words a passage holds, at least; items of over half as many get passages twice, four times, ... as long, so that twice their length fits. Passages overlap by half.
@@ -33,8 +36,7 @@ PASSAGE = 64
 BLOCK, SHARD_CHARS = 16, 4_000_000
 #: Entries of an index's table of block maxima (terms by blocks), at most.
 TABLE = 8_000_000
-#: Share of an item's own score that a passage must reach. A passage that passes the verification below lacks a tenth
-#: of the item's words at most (a missing word costs up to five shingles), so its score is well above this.
+#: Share of an item's own score that a passage must reach, or less where a passage could pass the verification below with less (see least_score).
 RETRIEVE = 0.65
 #: Shares of the question's and the answer's shingles that a passage must hold.
 QUESTION, ANSWER = 0.8, 0.8
@@ -69,6 +71,34 @@ def holds(passage: str, part: tuple[str, ...] | list[str], k: int = SHINGLE) ->
     return sum(f" {' '.join(r)} " in passage for r in runs) / len(runs) if runs else 0.0
 
 
+def most_lost(weights: list[float], missing: int, k: int = SHINGLE) -> float:
+    """Weight of a part's words that a passage can lack, at most, while it lacks `missing` of the part's k-word runs.
+
+    A word is lacking only where all runs over it are: r runs missing in a row lose r words at an end of the part, r - k + 1 inside it.
+    """
+    if missing <= 0:
+        return 0.0
+    n = len(weights)
+    if missing > n - k:
+        return sum(weights)  # no run is there
+    front, back, best = ([0.0, *itertools.accumulate(w)] for w in (weights, weights[::-1], sorted(weights, reverse=True)))
+    at = lambda sums, j: sums[min(j, n)]
+    return max(at(front, a) + at(back, b) + at(best, max(0, missing - a - b - k + 1)) for a in range(missing + 1) for b in range(missing - a + 1))
+
+
+def least_score(q: list[str], a: list[str], weight: dict[str, float], own: float) -> float:
+    """Share of an item's own score that any passage holding QUESTION and ANSWER of its parts has, at least."""
+    lost = 0.0
+    for part, share in ((q, QUESTION), (a, ANSWER)):
+        runs: dict[tuple[str, ...], int] = {}
+        for i in range(max(1, len(part) - SHINGLE + 1)):
+            run = tuple(part[i : i + SHINGLE])
+            runs[run] = runs.get(run, 0) + 1
+        missing = math.floor(len(runs) * (1 - share) + 1e-9)
+        lost += most_lost([weight[x] for x in part], sum(sorted(runs.values(), reverse=True)[:missing]))
+    return max(0.02, 1 - lost / own)
+
+
 @dataclass
 class Index:
     """Postings of items of like length. Terms are numbers; items are numbers within the index."""
@@ -76,12 +106,13 @@ class Index:
     items: list
     terms: dict[str, int]
     local: np.ndarray  # the shard's numbers of terms as this index's, -1 for those it lacks
-    weight: np.ndarray  # posting scores (for a term that occurs once in a passage), divided by the item's own score
+    weight: np.ndarray  # posting scores (for a term that occurs once in a passage), divided by the item's own score and multiplied by its scale
     item: np.ndarray
     start: np.ndarray  # per term, into the postings
     top: np.ndarray  # per term
     block_top: np.ndarray  # per term and block
     own: np.ndarray
+    scale: np.ndarray  # 1, or more where less than RETRIEVE of an item's own score has to be enough
     length: np.ndarray
     question: list[tuple[str, ...]]
     answer: list[tuple[str, ...]]
@@ -126,7 +157,7 @@ def build(items: list[tuple], df: dict[str, int], n: int, mean: float) -> list[I
 def _index(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index:
     terms: dict[str, int] = {}
     post: dict[int, list[tuple[int, float]]] = {}
-    own, length, question, answer = [], [], [], []
+    own, scale, length, question, answer = [], [], [], [], []
     for i, (_, text) in enumerate(items):
         w = words(text)
         q, a = parts(text)
@@ -137,11 +168,15 @@ def _index(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index
         tf: dict[str, int] = {}
         for x in w:
             tf[x] = tf.get(x, 0) + 1
+        scores: dict[str, float] = {}
         norm = K1 * (1 - B + B * len(w) / mean)
         for x, f in tf.items():
             s = np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + norm)
             total += s
-            post.setdefault(terms.setdefault(x, len(terms)), []).append((i, s))
+            scores[x] = s
+        scale.append(max(1.0, RETRIEVE / (least_score(q, a, scores, total) - 1e-9)))
+        for x, s in scores.items():
+            post.setdefault(terms.setdefault(x, len(terms)), []).append((i, s * scale[-1]))
         own.append(total)
     blocks = -(-len(items) // BLOCK)
     start = np.zeros(len(terms) + 1, np.int64)
@@ -154,7 +189,7 @@ def _index(items: list[tuple], df: dict[str, int], n: int, mean: float) -> Index
             block_top[t, i // BLOCK] = max(block_top[t, i // BLOCK], s / own[i] * (1 + 1e-6))
         start[t + 1] = len(item)
     span = span_of(max(length))
-    return Index([i for i, _ in items], terms, np.zeros(0, np.int64), np.array(weight), np.array(item, np.int64), start, block_top.max(1), block_top, np.array(own), np.array(length), question, answer, span)
+    return Index([i for i, _ in items], terms, np.zeros(0, np.int64), np.array(weight), np.array(item, np.int64), start, block_top.max(1), block_top, np.array(own), np.array(scale), np.array(length), question, answer, span)
 
 
 def passages(n: int, span: int) -> np.ndarray:
@@ -164,7 +199,7 @@ def passages(n: int, span: int) -> np.ndarray:
 
 
 def wand(ids: np.ndarray, ix: Index, threshold: float = RETRIEVE) -> list[tuple[int, int, float]]:
-    """(item, passage, score) for every pair of a text's passage and an item at or above the threshold.
+    """(item, passage, score times the item's scale) for every pair of a text's passage and an item at or above the threshold.
 
     ids: the text's words as the index's terms, -1 for others. A term counts
     once a passage. Bounds are summed for half passages, each term once in
@@ -214,7 +249,7 @@ def find(text: str | None, indexes: list[Index], threshold: float = RETRIEVE) ->
     for ix in indexes:
         best: dict[int, tuple] = {}
         for i, p, score in wand(ix.local[shard], ix, threshold):
-            at, score = int(passages(len(w), ix.span)[p]), round(score, 9)  # sums in any order
+            at, score = int(passages(len(w), ix.span)[p]), round(score / ix.scale[i], 9)  # sums in any order
             held = f" {' '.join(w[at : at + ix.span])} "
             q, a = holds(held, ix.question[i]), holds(held, ix.answer[i])
             if q >= QUESTION and a >= ANSWER and (i not in best or (q + a, score) > (best[i][4] + best[i][5], best[i][3])):
@@ -258,6 +293,15 @@ def indexes(benchmark: DataFrame, chars_of_shard: int = SHARD_CHARS) -> Iterator
 FOUND = "item_id long, first_word long, n_words long, score double, question_overlap double, answer_overlap double"
 
 
+def _counter(sent: Broadcast) -> Callable[[Column], Column]:
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([len(find(t if isinstance(t, str) else None, sent.value)) for t in texts], dtype="int32")
+
+    return count
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, keep: str | None = None, chars_of_shard: int = SHARD_CHARS) -> DataFrame:
     """One row per document and item it holds: doc_id and FOUND.
 
@@ -272,13 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: str | None = None, chars_
         sent = spark.sparkContext.broadcast(ix)  # of bounded size: a shard
 
         if keep:
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-
-            def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-                for b in map(plain, batches):
-                    yield b.assign(**{keep: b[keep] + [len(find(t, sent.value)) for t in b["text"]]})
-
-            out = out.mapInPandas(count, schema)
+            out = out.withColumn(keep, F.col(keep) + _counter(sent)(F.col("text").cast("string")))  # other columns stay out of Python
             continue
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -286,7 +324,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: str | None = None, chars_
                 rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) for x in find(t, sent.value)]
                 yield pd.DataFrame(rows, columns=["doc_id", *names])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, f"doc_id long, {FOUND}")
+        part = exact_ids(docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, f"doc_id string, {FOUND}"))
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], f"doc_id long, {FOUND}") if out is None else out
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.session import workers_import_this
+from kgspark.session import exact_ids, workers_import_this
 
 #: Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -316,7 +316,7 @@ def text_media(docs: DataFrame, emit_media: bool = False) -> DataFrame:
                 rows.append((*row, media) if emit_media else row)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return exact_ids(docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, schema.replace("doc_id long", "doc_id string")))
 
 
 PACKETS = "track long, timestamp_ns long, byte_start long, byte_length long, keyframe boolean, cluster long, lace long"

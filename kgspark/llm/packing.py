@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kgspark.llm.jaccard import byte_powers, mixed
-from kgspark.session import materialise, plain, workers_import_this
+from kgspark.session import exact_ids, materialise, plain, workers_import_this
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -212,7 +212,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, tokenizer:
                     rows.append((*row, part.astype("i4")) if emit_ids else row)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return exact_ids(docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, schema.replace("doc_id long", "doc_id string")))
 
 
 # --- the solver, on a histogram {length: count} ---

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.session import materialise, workers_import_this
+from kgspark.session import exact_ids, materialise, workers_import_this
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -142,8 +142,8 @@ def scan_texts(docs: DataFrame) -> DataFrame:
                 places.append([{"kind": k, "start": s, "end": e, "value": v, "patterns": ps} for k, s, e, v, ps in p])
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": base, "places": places})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, f"doc_id long, base array<{SPAN}>, places array<{PLACE}>")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
+    return exact_ids(rows.mapInPandas(run, f"doc_id string, base array<{SPAN}>, places array<{PLACE}>"))
 
 
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"

@@ -248,14 +248,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Word vectors from all documents; the network from at most `rows` labelled ones outside the held-out fold.
 
-    Rows with a null label or text don't teach. With one class alone, or no row, the score is the share of label 1 (1 without rows).
+    Rows with a null label or text don't teach; of several labels of an id the greatest counts. With one class alone, or no row, the score is the share of label 1 (1 without rows).
     """
     context = context_vectors(docs)
-    sample = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    sample = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull())
     got = features(texts.join(F.broadcast(sample), "doc_id"), context, "quality int").toPandas()  # `rows` is the bound of what is broadcast and collected
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = got.assign(kg_x=[np.asarray(x, "f4").tobytes() for x in got["x"]]).sort_values(["doc_id", "kg_x"]).drop_duplicates("doc_id")
     y = got["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(context, None, float(y.mean()) if len(y) else 1.0)
@@ -265,20 +265,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; keep: with all columns of docs instead of doc_id alone."""
     workers_import_this(docs.sparkSession)
-    names = docs.columns if keep else ["doc_id"]
-    rows = docs if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    at = "score" if not keep else unused("kg_score", docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = index_vectors()
-        for b in map(plain, batches):
-            x = np.stack([pooled(slots(t), model.context, index) for t in b["text"]]).astype(float) if len(b) else np.zeros((0, WIDTH))
-            yield b[names].assign(**{at: model.score(x)})
+        for texts in batches:
+            x = np.stack([pooled(slots(t if isinstance(t, str) else None), model.context, index) for t in texts]).astype(float) if len(texts) else np.zeros((0, WIDTH))
+            yield pd.Series(model.score(x), dtype="float64")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + f", {at} double"
-    out = rows.mapInPandas(run, schema)
+    value = found(F.col("text").cast("string"))  # other columns stay out of Python
     if keep:
-        return out
+        return docs.withColumn(unused("kg_score", docs), value)
+    out = docs.select(F.col("doc_id").cast("long"), value.alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

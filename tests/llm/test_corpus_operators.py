@@ -67,13 +67,13 @@ def test_wand_against_scores_of_all_items(spark):
         for t in texts:
             w = t.split()
             ids = ix.local[np.array([ix.terms.get(x, -1) for x in w])]
-            got = {(ix.items[i], p): s for i, p, s in decontaminate.wand(ids, ix)}
+            got = {(ix.items[i], p): s / ix.scale[i] for i, p, s in decontaminate.wand(ids, ix)}
             exp = {}
-            for i in ix.items:
+            for n, i in enumerate(ix.items):
                 own = weights(items[i][1])
                 for p, at in enumerate(decontaminate.passages(len(w), ix.span)):
                     score = sum(s for x, s in own.items() if x in set(w[at : at + ix.span])) / sum(own.values())
-                    if score >= decontaminate.RETRIEVE:
+                    if score * ix.scale[n] >= decontaminate.RETRIEVE:
                         exp[i, p] = score
             assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
     docs, bench = spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(items, "item_id long, text string")
