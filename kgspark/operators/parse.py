@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kgspark.functions.exprs import running, stable_id, token_estimate
+from kgspark.functions.exprs import CJK, running, stable_id, token_estimate
 
 #: A unit is closed before the next span once it is estimated at so many tokens.
 UNIT_TOKENS = 120
+#: Values that a fold gathers before it puts them away.
+BLOCK = 128
 HEADING = r"^(#{1,6})(?U:\s)+(.*?)(?U:\s)*#*(?U:\s)*$"
 LIST_ITEM = r"^(?U:\s)*(?:[-*+]|\d+[.)])(?U:\s)+(.*)$"
 
@@ -38,6 +40,16 @@ def _span(x: Column) -> Column:
     return F.struct(kind.alias("span_type"), F.substring(text, 1, 4000).alias("text"), F.substring(x["raw"], 1, 4000).alias("raw"), F.length(head).alias("depth"), x["start"].alias("char_start"), end.alias("char_end"))
 
 
+def _pushed(acc: Column, x: Column) -> list[Column]:
+    """done and block of a fold after x: a block of BLOCK values is put away as one, so no step copies all there is."""
+    full = F.size(acc["block"]) >= BLOCK
+    return [F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(x)).otherwise(F.concat(acc["block"], F.array(x))).alias("block")]
+
+
+def _all_pushed(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["done"]), acc["block"])
+
+
 def span_arrays(docs: DataFrame) -> DataFrame:
     """doc_id, spans: a document's spans in order, each with the path of headings above it.
 
@@ -50,11 +62,11 @@ def span_arrays(docs: DataFrame) -> DataFrame:
 
     def path(acc: Column, x: Column) -> Column:
         here = F.concat(F.slice(acc["path"], F.lit(1), F.least(F.size(acc["path"]), x["depth"] - 1)), F.array(x["text"]))
-        return F.struct(here.alias("path"), F.concat(acc["out"], F.array(here)).alias("out"))
+        return F.struct(here.alias("path"), *_pushed(acc, here))
 
     def paths(flat: Column) -> Column:
-        zero = F.struct(none.alias("path"), F.array(none).alias("out"))  # before the first heading the path is empty
-        return F.aggregate(F.filter(flat, is_head), zero, path, lambda acc: acc["out"])
+        zero = F.struct(none.alias("path"), F.array().cast("array<array<array<string>>>").alias("done"), F.array(none).alias("block"))  # before the first heading the path is empty
+        return F.aggregate(F.filter(flat, is_head), zero, path, _all_pushed)
 
     def full(x: Column, i: Column, a: Column) -> Column:
         at = F.get(a["before"], i) + F.when(is_head(x), 1).otherwise(0)
@@ -77,32 +89,41 @@ def spans(docs: DataFrame) -> DataFrame:
 def units(docs: DataFrame, limit: int = UNIT_TOKENS) -> DataFrame:
     """evidence_units: spans joined in order; a unit ends before a span whose heading path differs, or once it has `limit` tokens.
 
-    doc_id, unit_id, text, heading_path, token_count, source_span_ids, merge_reason.
+    doc_id, unit_id, unit_no, text, heading_path, token_count, source_span_ids, merge_reason, char_start, char_end (from its first span's start to its spans' greatest end).
+
+    One fold over numbers decides where units begin: a unit's estimate is that of its pieces, less one for each run of letters that goes over from one piece to the next.
     """
-    unit = "struct<text:string,path:array<string>,ids:array<int>,types:array<string>>"
-    indexed = F.transform("spans", lambda s, i: F.struct(s["raw"].alias("raw"), s["text"].alias("text"), s["heading_path"].alias("path"), s["span_type"].alias("kind"), i.alias("i")))
-
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
-        opened = F.size(cur["ids"]) > 0
-        flush = opened & (~cur["path"].eqNullSafe(s["path"]) | (token_estimate(cur["text"]) >= limit))
-        alone = F.struct(s["text"].alias("text"), s["path"].alias("path"), F.array(s["i"]).alias("ids"), F.array(s["kind"]).alias("types"))
-        more = F.struct(F.concat(cur["text"], s["text"]).alias("text"), F.when(opened, cur["path"]).otherwise(s["path"]).alias("path"), F.concat(cur["ids"], F.array(s["i"])).alias("ids"), F.concat(cur["types"], F.array(s["kind"])).alias("types"))
-        return F.struct(F.when(flush, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"]).alias("done"), F.when(flush, alone).otherwise(more).cast(unit).alias("cur"))
-
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<string>").alias("types"))
-    zero = F.struct(F.array().cast(f"array<{unit}>").alias("done"), empty.cast(unit).alias("cur"))
-    merged = F.aggregate(indexed, zero, step, lambda acc: F.when(F.size(acc["cur"]["ids"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
-    out = span_arrays(docs).select("doc_id", F.posexplode(merged).alias("unit_no", "u"))
-    text = F.substring(F.trim("u.text"), 1, 8000)
-    single = F.size("u.ids") == 1
-    reasons = F.when(single, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.lit("same_heading"), F.when(F.array_contains("u.types", "list_item"), F.lit("list_context")))))
-    return out.select("doc_id", F.format_string("EU_%05d", "unit_no").alias("unit_id"), "unit_no", text.alias("text"), F.col("u.path").alias("heading_path"), token_estimate(text).alias("token_count"), F.transform("u.ids", lambda i: F.format_string("ES_%05d", i)).alias("source_span_ids"), reasons.alias("merge_reason"))
+    word = "[A-Za-z0-9]"
+
+    def known(s: Column, i: Column) -> Column:
+        t = s["text"]
+        differs = (i == 0) | ~F.get(F.col("spans"), i - 1)["heading_path"].eqNullSafe(s["heading_path"])
+        return F.struct(F.regexp_count(t, F.lit(CJK)).alias("cjk"), F.regexp_count(t, F.lit(word + "+")).alias("runs"), t.rlike("^" + word).alias("head"), t.rlike(word + r"\z").alias("tail"), (t == "").alias("blank"), differs.alias("differs"), i.alias("i"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = x["differs"] | (F.floor(F.lit(0.6) * acc["cjk"] + acc["runs"]) >= limit)
+        over = F.when(acc["tail"] & x["head"], 1).otherwise(0)
+        done, block = _pushed(acc, x["i"])
+        return F.struct(
+            F.when(begins, x["cjk"]).otherwise(acc["cjk"] + x["cjk"]).alias("cjk"), F.when(begins, x["runs"]).otherwise(acc["runs"] + x["runs"] - over).alias("runs"),
+            F.when(x["blank"] & ~begins, acc["tail"]).otherwise(x["tail"]).alias("tail"), F.when(begins, done).otherwise(acc["done"]).alias("done"), F.when(begins, block).otherwise(acc["block"]).alias("block"),
+        )
+
+    zero = F.struct(F.lit(0).alias("cjk"), F.lit(0).alias("runs"), F.lit(False).alias("tail"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("block"))
+    begins = F.aggregate(F.transform("spans", known), zero, step, _all_pushed)
+    cut = lambda at: F.transform(at, lambda s, k: F.struct(s.alias("first"), F.transform(F.sequence(s, F.coalesce(F.get(at, k + 1), F.size("spans")) - 1), lambda j: F.get(F.col("spans"), j)).alias("spans")))
+    out = span_arrays(docs).select("doc_id", F.posexplode(F.transform(F.array(begins), cut)[0]).alias("unit_no", "u"))
+    each = lambda f: F.transform("u.spans", lambda s: s[f])
+    text = F.substring(F.trim(F.array_join(each("text"), "")), 1, 8000)
+    reasons = F.when(F.size("u.spans") == 1, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.lit("same_heading"), F.when(F.array_contains(each("span_type"), "list_item"), F.lit("list_context")))))
+    return out.select(
+        "doc_id", F.format_string("EU_%05d", "unit_no").alias("unit_id"), "unit_no", text.alias("text"), F.get("u.spans", F.lit(0))["heading_path"].alias("heading_path"), token_estimate(text).alias("token_count"),
+        F.transform("u.spans", lambda s, i: F.format_string("ES_%05d", F.col("u.first") + i)).alias("source_span_ids"), reasons.alias("merge_reason"), F.array_min(each("char_start")).alias("char_start"), F.array_max(each("char_end")).alias("char_end"),
+    )
 
 
 def statements(docs: DataFrame, first: int = 200, least: int = 8) -> DataFrame:
     """Statements from a document's first spans of some length; a text repeated in a document counts once, at its first place."""
     s = spans(docs).where((F.col("order_index") < first) & (F.length(F.trim("text")) >= least))
-    s = s.withColumn("statement_id", stable_id("stmt", "doc_id", "text"))
-    one = F.row_number().over(Window.partitionBy("doc_id", "statement_id").orderBy("order_index"))
-    return s.withColumn("k", one).where("k = 1").select("statement_id", "doc_id", F.col("text").alias("statement_text"), F.lit("observation").alias("statement_class"), "span_id", "order_index", "heading_path")
+    one = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("order_index"))
+    return s.withColumn("k", one).where("k = 1").select(stable_id("stmt", "doc_id", "text").alias("statement_id"), "doc_id", F.col("text").alias("statement_text"), F.lit("observation").alias("statement_class"), "span_id", "order_index", "heading_path")

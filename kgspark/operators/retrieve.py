@@ -65,11 +65,17 @@ def overview(entities: DataFrame, relations: DataFrame, statements: DataFrame, k
     return e.unionByName(r).unionByName(s)
 
 
-def citations(refs: DataFrame, units: DataFrame, spans: DataFrame, first: int = 10) -> DataFrame:
-    """References (item, doc_id, unit_id) resolved to their units' spans: item, doc_id, unit_id, char_start, char_end; the first ones of an item."""
-    u = units.select("doc_id", "unit_id", F.explode("source_span_ids").alias("span_id"))
-    got = refs.join(u, ["doc_id", "unit_id"]).join(spans.select("doc_id", "span_id", "char_start", "char_end"), ["doc_id", "span_id"])
-    got = got.groupBy("item", "doc_id", "unit_id").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+def citations(refs: DataFrame, units: DataFrame, spans: DataFrame | None = None, first: int = 10) -> DataFrame:
+    """References (item, doc_id, unit_id) resolved to their units' spans: item, doc_id, unit_id, char_start, char_end; the first ones of an item.
+
+    Units that carry their place (char_start, char_end, as parse.units() gives them) need no spans.
+    """
+    if spans is None:
+        places = units.select("doc_id", "unit_id", "char_start", "char_end")
+    else:
+        wanted = units.join(refs.select("doc_id", "unit_id").distinct(), ["doc_id", "unit_id"], "left_semi").select("doc_id", "unit_id", F.explode("source_span_ids").alias("span_id"))
+        places = wanted.join(spans.select("doc_id", "span_id", "char_start", "char_end"), ["doc_id", "span_id"]).groupBy("doc_id", "unit_id").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    got = refs.select("item", "doc_id", "unit_id").distinct().join(places, ["doc_id", "unit_id"])
     k = F.row_number().over(Window.partitionBy("item").orderBy("doc_id", "unit_id"))
     return got.withColumn("k", k).where(F.col("k") <= first).drop("k")
 

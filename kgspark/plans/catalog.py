@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kgspark.functions import exprs
 from kgspark.operators import extract, gates, governance, graph, parse, retrieve, upsert
+from kgspark.session import materialise
 from kgspark.sources.fixtures import ENTITIES, OUTBOX, RELATIONS, entities, outbox, relations, table
 from kgspark.streaming import outbox as stream
 
@@ -173,11 +174,14 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", exprs.token_estimate("text").alias("tokens"))
 
 
-@query("""est as (select doc_id, row_number() over (partition by doc_id order by line_no) as k, left(trim(raw), 4000) as t from lines),
+#: Lines of documents joined to units, for SQL.
+UNITS_WALK = f"""with recursive {LINES}, est as (select doc_id, row_number() over (partition by doc_id order by line_no) as k, left(trim(raw), 4000) as t from lines),
 walk as (select doc_id, k, t as acc, 0 as unit from est where k = 1 union all
  select e.doc_id, e.k, case when floor(0.6 * len(regexp_extract_all(w.acc, '[一-鿿]')) + len(regexp_extract_all(w.acc, '[A-Za-z0-9]+'))) >= 120 then e.t else w.acc || e.t end,
-  case when floor(0.6 * len(regexp_extract_all(w.acc, '[一-鿿]')) + len(regexp_extract_all(w.acc, '[A-Za-z0-9]+'))) >= 120 then w.unit + 1 else w.unit end from walk w join est e on e.doc_id = w.doc_id and e.k = w.k + 1)
-select doc_id, unit::int as unit_no, left(trim(arg_max(acc, k)), 8000) as text, count(*) as spans from walk group by doc_id, unit""", f"with recursive {LINES}, ")
+  case when floor(0.6 * len(regexp_extract_all(w.acc, '[一-鿿]')) + len(regexp_extract_all(w.acc, '[A-Za-z0-9]+'))) >= 120 then w.unit + 1 else w.unit end from walk w join est e on e.doc_id = w.doc_id and e.k = w.k + 1)"""
+
+
+@query("select doc_id, unit::int as unit_no, left(trim(arg_max(acc, k)), 8000) as text, count(*) as spans from walk group by doc_id, unit", UNITS_WALK)
 def units_merge(spark, d):
     return parse.units(table(spark, d, "documents")).select("doc_id", "unit_no", "text", F.size("source_span_ids").cast("bigint").alias("spans"))
 
@@ -300,11 +304,12 @@ def multi_query_merge(spark, d):
     return retrieve.merge_hits(hits, 1 << 30).select("kind", "id", "query_no")
 
 
-@query()
+@query(""", walk_units as (select doc_id, unit, min(k) as a, max(k) as b from walk group by doc_id, unit), placed as (select doc_id, row_number() over (partition by doc_id order by line_no) as k, char_start, char_start + length(raw) as char_end from lines)
+ select u.doc_id as item, u.doc_id, 'EU_' || lpad(unit::varchar, 5, '0') as unit_id, min(char_start)::bigint as char_start, max(char_end)::bigint as char_end from walk_units u join placed p on p.doc_id = u.doc_id and p.k between u.a and u.b group by u.doc_id, unit""", UNITS_WALK)
 def citations_resolve(spark, d):
-    docs = table(spark, d, "documents")
-    u = parse.units(docs)
-    return retrieve.citations(u.select(F.col("doc_id").alias("item"), "doc_id", "unit_id"), u, parse.spans(docs), 1 << 30)
+    """Every unit of every document as a reference, resolved to its place; documents are parsed once."""
+    u = materialise(parse.units(table(spark, d, "documents")).select("doc_id", "unit_id", "char_start", "char_end"), "units")
+    return retrieve.citations(u.select(F.col("doc_id").alias("item"), "doc_id", "unit_id"), u, None, 1 << 30).withColumns({c: F.col(c).cast("long") for c in ("char_start", "char_end")})
 
 
 @query("select query_id, vec_id, similarity, k::int as k from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as k from (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id)) where k <= 5", "")
