@@ -105,7 +105,7 @@ def merged_scope(left: Column, right: Column) -> Column:
 
 def json_or(c: Column, schema: str, default: Column) -> Column:
     """A JSON column decoded, or the default where it is null, empty or broken."""
-    return F.coalesce(F.from_json(c, schema), default)
+    return F.coalesce(F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema)), default)
 
 
 def json_object_text(c: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.operators import governance, models, rule_tables, similar, snapshots, store, templates, tenants
+from kgspark.functions import exprs
+from kgspark.operators import extract, governance, graph, models, reads, rule_tables, similar, snapshots, store, templates, tenants
+from kgspark.plans import knowledge
 from kgspark.plans.catalog import query
 from kgspark.session import Scratch, materialise
-from kgspark.sources.fixtures import table
+from kgspark.sources.fixtures import entities, table
 from kgspark.streaming import projector
 
 #: Lines of orders as mentions of suppliers: an order is a document, suppliers with an even key are in the store already (with a repeated source), those of key 0 to 4 mod 25 are never mentioned.
@@ -282,3 +284,27 @@ def projection_stream(spark, d):
             return materialise(v.unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.concat_ws(">", "source_id", "target_id").alias("ends"))), "projected")
     finally:
         spark.conf.set(projector.RETRIES, before) if before else spark.conf.unset(projector.RETRIES)
+
+
+# --- scalar functions and edges of nodes ---
+
+
+@query("""select p_partkey, p_name as display, 'relation::' || lower(regexp_replace(p_name, '[\\s，,、。;；：:]+', '', 'g')) || '::offers::' || lower(p_brand) as key, upper(regexp_replace(p_type, '[^0-9A-Za-z]+', '_', 'g')) as snake, array_to_string(list_transform(string_split_regex(p_type, '[^0-9A-Za-z]+'), lambda w: upper(w[1:1]) || w[2:]), '') as pascal,
+ greatest(0, least(100, p_size * 4 - 40))::int as progress, case when p_size % 3 = 0 then 'L3' when p_size % 2 = 0 then 'L2' else 'L1' end as layer, 'a=1,b=' || case when p_size % 4 = 0 then 'x' || p_size else p_brand end as scope, case when p_size % 5 = 0 then -1 else p_size end::int as n, p_size % 2 = 0 or p_size % 7 = 0 as markdown, p_size % 3 = 1 as risky, p_size % 4 < 2 as taken_up from part""".replace("\\\\", "\\"), "")
+def scalar_functions(spark, d):
+    size = F.col("p_size")
+    body = F.when(size % 5 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"n": '), size.cast("string"), F.lit("}")))
+    right = F.when(size % 4 == 0, F.create_map(F.lit("b"), F.concat(F.lit("x"), size.cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    scope = exprs.merged_scope(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.col("p_brand")), right)
+    quotes = F.when(size % 3 == 1, F.array(F.lit("the best of all"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select(
+        "p_partkey", exprs.display_name(F.concat("p_name", F.lit("。；"))).alias("display"), exprs.candidate_key(F.lit("relation"), F.col("p_name"), F.lit("offers"), F.col("p_brand"), F.lit(None)).alias("key"), exprs.upper_snake("p_type").alias("snake"), exprs.pascal("p_type").alias("pascal"),
+        exprs.clamp_progress(size * 4 - 40).cast("int").alias("progress"), exprs.layer_of(F.when(size % 3 == 0, "b"), F.when(size % 2 == 0, "i")).alias("layer"), F.array_join(F.transform(F.array_sort(F.map_entries(scope)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("scope"),
+        exprs.json_or(body, "n int", F.struct(F.lit(-1).alias("n")))["n"].alias("n"), exprs.is_markdown(F.concat("p_name", F.when(size % 2 == 0, ".MD").otherwise(".txt")), F.when(size % 7 == 0, "text/markdown").otherwise("text/plain")).alias("markdown"),
+        extract.high_risk(F.col("p_name"), quotes, ["best of"]).alias("risky"), reads.shown(F.when(size % 4 == 0, "queued").when(size % 4 == 1, "running").otherwise("done")).alias("taken_up"),
+    )
+
+
+@query("select f.id from facts f where f.subject_id in (select id from entities where layer = 'l3_brand') or f.object_id in (select id from entities where layer = 'l3_brand')", knowledge.FACTS)
+def statements_touching(spark, d):
+    return graph.touching(knowledge.facts(spark, d), entities(spark, d).where("layer = 'l3_brand'")).select("id")
