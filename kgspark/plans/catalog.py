@@ -213,7 +213,24 @@ def rule_url(spark, d):
     return extract.candidates(pages).where("kind = 'url'").select(F.col("doc_id").alias("page_id"), "value")
 
 
-@query()
+def _rule_sql(k: int, kind: str, pattern: str, confidence: float, method: str) -> str:
+    """Rows of one rule's matches in units; Java's white space of any script is written as RE2's."""
+    p = pattern.replace(r"(?U:\s)", r"\s").replace("'", "''")
+    return f"select doc_id, unit_id, {k} as r, i, regexp_extract_all(text, '{p}')[i] as value, '{kind}' as kind, {confidence}::double as confidence, '{method}' as method from unit_texts, unnest(generate_series(1, len(regexp_extract_all(text, '{p}')))) as t(i)"
+
+
+def _trigger_sql(k: int, name: str, pattern: str) -> str:
+    return f"select doc_id, unit_id, {len(extract.RULES) + k}, 1, '{name}', 'relation', 0.6::double, 'regex:trigger:{name}' from unit_texts where regexp_matches(text, '{pattern}')"
+
+
+@query(
+    f""", unit_texts as (select doc_id, 'EU_' || lpad(unit::varchar, 5, '0') as unit_id, left(trim(arg_max(acc, k)), 8000) as text from walk group by doc_id, unit),
+ matches as ({" union all ".join([_rule_sql(k, *r) for k, r in enumerate(extract.RULES)] + [_trigger_sql(k, *t) for k, t in enumerate(extract.TRIGGERS)])}),
+ placed as (select *, (row_number() over (partition by doc_id, unit_id order by r, i) - 1)::int as ord, case kind when 'certification' then 'statement' when 'version' then 'statement' when 'url' then 'statement' else kind end as candidate_type, 'KC_' || doc_id || '_' || left(sha256(kind || '::' || method || '::' || value), 16) as candidate_id from matches),
+ firsts as (select * from (select *, row_number() over (partition by doc_id, unit_id, candidate_id order by ord) as f from placed) where f = 1)
+ select doc_id, unit_id, ord, kind, value, confidence, method, candidate_type, candidate_id from (select *, row_number() over (partition by doc_id, unit_id order by ord) as c from firsts) where c <= 12""",
+    UNITS_WALK,
+)
 def candidates_capped(spark, d):
     return extract.capped(extract.candidates(parse.units(table(spark, d, "documents"))))
 
