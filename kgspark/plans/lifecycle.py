@@ -114,10 +114,17 @@ _CLAIMS = """claims as (select o * 10 + n as id, case o % 6 when 0 then 'fact' w
 _WITH_CLAIMS = f"{_ONE}, {_CLAIMS}"
 
 
+def _of(spark, d, ctes, name):
+    """Rows of a name that SQL defines over the driver's tables, which bear names of our own in the session."""
+    for t in ("lineitem", "supplier", "documents"):
+        if f"from {t}" in ctes:
+            table(spark, d, t).createOrReplaceTempView(f"kg_{t}")
+            ctes = ctes.replace(f"from {t}", f"from kg_{t}")
+    return spark.sql(f"with {ctes} select * from {name}")
+
+
 def _view(spark, d, name):
-    for t in ("lineitem", "supplier", "orders", "documents", "events"):
-        table(spark, d, t).createOrReplaceTempView(t)
-    return spark.sql(f"with {_WITH_CLAIMS} select * from {name}")
+    return _of(spark, d, _WITH_CLAIMS, name)
 
 
 #: Predicates of failing in SQL, over `w`.
@@ -164,7 +171,7 @@ _CANDS = """cands as (select id, case when o % 23 <> 0 then concat('i', o % 4) e
 )
 def policy_gate_failures(spark, d):
     refs = _view(spark, d, "refs")
-    of = lambda name: spark.sql(f"with {_WITH_CLAIMS}, {_CANDS} select * from {name}")
+    of = lambda name: _of(spark, d, f"{_WITH_CLAIMS}, {_CANDS}", name)
     got = rule_tables.gate_failures(of("cands"), of("ents"), of("onto"), of("inds"), refs, of("sources"), of("act"))
     return got.select("id", "outcome", F.array_join("failed", ",").alias("failed"))
 
@@ -182,8 +189,7 @@ _TASKS = """cites as (select id, concat('u', o % 50) as unit_id from claims wher
     f"with {_WITH_CLAIMS}, {_CANDS}, {_TASKS}",
 )
 def task_check_failures(spark, d):
-    _view(spark, d, "claims")
-    of = lambda name: spark.sql(f"with {_WITH_CLAIMS}, {_CANDS}, {_TASKS} select * from {name}")
+    of = lambda name: _of(spark, d, f"{_WITH_CLAIMS}, {_CANDS}, {_TASKS}", name)
     return rule_tables.task_failures(of("claims"), of("cites"), of("units"), of("ents"), of("judged"), of("queue"), of("audit"))
 
 
