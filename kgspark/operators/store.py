@@ -61,21 +61,22 @@ def merged_properties(old: Column, new: Column) -> Column:
 NEWEST = ("name", "normalized_name", "updated_at")
 
 
-def fold_entities(old: DataFrame, mentions: DataFrame, order: list[str], key: str = "id", newest: tuple[str, ...] = NEWEST) -> DataFrame:
+def fold_entities(old: DataFrame, mentions: DataFrame, order: list[str], key: str = "id", newest: tuple[str, ...] = NEWEST, place: str | None = None) -> DataFrame:
     """Entities after all mentions of a batch, as if its documents came in one by one: old (key, properties, ...), mentions (the same columns, and those of `order`).
 
     Each mention merges into what is there as merged_properties() says: a scalar has its last value, sources, aliases and references stand in the order they were first
     seen, whoever mentions the entity for the first time included. Empty source ids count for nothing. Entities without a mention stay as they are. Of mentions
-    equal in `order` (order should tell them apart) the one with the greater values counts as later. Rows with a null key are left out.
+    equal in `order` (order should tell them apart) the one with the greater values counts as later; with `place` (a number of theirs) the one with the least place decides
+    all columns, and values first seen at once stand in the order of the least place that holds them at all. Rows with a null key are left out.
 
     The fold is made of associative steps (first place of a value, last value of a scalar), so all but distinct values is summed up before it moves and an
     entity with any share of the mentions has no task to itself.
     """
     cols = [c for c in old.columns if c != key]
     fixed, last = [c for c in cols if c not in (*newest, "properties")], [c for c in cols if c in newest]
-    came = mentions.where(F.col(key).isNotNull()).select(F.col(key), *cols, F.struct(F.lit(1).alias("kg_new"), *[F.col(c).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
+    came = mentions.where(F.col(key).isNotNull()).select(F.col(key), *cols, (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("kg_place"), F.struct(F.lit(1).alias("kg_new"), *[F.col(c).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
     touched = came.select(key).distinct()
-    there = old.join(touched, key, "left_semi").select(F.col(key), *cols, F.struct(F.lit(0).alias("kg_new"), *[F.lit(None).cast(mentions.schema[c].dataType).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
+    there = old.join(touched, key, "left_semi").select(F.col(key), *cols, F.lit(-1).cast("long").alias("kg_place"), F.struct(F.lit(0).alias("kg_new"), *[F.lit(None).cast(mentions.schema[c].dataType).alias(f"kg_o{i}") for i, c in enumerate(order)]).alias("kg_at"))
     rows = there.unionByName(came)
     p = F.col("properties")
     one = lambda c: F.when(c.isNotNull() & (c != ""), F.array(c)).otherwise(F.array().cast("array<string>"))
@@ -87,13 +88,14 @@ def fold_entities(old: DataFrame, mentions: DataFrame, order: list[str], key: st
         many("source", F.filter(F.concat(listed(p["source_document_ids"]), one(p["source_document_id"])), lambda v: v.isNotNull() & (v != ""))), many("alias", listed(p["aliases"])), many("ref", listed(p["evidence_refs"])),
         F.transform(F.map_entries(scalars), lambda e: cell("scalar", F.lit(0), e["key"], e["value"])),
     )
-    parts = rows.select(key, "kg_at", F.explode(cells).alias("c")).select(key, "kg_at", "c.*")
-    seen = parts.groupBy(key, "field", "name").agg(F.min(F.struct("kg_at", "place")).alias("first"), F.max(F.struct("kg_at", "value")).alias("last"))
-    of = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("first", "name")))), lambda x: x["name"])
+    parts = rows.select(key, "kg_at", "kg_place", F.explode(cells).alias("c")).select(key, "kg_at", "kg_place", "c.*")
+    late = (-F.col("kg_place")).alias("kg_late")
+    seen = parts.groupBy(key, "field", "name").agg(F.min(F.struct("kg_at", "place")).alias("first"), F.min("kg_place").alias("row"), F.max(F.struct("kg_at", late, "value")).alias("last"))
+    of = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("first", "row", "name")))), lambda x: x["name"])
     props = seen.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("field") == "scalar", F.struct("name", "last.value")))).alias("kg_scalars"), of("source").alias("kg_sources"), of("alias").alias("kg_aliases"), of("ref").alias("kg_refs"),
     )
-    ends = rows.groupBy(key).agg(F.min("kg_at").alias("kg_at"), *[F.min_by(c, "kg_at").alias(c) for c in fixed], *[F.max_by(c, "kg_at").alias(c) for c in last])
+    ends = rows.groupBy(key).agg(F.min("kg_at").alias("kg_at"), *[F.min_by(c, F.struct("kg_at", "kg_place")).alias(c) for c in fixed], *[F.max_by(c, F.struct("kg_at", late)).alias(c) for c in last])
     merged = F.struct(
         F.coalesce("kg_scalars", F.create_map().cast("map<string,string>")).alias("scalars"), F.get(listed(F.col("kg_sources")), F.lit(0)).alias("source_document_id"), listed(F.col("kg_sources")).alias("source_document_ids"),
         listed(F.col("kg_aliases")).alias("aliases"), listed(F.col("kg_refs")).alias("evidence_refs"),

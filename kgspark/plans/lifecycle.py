@@ -9,7 +9,7 @@ from kgspark.operators import extract, governance, graph, models, reads, rule_ta
 from kgspark.plans import knowledge
 from kgspark.plans.catalog import query
 from kgspark.session import Scratch, materialise
-from kgspark.sources.fixtures import entities, table
+from kgspark.sources.fixtures import entities, placed, table
 from kgspark.streaming import projector
 
 #: Lines of orders as mentions of suppliers: an order is a document, suppliers with an even key are in the store already (with a repeated source), those of key 0 to 4 mod 25 are never mentioned.
@@ -28,8 +28,8 @@ def document_fold(spark, d):
     props = "struct(map('R', 'old') as scalars, cast(null as string) as source_document_id, array('d' || s_nationkey, 'd7', 'd7') as source_document_ids, array('x') as aliases, cast(array() as array<string>) as evidence_refs)"
     old = s.selectExpr("'s' || s_suppkey as id", "'old' as name", "'organization' as type", f"{props} as properties")
     props = "struct(map(l_returnflag, 'v' || l_orderkey || '/' || l_linenumber) as scalars, 'd' || (l_orderkey % 40) as source_document_id, cast(null as array<string>) as source_document_ids, array('b' || (l_partkey % 5)) as aliases, array('r' || l_linenumber) as evidence_refs)"
-    mentions = table(spark, d, "lineitem").where("l_suppkey % 25 > 4").selectExpr("'s' || l_suppkey as id", "'n' || l_partkey as name", "'mention' as type", f"{props} as properties", "l_orderkey as doc", "l_linenumber as line")
-    p = store.fold_entities(old, mentions, ["doc", "line"]).select("id", "name", "type", "properties.*")
+    mentions = placed(spark, d, "lineitem").where("l_suppkey % 25 > 4").selectExpr("'s' || l_suppkey as id", "'n' || l_partkey as name", "'mention' as type", f"{props} as properties", "l_orderkey as doc", "l_linenumber as line", "kg_place")
+    p = store.fold_entities(old, mentions, ["doc", "line"], place="kg_place").select("id", "name", "type", "properties.*")
     pairs = F.transform(F.array_sort(F.map_entries("scalars")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return p.select("id", "name", "type", F.array_join("source_document_ids", ",").alias("sources"), F.array_join("aliases", ",").alias("aliases"), F.array_join("evidence_refs", ",").alias("refs"), F.array_join(pairs, ",").alias("scalars"))
 
