@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kgspark.functions.exprs import cosine
+from kgspark.session import workers_import_this
 
 #: Phrases and markers that decide a question's intent.
 OVERVIEW = ("知识库概览", "工作区概览", "知识库中的内容", "数据库中的内容", "工作区内容", "总结当前知识库", "介绍当前知识库", "当前知识库有哪些", "当前工作区有哪些")
@@ -87,20 +88,68 @@ def merge_hits(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
-    """query_id, vec_id, similarity: the k nearest vectors of each query by cosine.
+    """query_id, vec_id, similarity, k: the k nearest vectors of each query by cosine, rounded to six places; of equal ones the lesser ids.
 
-    The queries are counted first and dealt by a hash of their ids into blocks of about half
-    max_queries; each block is broadcast and the vectors are read once for it. Spark's
-    window group limit keeps each task's best k before the shuffle.
+    Queries and vectors are dealt by hashes of their ids into blocks, every two of which meet in one task of bounded size: it multiplies them and keeps each query's
+    best k, so nothing goes through the driver and what is ranked at the end is k rows a query and block. A zero vector's similarity is NaN, which counts as greatest; that of a
+    null vector, a null element or another length is null, which counts as least.
     """
-    n = queries.count()
-    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)  # twice as many as would do, for uneven hashes
-    best = [_nearest(vectors, queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, best)
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
-    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("qv")), 6).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    workers_import_this(vectors.sparkSession)
+    blocks = lambda df, most: -(-df.count() // most) or 1
+    nq, nv = blocks(queries, -(-max_queries // 2)), blocks(vectors, VECTORS)
+    usable = F.coalesce(~F.exists("embedding", lambda x: x.isNull()), F.lit(False)).alias("usable")
+    side = lambda df: df.where("vec_id is not null").select("vec_id", "embedding", usable)
+    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = side(queries).select("*", of(nq).alias("qb"), every(nv).alias("vb"))
+    v = side(vectors).select("*", of(nv).alias("vb"), every(nq).alias("qb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _best(a, b, k)
+
+    met = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, "query_id long, vec_id long, placed double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("placed"), "vec_id")
+    infinite = F.lit(float("inf"))
+    similarity = F.when(F.col("placed") == infinite, float("nan")).when(F.col("placed") != -infinite, F.col("placed"))
+    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("query_id", "vec_id", similarity.alias("similarity"), "k")
+
+
+#: Vectors of a block, and queries that are multiplied with one at a time.
+VECTORS, AT_ONCE = 4096, 256
+
+
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Each query's k greatest rounded similarities to the vectors of a block; `placed` ranks them (NaN as infinite, null as minus infinite)."""
+    vectors = vectors.sort_values("vec_id", kind="stable")
+    ids = vectors["vec_id"].to_numpy(np.int64)
+    long = lambda rows: np.array([len(e) if ok else -1 for e, ok in zip(rows["embedding"], rows["usable"])], np.int64)
+    lengths, asked = long(vectors), long(queries)
+    out = []
+    for n in np.unique(asked):
+        mine = queries[asked == n]
+        fits = np.flatnonzero(lengths == n) if n >= 0 else np.zeros(0, np.int64)
+        packed = lambda e: np.array([np.asarray(x, np.float64) for x in e], np.float64).reshape(len(e), max(n, 0))
+        m = packed(list(vectors["embedding"].iloc[fits]))
+        sizes = np.sqrt((m * m).sum(1))
+        for at in range(0, len(mine), AT_ONCE):
+            some = mine.iloc[at : at + AT_ONCE]
+            rank = np.full((len(some), len(ids)), -np.inf)
+            if len(fits):
+                x = packed(list(some["embedding"]))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (x @ m.T) / (np.sqrt((x * x).sum(1))[:, None] * sizes[None, :])
+                s = np.sign(s) * np.floor(np.abs(s) * 1e6 + 0.5) / 1e6
+                rank[:, fits] = np.where(np.isnan(s), np.inf, s)
+            for q, row in zip(some["vec_id"].to_numpy(np.int64), rank):
+                keep = np.flatnonzero(ids != q)
+                r = row[keep]
+                if len(r) > k:
+                    least = np.partition(r, len(r) - k)[len(r) - k]
+                    above, equal = np.flatnonzero(r > least), np.flatnonzero(r == least)
+                    chosen = np.concatenate([above, equal[: k - len(above)]])
+                    keep, r = keep[chosen], r[chosen]
+                out.append((np.full(len(r), q), ids[keep], r))
+    if not out:
+        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "placed": pd.Series(dtype="float64")})
+    q, v, r = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"query_id": q, "vec_id": v, "placed": r})

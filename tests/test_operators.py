@@ -106,3 +106,12 @@ def test_nearest_runs_more_queries_than_a_block_holds(spark):
     v = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"))
     got = lambda n: sorted(map(tuple, retrieve.nearest(v, v.where("vec_id % 2 = 0"), 3, n).collect()))
     assert got(7) == got(29) == got(30) and len(got(7)) == 90
+
+
+def test_nearest_with_zero_null_and_equal_vectors(spark):
+    """Zero vectors have similarity NaN, which is greatest; null and odd ones have none; equal ones stand by their ids."""
+    rows = [(0, [1.0, 0.0]), (9, [2.0, 0.0]), (5, [3.0, 0.0]), (7, [0.0, 0.0]), (3, None), (4, [1.0]), (6, [1.0, None])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.vec_id, None if r.similarity is None else str(r.similarity), r.k) for r in retrieve.nearest(v, v.where("vec_id = 0"), 5).orderBy("k").collect()]
+    assert got == [(7, "nan", 1), (5, "1.0", 2), (9, "1.0", 3), (3, None, 4), (4, None, 5)]
+    assert [r.vec_id for r in retrieve.nearest(v, v.where("vec_id = 3"), 2).orderBy("k").collect()] == [0, 4]
