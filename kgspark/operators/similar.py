@@ -1,9 +1,8 @@
-"""Near duplicates among all statements of a subject: an exact self join by character similarity behind prefix, length and count filters."""
+"""Near duplicates among all statements of a subject: an exact self join by character similarity, block by block, behind bounds by length and common subsequence."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,8 +14,14 @@ from kgspark.functions.exprs import normalized_name
 from kgspark.operators.governance import NEAR
 from kgspark.session import Scratch, materialise, workers_import_this
 
-#: Buckets that a text's characters are counted in, and how often a character's repeats are told apart when tokens are ranked (a bound on the table of ranks).
-BUCKETS, REPEATS = 32, 16
+#: Texts, and characters, of a cell at most, about: two cells meet in a task.
+CELL, CELL_CHARS = 1000, 1_000_000
+#: Characters of texts that are looked at as one number.
+ROW = 1 << 14
+#: Parts of a text after which it is dropped where no text of a row can be near it any more.
+STOPS = (0.55, 0.75)
+#: Pairs that a task compares, about.
+TASK_PAIRS = 500_000
 
 
 def classes(statements: DataFrame, subject: str, ident: str, text: str) -> DataFrame:
@@ -25,33 +30,68 @@ def classes(statements: DataFrame, subject: str, ident: str, text: str) -> DataF
     return tidy.groupBy("subject", "t").agg(F.min("i").alias("rep"), F.count("*").alias("members"))
 
 
-def least_shared(length: int, near: float) -> int:
-    """Characters that a text shares with any text near it, at least: 2 M >= near (a + b) and M <= b give M >= a near / (2 - near)."""
-    return max(1, math.ceil(length * near / (2 - near) - 1e-9))
-
-
-def tokens(text: str) -> list[tuple[str, int]]:
-    """Characters with the number of their repeat, so that a bag of characters is a set."""
-    seen: Counter = Counter()
-    out = []
-    for c in text:
-        seen[c] += 1
-        out.append((c, seen[c]))
-    return out
-
-
-def _ranks(rows: DataFrame) -> dict[str, int]:
-    """Texts that hold a character so many times, by "repeat character": REPEATS entries a distinct character at most, whatever the number of texts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for b in batches:
-            for t in b["t"]:
-                for c, n in Counter(t).items():
-                    total.update(f"{k} {c}" for k in range(1, min(n, REPEATS) + 1))
-        yield pd.DataFrame({"w": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
-
-    return {r.w: r.n for r in rows.select("t").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+def _rows(texts: list[str], order: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int], int]]:
+    """Texts (by length) put behind one another, a free bit after each: their numbers, lengths, first bits, the bits of each character and of all characters."""
+    at = 0
+    while at < len(order):
+        end, size = at, 0
+        while end < len(order) and (end == at or size + len(texts[order[end]]) < ROW):
+            size += len(texts[order[end]]) + 1
+            end += 1
+        some = np.array(order[at:end])
+        chars = np.frombuffer("".join(texts[k] + "\0" for k in some.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.array([len(texts[k]) for k in some.tolist()])
+        starts = np.cumsum(n + 1) - n - 1
+        free = np.zeros(len(chars), bool)
+        free[starts + n] = True
+        number = lambda bits: int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        held = {chr(c): number((chars == c) & ~free) for c in np.unique(chars[~free]).tolist()}
+        yield some, n, starts, held, number(~free)
+        at = end
+
+
+def subsequences(text: str, starts: np.ndarray, n: np.ndarray, held: dict[str, int], whole: int, near: float) -> np.ndarray:
+    """Lengths of the longest common subsequences of a text with each text of a row: a bit falls where one gets longer, a free bit keeps texts apart.
+
+    All are 0 where no text can be near: of a text's first i characters as many are shared as with the other's first i and those
+    that this one may have more, the rest at best all.
+    """
+    m, v, done, size = len(text), whole, 0, int(starts[-1] + n[-1] + 1)
+    need = np.ceil(near * (m + n) / 2 - 1e-9).astype(np.int64)
+    bits = [held.get(c) for c in text]
+    for i in (*(int(m * x) for x in STOPS), m):
+        for p in bits[done:i]:
+            if p is not None:
+                u = v & p
+                v = (v + u | v ^ u) & whole
+        done = i
+        ones = np.cumsum(np.unpackbits(np.frombuffer(b"\0" + v.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[7:], dtype=np.int64)
+        reach = n if i == m else np.clip(n - need + i, 0, n)
+        got = reach - (ones[starts + reach] - ones[starts])
+        if not (got + m - i >= need).any():
+            return np.zeros(len(n), np.int64)
+    return got
+
+
+def near_pairs(first: list[str], second: list[str] | None, near: float) -> Iterator[tuple[int, int]]:
+    """Numbers of texts that may be near: of both lists, or of two texts of the first. What difflib matches is a common subsequence, so that one that is too short rules a pair out."""
+    same, second = second is None, first if second is None else second
+    by_length = sorted(range(len(first)), key=lambda k: len(first[k]))
+    place = {k: i for i, k in enumerate(by_length)} if same else {}
+    for some, n, starts, held, whole in _rows(second, by_length if same else sorted(range(len(second)), key=lambda k: len(second[k]))):
+        last = place[int(some[-1])] if same else 0
+        for i, k in enumerate(by_length):
+            m = len(first[k])
+            if 2 * m < near * (m + n[0]) - 1e-9 or same and i >= last:
+                if same and i >= last:
+                    break
+                continue  # shorter than all of the row allow
+            if 2 * n[-1] < near * (m + n[-1]) - 1e-9:
+                break
+            shared = subsequences(first[k], starts, n, held, whole, near)
+            for j in some[2 * shared >= near * (m + n) - 1e-9].tolist():
+                if not same or place[j] > i:
+                    yield k, j
 
 
 def _band(length: Column, near: float) -> Column:
@@ -66,45 +106,54 @@ def similar_statements(statements: DataFrame, subject: str, ident: str, text: st
     similarity (difflib's ratio of the second text to the first, in the order of their ids) for different texts from `near` on. Blank texts and null subjects take
     no part.
 
-    Candidates share a token (character and repeat) among the rarest of both and lie in neighbouring length bands, so a subject with many statements splits by token and
-    band; counts by bucket then bound the similarity from above before a text moves. Only what passes is compared. None of these filters loses a pair.
+    A subject's texts are dealt into bands by their length and cells of bounded size; each two cells of a band or of neighbouring ones meet in a task, which
+    drops a pair only where lengths or the longest common subsequence rule it out. Subjects with few texts share tasks. The work is
+    quadratic in the texts of a subject and band, what a task holds is not.
     """
     spark = statements.sparkSession
     workers_import_this(spark)
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, rows in pdf.groupby("subject", sort=False):
+            side, ids, texts = rows["side"].to_numpy(), rows["rep"].tolist(), rows["t"].tolist()
+            same = bool((side == 0).all())
+            left, right = (range(len(ids)), range(len(ids))) if same else (np.flatnonzero(side == 1).tolist(), np.flatnonzero(side == 2).tolist())
+            for k, j in near_pairs([texts[i] for i in left], None if same else [texts[i] for i in right], near):
+                a, b = sorted((left[k], right[j]), key=ids.__getitem__)
+                r = SequenceMatcher(None, texts[b], texts[a]).ratio()
+                if r >= near:
+                    out.append((name, ids[a], ids[b], r))
+        kinds = (("subject", object), ("first_rep", object), ("second_rep", object), ("similarity", "float64"))
+        return pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=t) for i, (c, t) in enumerate(kinds)})
+
     with Scratch(spark, "similar") as s:
-        reps = s.write(classes(statements, subject, ident, text), "classes")
-        ranks = spark.sparkContext.broadcast(_ranks(reps))
-
-        @F.pandas_udf("struct<keys: array<string>, counts: array<int>>")
-        def signature(texts: pd.Series) -> pd.DataFrame:
-            keys, counts = [], []
-            known = ranks.value
-            for t in texts:
-                rank = lambda x: (known.get(f"{x[1]} {x[0]}", 0), -x[1], x[0])
-                keys.append([f"{n} {c}" for c, n in sorted(tokens(t), key=rank)[: len(t) - least_shared(len(t), near) + 1]])
-                counts.append(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS).tolist())
-            return pd.DataFrame({"keys": keys, "counts": counts})
-
-        signed = s.write(reps.select("subject", "rep", F.char_length("t").alias("n"), signature("t").alias("s")).select("subject", "rep", "n", "s.*"), "signatures")
-        signed = signed.withColumn("band", _band(F.col("n"), near))
-        side = lambda x, rows: rows.select("subject", F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("counts").alias(f"{x}_counts"), F.explode("keys").alias("key"), "band")
-        near_bands = signed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        shared = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-        meet = side("a", signed).join(side("b", near_bands), ["subject", "key", "band"]).where((F.col("a_rep") < F.col("b_rep")) & (2 * shared >= F.lit(near) * (F.col("a_n") + F.col("b_n")) - F.lit(1e-9)))
-        found = s.write(meet.select("subject", "a_rep", "b_rep").distinct(), "candidates")
-        t = reps.select("subject", "rep", "t")
-        both = found.join(t.select("subject", F.col("rep").alias("a_rep"), F.col("t").alias("a")), ["subject", "a_rep"]).join(t.select("subject", F.col("rep").alias("b_rep"), F.col("t").alias("b")), ["subject", "b_rep"])
-
-        @F.pandas_udf("double")
-        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            def one(x: str, y: str) -> float:
-                m = SequenceMatcher(None, y, x)
-                return m.ratio() if m.real_quick_ratio() >= near and m.quick_ratio() >= near else 0.0
-
-            return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-        pairs = both.select("subject", F.col("a_rep").alias("first_rep"), F.col("b_rep").alias("second_rep"), ratio("a", "b").alias("similarity")).where(F.col("similarity") >= near)
-        pairs = materialise(pairs, "similar-pairs")
+        reps = s.write(classes(statements, subject, ident, text).select("subject", "rep", "t").withColumn("band", _band(F.char_length("t"), near)), "classes")
+        held = reps.groupBy("subject", "band").agg(F.count("*").alias("n"), F.sum(F.char_length("t")).alias("chars"))
+        full = lambda n, chars: F.ceil(F.greatest(n / F.lit(CELL), chars / F.lit(CELL_CHARS))).cast("int")
+        subjects = held.groupBy("subject").agg(F.sum("n").alias("all_n"), full(F.sum("n"), F.sum("chars")).alias("all_cells")).where("all_n > 1")
+        cells = s.write(held.join(subjects, "subject").withColumn("cells", full(F.col("n"), F.col("chars"))), "cells")
+        few = cells.where("all_cells = 1").select("subject").distinct()
+        beside = lambda by, name: cells.select("subject", (F.col("band") + by).alias("band"), F.col("cells").alias(name), F.col("n").alias(f"{name}_n"))
+        many = s.write(cells.where("all_cells > 1").join(beside(-1, "up"), ["subject", "band"], "left").join(beside(1, "down"), ["subject", "band"], "left").fillna(0), "many")
+        rows = cells.where("all_cells = 1").agg(F.sum("n")).first()[0] or 0
+        pairs_of = F.col("n").cast("double") * (F.col("n") / 2 + F.col("up_n"))
+        parts = math.ceil((rows * CELL / 2 + (many.agg(F.sum(pairs_of)).first()[0] or 0)) / TASK_PAIRS)
+        shared = reps.join(few, "subject").select(F.concat(F.lit("few "), F.pmod(F.xxhash64("subject"), F.lit(max(1, rows // CELL)))).alias("key"), F.lit(0).alias("side"), "subject", "rep", "t")
+        # a cell meets itself (side 0), the others of its band once each, and all of the bands beside it
+        own = reps.join(many, ["subject", "band"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+        key = lambda band, way, i, j: F.concat_ws(" ", band, F.lit(way), i, j, F.col("subject"))
+        with_each = lambda n, make: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), make)
+        i, band = F.col("i"), F.col("band")
+        places = F.concat(
+            with_each("cells", lambda j: F.struct(key(band, "=", F.least(i, j), F.greatest(i, j)).alias("key"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side"))),
+            with_each("up", lambda j: F.struct(key(band, "+", i, j).alias("key"), F.lit(1).alias("side"))),
+            with_each("down", lambda j: F.struct(key(band - 1, "+", j, i).alias("key"), F.lit(2).alias("side"))),
+        )
+        met = shared.unionByName(own.select(F.explode(places).alias("p"), "subject", "rep", "t").select("p.*", "subject", "rep", "t"))
+        # so many partitions by what they compare: by bytes they would be too few
+        met = met.repartition(max(spark.sparkContext.defaultParallelism, parts), "key")
+        pairs = materialise(met.groupBy("key").applyInPandas(compared, "subject string, first_rep string, second_rep string, similarity double"), "similar-pairs")
     tidy = statements.select(F.col(subject).cast("string").alias("subject"), F.col(ident).cast("string").alias("id"), normalized_name(F.col(text)).alias("t")).where("subject is not null and t <> ''")
     return pairs, tidy.join(classes(statements, subject, ident, text).select("subject", "t", "rep"), ["subject", "t"]).select("subject", "id", "rep")
 

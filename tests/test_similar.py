@@ -46,3 +46,24 @@ def test_equals_all_pairs(spark):
 def test_nothing_to_compare(spark):
     pairs, members = similar.similar_statements(spark.createDataFrame([], "id int, subject string, text string"), "subject", "id", "text")
     assert pairs.count() == 0 and members.count() == 0
+
+
+def test_anagrams_of_a_large_subject_are_ruled_out_before_difflib():
+    rnd = random.Random(7)
+    letters = list("the market share of a region grows with its price " * 4)
+    texts = []
+    for _ in range(60):
+        rnd.shuffle(letters)
+        texts.append("".join(letters))
+    texts.append(texts[0][:90] + texts[0][95:])
+    assert {frozenset(p) for p in similar.near_pairs(texts, None, 0.85)} == {frozenset((0, 60))}
+
+
+def test_cells_lose_no_pair(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(5, 30))) for _ in range(12)]
+    texts = base + [t[:k] + t[k + 1 :] for t in base for k in (2, 4)]
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "id int, subject string, text string")
+    want = {tuple(r) for r in similar.similar_statements(df, "subject", "id", "text")[0].collect()}
+    monkeypatch.setattr(similar, "CELL", 4)
+    assert {tuple(r) for r in similar.similar_statements(df, "subject", "id", "text")[0].collect()} == want and len(want) > 12
