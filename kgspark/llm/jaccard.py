@@ -47,6 +47,8 @@ LATE_BITS = 1024
 WORDS = [f"f{i}" for i in range(LATE_BITS // 64)]
 #: Shingles that the first order ranks by their number of documents, at most: the most held ones.
 COMMON_KEPT = 200_000
+#: Shingles that a task counts before it puts equal ones together, and those that it goes on with, at most (a few MB, as every worker holds them).
+COUNTED, GOES_ON = 400_000, 200_000
 #: Rows of ids that are sent to all tasks, at most.
 BROADCAST_ROWS = 2_000_000
 #: Rows of parts that a task gives at once, at most.
@@ -245,21 +247,21 @@ def common_shingles(docs: DataFrame, k: int, s: Scratch, kept: int = COMMON_KEPT
     workers_import_this(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, parts, counts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        size, parts, counts = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for b in batches:
             for text in b["text"]:
                 x = set_of(text, k)
                 parts.append(x)
-                counts.append(np.ones(len(x), np.int64))
+                counts.append(np.ones(len(x), np.int32))
                 size += len(x)
-            if size > 1_500_000:  # bounded: what one document holds so far goes, then what two do, and so on
-                x, c = _merged(parts, counts)
-                least = 1
-                while (c >= least).sum() > 750_000:
-                    least += 1
-                parts, counts, size = [x[c >= least]], [c[c >= least]], 0
+                if size > COUNTED:  # bounded: what one document holds so far goes, then what two do, and so on
+                    x, c = _merged(parts, counts)
+                    least = 1
+                    while (c >= least).sum() > GOES_ON:
+                        least += 1
+                    parts, counts, size = [x[c >= least]], [c[c >= least]], 0
         x, c = _merged(parts, counts)
-        yield pd.DataFrame({"shingle": x[c > 1].view(np.int64), "held": c[c > 1]})
+        yield pd.DataFrame({"shingle": x[c > 1].view(np.int64), "held": c[c > 1].astype(np.int64)})
 
     rows = docs.select("text").mapInPandas(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
     rows = s.write(rows, "common")

@@ -328,3 +328,12 @@ def test_repeats_count_over_the_whole_host(spark):
         held = collections.Counter(h for s in streams for h in set(html_text.run_hashes(s).tolist()))
         hot = np.array([h for h, c in held.items() if c >= html_text.MIN_PAGES], np.uint64)
         assert all((a == html_text.covered(s, hot)).all() for s, a in zip(streams, html_text.repeated(streams)))
+
+
+def test_counts_of_shingles_are_bounded_and_change_no_link(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    monkeypatch.setattr(jaccard, "COUNTED", 2000)
+    monkeypatch.setattr(jaccard, "GOES_ON", 500)
+    got = {r.doc_id: r.component_id for r in jaccard.link(docs).collect()}
+    assert got == {i: root for i, _, root in brute_groups([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)}
