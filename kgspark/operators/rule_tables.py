@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kgspark.operators.promotion import POLICY_GATES
 from kgspark.operators.rules import REJECTED_EVIDENCE, authority
+from kgspark.session import Scratch, materialise
 
 # fixed values: words of self-praise and of absolute statements, and what official material can't prove by itself
 PRAISE = "行业领先|最安全|市场第一|leader|leading|safest"
@@ -22,6 +23,8 @@ KINDS = ("fact", "claim", "observation", "inference")
 # fixed values: search observations need so many views over so many days
 VIEWS, VIEW_DAYS = 3, 7
 OFFICIAL = ("official", "company_disclosure")
+#: Types of sources that the rules name: a row's are kept as bits, as sets would be sorted.
+TYPES = (*OFFICIAL, "government_regulatory", "standards_body", "academic", "third_party_review", "community", "search_observation")
 
 #: Rule, group, priority; the predicates of failing are in quality_predicates(), by rule.
 QUALITY_RULES = (
@@ -32,8 +35,14 @@ QUALITY_RULES = (
 )
 
 
+def _bit(kind: Column) -> Column:
+    """The bit of a source's type: its place in TYPES, the next one for a type that is not there, none for null."""
+    known = reduce(lambda w, k: w.when(kind == TYPES[k], F.lit(1 << k)), range(1, len(TYPES)), F.when(kind == TYPES[0], F.lit(1)))
+    return known.when(kind.isNotNull(), F.lit(1 << len(TYPES))).otherwise(F.lit(0)).cast("bigint")
+
+
 def with_sources(rows: DataFrame, refs: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
-    """rows with what their references come to: n_sources, n_traceable (with a url), n_own, n_high, types (sorted), views and view_days of observations.
+    """rows with what their references come to: n_sources, n_traceable (with a url), n_own, n_high, types (a bit for each of TYPES, one for all others), views and view_days of observations.
 
     refs: key, source_id (a reference given twice counts once, an unknown source not at all); sources: source_id, source_type, brand_id, url, observed_day.
     """
@@ -42,17 +51,18 @@ def with_sources(rows: DataFrame, refs: DataFrame, sources: DataFrame, key: str
     high = F.coalesce(authority(F.col("source_type")) == "high", F.lit(False))
     got = met.groupBy(key).agg(
         F.count("*").alias("n_sources"), F.count_if(F.col("url").isNotNull()).alias("n_traceable"), F.count_if(F.col("source_type").isin(*OFFICIAL) & (F.col("kg_brand") == F.col("kg_own"))).alias("n_own"), F.count_if(high).alias("n_high"),
-        F.sort_array(F.collect_set("source_type")).alias("types"), F.count_distinct("observed_day").alias("views"), (F.max("observed_day") - F.min("observed_day")).alias("view_days"),
+        F.bit_or(_bit(F.col("source_type"))).alias("types"), F.count_distinct("observed_day").alias("views"), (F.max("observed_day") - F.min("observed_day")).alias("view_days"),
     )
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_sources", "n_traceable", "n_own", "n_high", "views", "view_days")}
-    return rows.join(got, key, "left").withColumns({**zero, "types": F.coalesce("types", F.array().cast("array<string>"))})
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_sources", "n_traceable", "n_own", "n_high", "types", "views", "view_days")}
+    return rows.join(got, key, "left").withColumns(zero)
 
 
-def with_peers(rows: DataFrame) -> DataFrame:
+def with_peers(rows: DataFrame, s: Scratch) -> DataFrame:
     """rows (subject_id, predicate, object_value, n_high) with fact_high (most high sources of a fact on the subject and predicate), fact_values (its distinct values) and fact_same (rows of the same value)."""
     same = rows.groupBy("subject_id", "predicate", "object_value").agg(F.count("*").alias("kg_n"), F.max("n_high").alias("kg_high"))
     facts = same.groupBy("subject_id", "predicate").agg(F.max("kg_high").alias("fact_high"), F.count_if(F.col("object_value").isNotNull()).alias("fact_values"))
     counted = same.select("subject_id", "predicate", "object_value", F.col("kg_n").alias("fact_same")).join(facts, ["subject_id", "predicate"])
+    counted = s.write(counted, "facts")
     on = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("subject_id", "predicate", "object_value")))
     return rows.alias("r").join(counted.alias("c"), on, "left").select("r.*", *[F.coalesce(f"c.{x}", F.lit(0)).alias(x) for x in ("fact_high", "fact_values", "fact_same")])
 
@@ -64,8 +74,9 @@ def quality_predicates(as_of: Column) -> dict[str, Column]:
     fact, stated = kind == "fact", kind.isin("fact", "claim")
     text = F.lower(F.coalesce("statement_text", F.lit("")))
     number = text.rlike("[0-9]")
-    only = lambda *t: (c("n_sources") > 0) & F.forall(types, lambda x: x.isin(*t))
-    never = lambda *t: ~F.exists(types, lambda x: x.isin(*t))
+    bits = lambda t: F.lit(sum(1 << TYPES.index(x) for x in t)).cast("bigint")
+    only = lambda *t: (c("n_sources") > 0) & (types.bitwiseOR(bits(t)) == bits(t))
+    never = lambda *t: types.bitwiseAND(bits(t)) == 0
     gone = lambda *names: reduce(lambda a, b: a | b, (c(n).isNull() for n in names))
     return {
         "rule_fact_001": fact & (c("n_sources") == 0), "rule_fact_002": fact & number & gone("value", "unit", "period", "region"),
@@ -95,8 +106,10 @@ def quality_failures(statements: DataFrame, refs: DataFrame, sources: DataFrame,
 
     statements: id, statement_type, subject_id, predicate, object_value, statement_text, value, unit, period, region, topic, valid_to, status, confidence, conflict_marked, brand_id, industry_id, permission, summary.
     """
-    rows = with_peers(with_sources(statements, refs, sources))
-    got = failures(rows, "id", quality_predicates(as_of))
+    with Scratch(statements.sparkSession, "rules") as s:
+        rows = s.write(with_sources(statements, refs, sources), "sourced")
+        # what the facts come to is small beside the rows and is written, so that the planner sees its size and sends it to the rows
+        got = materialise(failures(with_peers(rows, s), "id", quality_predicates(as_of)), "failures")
     of = lambda i: F.element_at(F.create_map(*[F.lit(x) for r in QUALITY_RULES for x in (r[0], r[i])]), F.col("rule"))
     return got.withColumns({"category": of(1), "priority": of(2)})
 

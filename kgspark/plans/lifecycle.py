@@ -147,7 +147,14 @@ _RULE_ROWS = ", ".join(f"('{r}', '{c}', '{p}')" for r, c, p in rule_tables.QUALI
  w as (select z.*, max(hi) over (partition by subject_id, predicate) as fhi, (select count(distinct y.object_value) from claims y where y.subject_id = z.subject_id and y.predicate = z.predicate) as vals, count(*) over (partition by subject_id, predicate, object_value) as same from z)""",
 )
 def quality_rule_failures(spark, d):
-    return rule_tables.quality_failures(_view(spark, d, "claims"), _view(spark, d, "refs"), _view(spark, d, "sources"), F.lit(200))
+    with Scratch(spark, "claims") as s:
+        # claims and references read the same distinct lines, which are written once
+        table(spark, d, "lineitem").createOrReplaceTempView("kg_lineitem")
+        one = _ONE.removeprefix("lines1 as (").removesuffix(")").replace("from lineitem", "from kg_lineitem")
+        s.write(spark.sql(one), "lines").createOrReplaceTempView("kg_lines1")
+        table(spark, d, "supplier").createOrReplaceTempView("kg_supplier")
+        view = lambda name: spark.sql(f"with {_CLAIMS.replace('from lines1', 'from kg_lines1').replace('from supplier', 'from kg_supplier')} select * from {name}")
+        return rule_tables.quality_failures(view("claims"), view("refs"), view("sources"), F.lit(200))
 
 
 _CANDS = """cands as (select id, case when o % 23 <> 0 then concat('i', o % 4) else 'none' end as industry_id, subject_id, predicate, case when o % 12 = 0 then 'gone' else concat('p', (p + 1) % 200) end as object_id, brand_id, statement_type as statement_class,

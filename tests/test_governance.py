@@ -94,3 +94,14 @@ def test_uuid5(spark):
 def test_missing_score_is_no_review(spark):
     row = spark.range(1).select(*[F.lit(3).alias(c) for c in list(governance.SOURCE_WEIGHTS)[:-1]], F.lit(None).cast("int").alias("transparency"))
     assert governance.source_quality(row).select("score", "needs_review").first() == (None, None)
+
+
+def test_types_of_sources_are_bits(spark):
+    from kgspark.operators import rule_tables
+
+    rows = spark.createDataFrame([(1, "b"), (2, "b"), (3, "b")], "id int, brand_id string")
+    refs = spark.createDataFrame([(1, "s1"), (1, "s2"), (2, "s3"), (2, "s1"), (2, "s1")], "id int, source_id string")
+    sources = spark.createDataFrame([("s1", "official", "b", "u", 1), ("s2", "odd", "c", None, 9), ("s3", None, "c", None, None)], "source_id string, source_type string, brand_id string, url string, observed_day int")
+    got = rule_tables.with_sources(rows, refs, sources)
+    assert {r.id: (r.n_sources, r.types, r.n_own) for r in got.collect()} == {1: (2, 1 | 1 << len(rule_tables.TYPES), 1), 2: (2, 1, 1), 3: (0, 0, 0)}
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().toString()
