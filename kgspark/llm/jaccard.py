@@ -14,7 +14,8 @@ Lengths and a parity bitmap (bits flip with each shingle of the difference, so
 set bits of the exclusive or bound it from below) are tested as well, the cheaper test first.
 Only then are pairs verified, on their whole texts.
 
-A short posting list gives all its pairs. A long one is first paired with a few
+A short posting list gives all its pairs. A long one is split by levels of sizes, as sets that link
+lie in one level or in neighbouring ones; what is short then gives all its pairs too. One that stays long is first paired with a few
 pivots of its own, and each member's closest ones are verified. What then
 stays are members of long lists in different components. Their sets are cut
 into one part more than a linked pair can differ in shingles, so a linked pair has
@@ -200,6 +201,20 @@ def levels(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
+def by_levels(large: DataFrame, percent: int) -> DataFrame:
+    """Long lists (key, id, n) split by levels: key, level, own, id, n, df (members of the key's level).
+
+    A member stands in its own level (own) and in the next, so two that link meet in a level that is one's own at least. Levels that are nobody's own, or of one member, are left out.
+    """
+    most = large.agg(F.max("n")).first()[0] or 1
+    bounds = F.array(*[F.lit(b).cast("long") for b in levels(percent, most + 1)])
+    level = F.size(F.filter(bounds, lambda b: b <= F.col("n"))) - 1
+    both = large.select("key", "id", "n", F.explode(F.array(F.struct(level.alias("level"), F.lit(True).alias("own")), F.struct((level + 1).alias("level"), F.lit(False).alias("own")))).alias("l"))
+    both = both.select("key", "l.level", "l.own", "id", "n")
+    held = both.groupBy("key", "level").agg(F.count("*").alias("df"), F.max("own").alias("any")).where("any and df > 1").drop("any")
+    return both.join(held, ["key", "level"])
+
+
 def level_of(n: int, bounds: list[int]) -> int:
     """The level of a set of n shingles."""
     return bisect_right(bounds, n) - 1
@@ -529,10 +544,15 @@ def _linked(docs: DataFrame, k: int, percent: int, small: int, s: Scratch) -> Da
     postings = reps.select(F.col("rep").alias("id"), "n", F.explode("first").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = s.write(postings.join(shared, "key"), "lists")
-    few, large = lists.where(F.col("df") <= small), lists.where(F.col("df") > small)
+    # long lists by levels of sizes: a key that sets of all sizes hold has few of each size
+    split = s.write(by_levels(lists.where(F.col("df") > small), percent), "levels")
+    few = lists.where(F.col("df") <= small).select("key", F.lit(-1).alias("level"), F.lit(True).alias("own"), "id", "n")
+    few = few.unionByName(split.where(F.col("df") <= small).drop("df"))
+    large = split.where(F.col("df") > small).select(F.struct("key", "level").alias("key"), "id", "n")
     # a short list has few pairs, whatever the corpus size: all of them are candidates whose sizes allow it
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & sizes(F.col("x.n"), F.col("y.n"), percent))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.own") | F.col("y.own"))
+    pairs = x.join(y, same & (F.col("x.id") > F.col("y.id")) & sizes(F.col("x.n"), F.col("y.n"), percent))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("pivot"))
     chosen = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n")) for r in range(PIVOTS)]
     pivots = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*chosen), lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n")))).alias("ps"))

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontaminate, matroska, packing, pii, quality
+from kgspark.llm import decontaminate, jaccard, matroska, packing, pii, quality
 
 BIG = 9007199254740993
 DOCS = "doc_id long, text string"
@@ -87,3 +88,14 @@ def test_labels_given_twice_are_one(spark):
     twice = once.unionByName(once).unionByName(spark.createDataFrame([(k, 0) for k in range(1, 60, 2)], once.schema))
     score = lambda labels: sorted(map(tuple, quality.score(docs, quality.fit(docs, labels)).collect()))
     assert score(once) == score(twice.repartition(5))
+
+
+def test_a_key_of_sets_of_all_sizes_needs_no_parts(spark, monkeypatch):
+    # the least shingle by hash stands in the prefix of every set, so its list is long; no two sets are near in size, but for one linked pair
+    first = min((f"one{i} two three" for i in range(5000)), key=lambda t: int(jaccard.set_of(t, 3)[0]))
+    rows = [(i, " ".join([first, *(f"w{i}x{j}" for j in range(int(8 * 1.5**i)))])) for i in range(9)]
+    rows.append((20, rows[5][1] + " more"))
+    monkeypatch.setattr(jaccard, "common_shingles", lambda *a: (np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    monkeypatch.setattr(jaccard, "late_parts", lambda *a: pytest.fail("sets of different sizes were cut into parts"))
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(rows, DOCS), 3, 90, small=2).collect()}
+    assert got == {i: 5 if i == 20 else i for i, _ in rows}
