@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.llm.hot import join_one, running
+from kgspark.operators.hot import join_one, running
 from kgspark.session import Scratch, materialise
 
 #: Conversations whose ids stand in one row when the ends of a node are hashed: bounded, whatever a node's number of ends.

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kgspark.llm.hot import with_share
+from kgspark.operators.hot import with_share
 from kgspark.session import Scratch, materialise
 
 #: White space taken off both ends, month names, and the forms of stamps.

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from kgspark.functions import exprs
-from kgspark.operators import extract, gates, graph, parse, retrieve
+from kgspark.operators import extract, gates, graph, parse, promotion, retrieve
 from kgspark.streaming import outbox as stream
 
 TEXT = "# Top\nFirst line here.\n\n### Deep\n- an item\n1. second\n## Next ##\nlast words"
@@ -115,3 +115,22 @@ def test_nearest_with_zero_null_and_equal_vectors(spark):
     got = [(r.vec_id, None if r.similarity is None else str(r.similarity), r.k) for r in retrieve.nearest(v, v.where("vec_id = 0"), 5).orderBy("k").collect()]
     assert got == [(7, "nan", 1), (5, "1.0", 2), (9, "1.0", 3), (3, None, 4), (4, None, 5)]
     assert [r.vec_id for r in retrieve.nearest(v, v.where("vec_id = 3"), 2).orderBy("k").collect()] == [0, 4]
+
+
+def test_ontology_gate_sends_objects_that_many_rows_name_to_the_rows(spark):
+    ids = [("p", "product"), ("m", "regional_market"), ("x", "strange")]
+    rules = spark.createDataFrame([("active_in", "product", "regional_market")], "relation_type string, source_type string, target_type string")
+    kinds = ("relation", "metric")
+    rows = [(k, s, o, kind, p) for k, (s, o, kind, p) in enumerate((s, o, kind, p) for s in ("p", "m", "x", "none", None) for o in ("m", "p", "x", "none", None) for kind in kinds for p in ("active_in", "other", None))]
+    df = spark.createDataFrame(rows, "id long, subject_id string, object_id string, knowledge_type string, predicate string")
+    out = promotion.ontology_gate(df, spark.createDataFrame(ids, "id string, type string"), ["product", "regional_market"], rules)
+    of = dict(ids)
+
+    def passes(s, o, kind, p):
+        if "x" in (s, o):
+            return False
+        return kind != "relation" or None in (s, o, p) or (p, of.get(s), of.get(o)) == ("active_in", "product", "regional_market")
+
+    assert {r.id: r.gate_ontology for r in out.collect()} == {k: passes(*rest) for k, *rest in rows}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi, (object_id" in plan and "Join LeftAnti, (object_id" in plan
