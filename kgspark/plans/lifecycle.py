@@ -60,11 +60,13 @@ def _template_sql(name: str) -> str:
 
 @query(" union all ".join(map(_template_sql, _NAMES)), f"with {GRAPH}")
 def template_paths(spark, d):
-    table(spark, d, "lineitem").createOrReplaceTempView("kg_lineitem")
+    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").createOrReplaceTempView("kg_lineitem")
     kinds = spark.sql(f"select concat(o, '_', p) as id, {_TYPES} as type, o, p from ({_POINTS.replace('lineitem', 'kg_lineitem')})")
-    kinds.createOrReplaceTempView("kg_typed")
-    links = spark.sql("select concat(o, '_', p) as source_id, concat(o, '_', p + 1) as target_id from kg_typed union all select concat(o, '_', p + 1), concat(o + 10, '_', p + 2) from kg_typed where p % 3 = 1")
-    return templates.template_paths(kinds.select("id", "type"), links).select("template", F.array_join("path", ">").alias("path"))
+    with Scratch(spark, "points") as w:
+        kinds = w.write(kinds, "points")
+        cross = F.when(F.col("p") % 3 == 1, F.expr("named_struct('source_id', concat(o, '_', p + 1), 'target_id', concat(o + 10, '_', p + 2))"))
+        links = kinds.select(F.inline(F.array_compact(F.array(F.expr("named_struct('source_id', concat(o, '_', p), 'target_id', concat(o, '_', p + 1))"), cross))))
+        return templates.template_paths(kinds.select("id", "type"), links).select("template", F.array_join("path", ">").alias("path"))
 
 
 #: Two snapshots of lines as assertions: of every 13 lines some change their text, state, note or place in a chain.

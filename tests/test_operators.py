@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from kgspark.functions import exprs
-from kgspark.operators import extract, gates, graph, parse, promotion, retrieve
+from kgspark.operators import extract, gates, graph, parse, promotion, retrieve, templates
 from kgspark.streaming import outbox as stream
 
 TEXT = "# Top\nFirst line here.\n\n### Deep\n- an item\n1. second\n## Next ##\nlast words"
@@ -134,3 +134,20 @@ def test_ontology_gate_sends_objects_that_many_rows_name_to_the_rows(spark):
     assert {r.id: r.gate_ontology for r in out.collect()} == {k: passes(*rest) for k, *rest in rows}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi, (object_id" in plan and "Join LeftAnti, (object_id" in plan
+
+
+def test_template_paths_read_the_graph_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    nodes = spark.createDataFrame([(f"{t}{k}", t) for t in ("a", "b", "c") for k in range(5)], "id string, type string")
+    nodes = nodes.select(counted.asNondeterministic()("id").alias("id"), "type")
+    edges = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(5)] + [(f"c{k}", f"b{k}") for k in range(3)], "source_id string, target_id string")
+    got = templates.template_paths(nodes, edges, {"x": ["a", "b", "c"], "y": ["a", "b"], "z": ["c", "b", "a"]})
+    assert sorted((r.template, ">".join(r.path)) for r in got.collect()) == sorted(
+        [("x", f"a{k}>b{k}>c{k}") for k in range(3)] + [("y", f"a{k}>b{k}") for k in range(5)] + [("z", f"c{k}>b{k}>a{k}") for k in range(3)])
+    assert seen.value == 15
