@@ -151,3 +151,13 @@ def test_template_paths_read_the_graph_once(spark):
     assert sorted((r.template, ">".join(r.path)) for r in got.collect()) == sorted(
         [("x", f"a{k}>b{k}>c{k}") for k in range(3)] + [("y", f"a{k}>b{k}") for k in range(5)] + [("z", f"c{k}>b{k}>a{k}") for k in range(3)])
     assert seen.value == 15
+
+
+def test_fused_groups_shuffle_once(spark):
+    rows = [("c1", "metric", "e", None, "x", "o1", 0.1, "d1", 1), ("c2", "metric", "e", None, "x", "o1", 0.3, "d2", 2), ("c3", "metric", "e", None, "y", None, 0.1, "d1", 1), ("c4", "metric", "e", None, "y", "o1", 0.1, "d1", 1), ("c5", "relation", "e", None, "x", None, 0.1, "d1", 1)]
+    schema = "candidate_id string, candidate_type string, entity_id string, predicate string, label string, object_name string, confidence double, document_id string, published_at int"
+    got = promotion.fused_groups(spark.createDataFrame(rows, schema))
+    assert sorted((r.candidate_type, r.group_label, r.members, r.conflict, r.status, ",".join(r.source_candidate_ids)) for r in got.collect()) == [
+        ("metric", "x", 2, False, "fused", "c1,c2"), ("metric", "y", 1, True, "conflicted", "c3"), ("metric", "y", 1, True, "conflicted", "c4"), ("relation", "", 1, False, "invalid", "c5")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
