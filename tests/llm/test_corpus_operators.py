@@ -337,3 +337,13 @@ def test_counts_of_shingles_are_bounded_and_change_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GOES_ON", 500)
     got = {r.doc_id: r.component_id for r in jaccard.link(docs).collect()}
     assert got == {i: root for i, _, root in brute_groups([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)}
+
+
+def test_text_beside_an_article_is_decided_by_repeats(spark):
+    notice = "please accept all of our many cookies before you go on reading"
+    intro = lambda i: " ".join(f"i{i}x{j}" for j in range(9))
+    page = lambda i: f"<body><p>{notice}</p><p>{intro(i)}</p><article><p>{' '.join(f'w{i}x{j}' for j in range(60))}</p><p>{notice}</p></article></body>"
+    df = spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(12)], "page_id long, url string, html string")
+    for shard in (200, 4):
+        got = {r.page_id: r.text.split("\n") for r in html_text.extract(df, shard).collect()}
+        assert got == {i: [intro(i), " ".join(f"w{i}x{j}" for j in range(60)), notice] for i in range(12)}
