@@ -55,3 +55,25 @@ def test_all_pending_events_count(spark, tmp_path):
     early, late = datetime.datetime(2024, 1, 2), datetime.datetime(2024, 2, 2)
     spark.createDataFrame([(i, u, t, early) for i, u, t in rows] + [(5, 7, "view", late), (6, 8, "error", late)], "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.aggregate_id for r in catalog.QUERIES["pending_absent"](spark, str(tmp_path)).collect()] == [8]
+
+
+@pytest.fixture(scope="module")
+def tied_files(tied, tmp_path_factory):
+    """The tied lines dealt over several files, some names of which stand otherwise in a URL than in a folder."""
+    _, one = tied
+    at, con = tmp_path_factory.mktemp("tied files"), duckdb.connect()
+    (at / "lineitem.parquet").mkdir()
+    con.execute("set threads = 1")
+    one.execute("create or replace table numbered as select row_number() over () as n, * from l")
+    for k, f in enumerate(("part 0", "part#1", "part-10", "part-2", "part_3")):
+        one.execute(f"copy (select * exclude (n) from numbered where n % 5 = {4 - k} order by n) to '{at}/lineitem.parquet/{f}.parquet'")
+    one.execute(f"copy supplier to '{at}/supplier.parquet'")
+    con.execute(f"create view lineitem as select * from '{at}/lineitem.parquet/*.parquet'")
+    con.execute(f"create view supplier as select * from '{at}/supplier.parquet'")
+    for t in ("part", "customer", "nation", "region", "events", "documents"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    return str(at), con
+
+
+def test_candidate_fusion_over_files(spark, tied_files):
+    test_ties(spark, tied_files, "candidate_fusion")
