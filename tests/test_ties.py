@@ -77,3 +77,8 @@ def tied_files(tied, tmp_path_factory):
 
 def test_candidate_fusion_over_files(spark, tied_files):
     test_ties(spark, tied_files, "candidate_fusion")
+
+
+def test_document_fold_over_files(spark, tied_files):
+    test_ties(spark, tied_files, "document_fold")
+    test_aliases_of_one_place_stand_as_the_table_first_has_them(spark, tied_files)
