@@ -82,3 +82,7 @@ def test_candidate_fusion_over_files(spark, tied_files):
 def test_document_fold_over_files(spark, tied_files):
     test_ties(spark, tied_files, "document_fold")
     test_aliases_of_one_place_stand_as_the_table_first_has_them(spark, tied_files)
+
+
+def test_relations_first_over_files(spark, tied_files):
+    test_ties(spark, tied_files, "relations_first")
