@@ -347,3 +347,17 @@ def test_text_beside_an_article_is_decided_by_repeats(spark):
     for shard in (200, 4):
         got = {r.page_id: r.text.split("\n") for r in html_text.extract(df, shard).collect()}
         assert got == {i: [intro(i), " ".join(f"w{i}x{j}" for j in range(60)), notice] for i in range(12)}
+
+
+def test_repeats_count_in_articles_and_boilerplate_of_the_whole_host(spark):
+    """Open text goes where other pages have it in their article, or in named boilerplate, also where nothing on these pages is open; differing boilerplate makes no page of its copies."""
+    notice, menu = "please accept all of our many cookies before you go on reading", "home news sport weather travel money culture and more"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [f"<p>{notice}</p><p>{menu}</p><p>intro of this page alone</p><article><p>{own(0)}</p></article>"]
+    rows += [f"<article><p>{own(i)}</p><p>{notice}</p></article>" for i in range(1, 8)]
+    rows += [f"<nav>{menu}</nav><article><p>{own(i)}</p></article><p>outro {i}</p>" for i in range(8, 16)]
+    rows += [f"<nav>{i} {i} {i}</nav><p>{own(99)}</p>" for i in range(16, 20)]
+    df = spark.createDataFrame([(i, "http://a.org/", f"<body>{r}</body>") for i, r in enumerate(rows)], "page_id long, url string, html string")
+    want = {0: f"intro of this page alone\n{own(0)}"} | {i: f"{own(i)}\n{notice}" for i in range(1, 8)} | {i: f"{own(i)}\noutro {i}" for i in range(8, 16)} | {i: own(99) for i in range(16, 20)}
+    for shard in (200, 4):
+        assert {r.page_id: r.text for r in html_text.extract(df, shard).collect()} == want
