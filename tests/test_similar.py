@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from kgspark.operators import similar
 
 
@@ -67,3 +69,54 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     want = {tuple(r) for r in similar.similar_statements(df, "subject", "id", "text")[0].collect()}
     monkeypatch.setattr(similar, "CELL", 4)
     assert {tuple(r) for r in similar.similar_statements(df, "subject", "id", "text")[0].collect()} == want and len(want) > 12
+
+
+def _edited(rnd, text, letters, share):
+    """A text after edits of about this share of its characters, some of whole stretches."""
+    t = list(text)
+    for _ in range(int(rnd.random() * share * len(t)) + 1):
+        k, run = rnd.randrange(len(t) + 1), rnd.choice((1, 1, 1, 1, 9))
+        t[k : k + rnd.choice((0, run))] = [rnd.choice(letters) for _ in range(rnd.choice((0, 1)))]
+    return "".join(t)
+
+
+def test_no_bound_loses_a_pair():
+    """Texts beside the lengths at which difflib and the comparison change their ways, over alphabets of all sizes: what difflib finds near is among the pairs, whichever text comes first."""
+    rnd, found = random.Random(11), 0
+    for letters in ("ab", "etaoin shrdlu", "abcdefghijklmnopqrstuvwxyz    ", "".join(chr(0x4E00 + k) for k in range(900)), "e" * 60 + "qxz,."):
+        texts = []
+        for size in (1, 2, 5, 30, 62, 63, 64, 126, 150, 199, 200, 201, 230, 252, 315, 316, 400, 700):
+            base = "".join(rnd.choice(letters) for _ in range(size))
+            texts += [base, *(_edited(rnd, base, letters, share) for share in (0.05, 0.1, 0.2, 0.3)), base[: size // 7 + 1] + base[::-1][size // 7 + 1 :]]
+        texts = [t for t in dict.fromkeys(texts) if t]
+        near = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and 2 * min(len(x), len(y)) >= 0.85 * (len(x) + len(y)) and max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) >= 0.85}
+        found += len(near)
+        assert near <= {(min(p), max(p)) for p in similar.near_pairs(texts, None, 0.85)}
+        left, right = list(range(0, len(texts), 2)), list(range(1, len(texts), 2))
+        across = {(min(left[a], right[b]), max(left[a], right[b])) for a, b in similar.near_pairs([texts[k] for k in left], [texts[k] for k in right], 0.85)}
+        assert {p for p in near if (p[0] + p[1]) % 2} <= across
+        groups = np.array([rnd.randrange(5) for _ in texts])
+        assert {p for p in near if groups[p[0]] == groups[p[1]]} <= {(min(p), max(p)) for p in similar.near_in_groups(texts, groups, 0.85)}
+    assert found > 200
+
+
+def test_ratio_is_that_of_difflib():
+    rnd = random.Random(12)
+    for letters in ("ab", "etaoin shrdlu", "abcdefghijklmnopqrstuvwxyz    ", "".join(chr(0x4E00 + k) for k in range(300)), "e" * 60 + "qxz,.", "a"):
+        for size in (0, 1, 3, 40, 150, 199, 200, 201, 299, 300, 640):
+            base = "".join(rnd.choice(letters) for _ in range(size))
+            for share in (0.0, 0.05, 0.2, 0.6):
+                other = _edited(rnd, base, letters, share) if share else rnd.choice((base, base[::-1], "".join(rnd.choice(letters) for _ in range(size))))
+                assert similar.ratio(base, other) == SequenceMatcher(None, base, other).ratio()
+                assert similar.ratio(other, base) == SequenceMatcher(None, other, base).ratio()
+
+
+def test_long_texts_without_common_grams_are_ruled_out_before_their_subsequences(monkeypatch):
+    rnd = random.Random(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+    texts = [" ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(80)) + " why, my big job quiz." for _ in range(60)]
+    texts.append(texts[5][:100] + texts[5][110:])
+    looked, subsequences = [], similar.subsequences
+    monkeypatch.setattr(similar, "subsequences", lambda text, starts, n, *rest: looked.append(len(n)) or subsequences(text, starts, n, *rest))
+    assert {frozenset(p) for p in similar.near_pairs(texts, None, 0.85)} == {frozenset((5, 60))}
+    assert sum(looked) < 60
