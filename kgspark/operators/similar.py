@@ -28,6 +28,8 @@ TASK_PAIRS = 4_000_000
 GRAM, SLOTS, TABLE = 5, 8, 1 << 23
 #: difflib's own: from this length on, characters that make up more than a hundredth of a text (and one) start no match.
 POPULAR = 200
+#: Pairs of equal characters that may start a match, from how many to how many they are looked at at once.
+AT_ONCE = (20_000, 1 << 22)
 #: Subjects of at most so many texts are compared together, pair by pair.
 FEW = 64
 #: Texts of at most so many characters are compared pair by pair, in words of 63; first texts and pairs at once; bytes of characters' places, about.
@@ -310,23 +312,45 @@ def _starts(text: str) -> dict[str, list[int]]:
     return places
 
 
+def _runs(a: str, seeds: list[int], places: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (x in a, y in b, by x and y) of equal characters that may start a match, and how many follow one another up to there."""
+    held = {c: np.array(p) for c, p in places.items()}
+    x, y = np.repeat(seeds, [len(places[a[k]]) for k in seeds]), np.concatenate([held[a[k]] for k in seeds])
+    order = np.lexsort((x, y - x))
+    here, way = x[order], (y - x)[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(way) != 0) | (np.diff(here) != 1)])
+    run = np.empty(len(x), np.int64)
+    run[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) + 1
+    return x, y, run
+
+
 def ratio(a: str, b: str) -> float:
-    """difflib's SequenceMatcher(None, a, b).ratio(). Characters of a that can start no match are not visited, and what follows a match is compared in stretches."""
+    """difflib's SequenceMatcher(None, a, b).ratio(). Characters of a that can start no match are not visited, places are looked up, and what follows a match is compared in stretches."""
     places = _starts(b)
     seeds = [i for i, c in enumerate(a) if c in places]
+    many = sum(len(places[a[x]]) for x in seeds)
+    runs = _runs(a, seeds, places) if AT_ONCE[0] <= many <= AT_ONCE[1] else None
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
         alo, ahi, blo, bhi = todo.pop()
         i, j, size, before, last = alo, blo, 0, {}, -2
-        for x in seeds[bisect_left(seeds, alo) : bisect_left(seeds, ahi)]:
+        some = seeds[bisect_left(seeds, alo) : bisect_left(seeds, ahi)]
+        if runs and len(some) > 50:
+            part = slice(*np.searchsorted(runs[0], (alo, ahi)))
+            xs, ys, run = (r[part] for r in runs)
+            # the first of the longest, cut where the window begins
+            length = np.where((ys >= blo) & (ys < bhi), np.minimum(run, np.minimum(xs - alo, ys - blo) + 1), 0)
+            best = int(length.argmax())
+            if length[best]:
+                size = int(length[best])
+                i, j = int(xs[best]) - size + 1, int(ys[best]) - size + 1
+            some = []
+        for x in some:
             now: dict[int, int] = {}
             if x != last + 1:
                 before = {}
-            for y in places[a[x]]:
-                if y < blo:
-                    continue
-                if y >= bhi:
-                    break
+            at = places[a[x]]
+            for y in at[bisect_left(at, blo) : bisect_left(at, bhi)]:
                 k = now[y] = before.get(y - 1, 0) + 1
                 if k > size:
                     i, j, size = x - k + 1, y - k + 1, k

@@ -111,6 +111,16 @@ def test_ratio_is_that_of_difflib():
                 assert similar.ratio(other, base) == SequenceMatcher(None, other, base).ratio()
 
 
+def test_ratio_of_long_texts_is_that_of_difflib(monkeypatch):
+    rnd, letters = random.Random(13), "etaoinshrdlucmfwypvbgkjqxz    "
+    base = "".join(rnd.choice(letters[: rnd.randint(5, 30)]) for _ in range(6000))
+    for share in (0.02, 0.2, 0.5):
+        other = _edited(rnd, base, letters, share)
+        assert similar.ratio(base, other) == SequenceMatcher(None, base, other).ratio()
+    monkeypatch.setattr(similar, "AT_ONCE", (1, 1 << 22))
+    test_ratio_is_that_of_difflib()
+
+
 def test_long_texts_without_common_grams_are_ruled_out_before_their_subsequences(monkeypatch):
     rnd = random.Random(3)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
